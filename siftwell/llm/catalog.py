@@ -1,8 +1,16 @@
 """The numbered operators as queries over the driver's tables, with SQL where it can express them."""
 
-from siftwell.llm import decontaminate
+from siftwell.llm import decontaminate, preference, quality, token_counts, url_rules
 
 QUERIES = {
+    "op1_token_rollups": token_counts.op1_token_rollups,
     "op2_winnowing": decontaminate.op2_winnowing,
+    "op4_weak_supervision": quality.op4_weak_supervision,
+    "op7_preference_pairs": preference.op7_preference_pairs,
+    "op10_url_rules": url_rules.op10_url_rules,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_token_rollups": token_counts.ORACLE_SQL,
+    "op7_preference_pairs": preference.ORACLE_SQL,
+    "op10_url_rules": url_rules.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
