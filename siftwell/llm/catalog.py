@@ -1,12 +1,14 @@
 """The numbered operators as queries over the driver's tables, with SQL where it can express them."""
 
-from siftwell.llm import decontaminate, preference, quality, token_counts, url_rules
+from siftwell.llm import bpe, decontaminate, huffman, preference, quality, token_counts, url_rules
 
 QUERIES = {
     "op1_token_rollups": token_counts.op1_token_rollups,
     "op2_winnowing": decontaminate.op2_winnowing,
     "op4_weak_supervision": quality.op4_weak_supervision,
+    "op5_huffman_ids": huffman.op5_huffman_ids,
     "op7_preference_pairs": preference.op7_preference_pairs,
+    "op8_byte_bpe": bpe.op8_byte_bpe,
     "op10_url_rules": url_rules.op10_url_rules,
 }
 ORACLE_SQL: dict[str, str] = {
