@@ -1,10 +1,11 @@
 """The numbered operators as queries over the driver's tables, with SQL where it can express them."""
 
-from siftwell.llm import bpe, decontaminate, huffman, preference, quality, token_counts, url_rules
+from siftwell.llm import bpe, decontaminate, huffman, preference, quality, token_counts, toxicity, url_rules
 
 QUERIES = {
     "op1_token_rollups": token_counts.op1_token_rollups,
     "op2_winnowing": decontaminate.op2_winnowing,
+    "op3_recurrent_toxicity": toxicity.op3_recurrent_toxicity,
     "op4_weak_supervision": quality.op4_weak_supervision,
     "op5_huffman_ids": huffman.op5_huffman_ids,
     "op7_preference_pairs": preference.op7_preference_pairs,
