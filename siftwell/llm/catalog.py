@@ -1,6 +1,6 @@
 """The numbered operators as queries over the driver's tables, with SQL where it can express them."""
 
-from siftwell.llm import bpe, decontaminate, huffman, preference, quality, token_counts, toxicity, url_rules
+from siftwell.llm import bpe, decontaminate, huffman, preference, quality, substrings, token_counts, toxicity, url_rules
 
 QUERIES = {
     "op1_token_rollups": token_counts.op1_token_rollups,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_huffman_ids": huffman.op5_huffman_ids,
     "op7_preference_pairs": preference.op7_preference_pairs,
     "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op9_recompression": substrings.op9_recompression,
     "op10_url_rules": url_rules.op10_url_rules,
 }
 ORACLE_SQL: dict[str, str] = {
