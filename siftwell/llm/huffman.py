@@ -4,7 +4,7 @@ One code is made from the counts of all ids. Ids are packed in independent block
 `STRIDE`-th id, so that decoding starts at all of these places at once and takes one table look-up an id.
 
 A file set is a folder with two Parquet tables: `code` (id, bits) holds code lengths, from which the canonical code
-follows; `blocks` holds the packed blocks with their documents, in ascending order of doc_id over (part, block).
+follows; `blocks` holds the packed blocks with their documents, in ascending order of doc_id over (part, first).
 """
 
 from __future__ import annotations
@@ -19,14 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.shared import shared_dir
+from siftwell.llm.shared import shared_dir, stored
 from siftwell.llm.units import Pool, pieces
-from siftwell.llm.words import chunks
+from siftwell.llm.words import chunks, ranges
 
 VOCABULARY, END = "word_bpe_49k.json", 1
 #: Ids from one bit-offset checkpoint to the next; ids after which a block is closed; bytes of text encoded at once.
 STRIDE, BLOCK, BYTES = 512, 1 << 16, 4 << 20
-BLOCKS = "part int, block int, first long, doc_ids array<long>, sizes array<long>, n long, offsets array<long>, packed binary"
+BLOCKS = "part int, first long, doc_ids array<long>, sizes array<long>, n long, offsets array<long>, packed binary"
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -116,14 +116,36 @@ def encoder(definition: str):
     The tokenizer has to treat white space as the end of a token and drop it, as VOCABULARY does.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_str(definition)
+    # for plain lower-case words neither the normaliser nor the pattern has anything to do
+    simple = Tokenizer(tokenizer.model)
+    simple.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    last = np.zeros(tokenizer.get_vocab_size(), bool)  # tokens that end a word
+    last[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def one_word(unit: str) -> bool:
+        """Letters that stay letters, one for one, when normalised: such a unit is one word to the tokenizer."""
+        return unit.isalpha() and max(unit) <= "\u024f" and "\u0130" not in unit
 
     def words(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        return count, np.fromiter((x for i in ids for x in i), np.uint32, int(count.sum()))
+        plain = np.fromiter(map(one_word, units), bool, len(units))
+        at = np.flatnonzero(plain)
+        texts = [" ".join([units[i] for i in at[k : k + 1000].tolist()]).lower() for k in range(0, len(at), 1000)]
+        ids = [np.array(e.ids, np.uint32) for e in simple.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        count = np.zeros(len(units), np.int64)
+        count[at] = np.diff(np.flatnonzero(last[ids]), prepend=-1)
+        rest = np.flatnonzero(~plain)
+        more = [e.ids for e in tokenizer.encode_batch_fast([units[i] for i in rest.tolist()], add_special_tokens=False)]
+        count[rest] = [len(x) for x in more]
+        out = np.empty(int(count.sum()), np.uint32)
+        start = np.cumsum(count) - count
+        out[ranges(start[at], count[at])] = ids
+        out[ranges(start[rest], count[rest])] = np.fromiter((x for i in more for x in i), np.uint32, int(count[rest].sum()))
+        return count, out
 
     pool = Pool(words)
 
@@ -131,6 +153,10 @@ def encoder(definition: str):
         plain = column.cast(pa.large_string()).fill_null("")
         for c in "\n\t\r":
             plain = pc.replace_substring(plain, c, " ")
+        # a mark between a letter and white space is a word to the tokenizer, with or without white space before it
+        plain = pc.replace_substring_regex(plain, "([A-Za-z])([.,]) ", "\\1 \\2 ")
+        if not pc.any(pc.match_substring(plain, "<|")).as_py():  # else capitals tell text from special tokens
+            plain = pc.ascii_lower(plain)
         code, distinct, edges = pieces(plain)
         place = pool.look_up(distinct)
         ids, count = pool.gather(place[code], edges)
@@ -140,73 +166,91 @@ def encoder(definition: str):
     return encode
 
 
-def count_ids(docs: DataFrame, definition: str) -> DataFrame:
-    """id, n over all documents."""
+IDS = "part int, doc_id long, within long, ids binary"
+
+
+def encoded(docs: DataFrame, definition: str) -> DataFrame:
+    """IDS of each document in ascending order of doc_id: the range it falls in, ids before it there, its own ids."""
     shared = docs.sparkSession.sparkContext.broadcast(definition)
 
     def scan(batches):
-        total, encode = np.zeros(1 << 16, np.int64), None
+        encode, before, part_id = None, 0, TaskContext.get().partitionId()
         for part in chunks(batches, size=BYTES):
             encode = encode or encoder(shared.value)
-            n = np.bincount(encode(part.column(0))[0])
-            if len(n) > len(total):
-                total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
-            total[: len(n)] += n
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
+            ids, count = encode(part.column(1))
+            within = before + np.cumsum(count) - count
+            before += len(ids)
+            edges = np.concatenate([[0], np.cumsum(count)]).astype(np.int32) * 4
+            own = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(edges), pa.py_buffer(ids.astype("<u4"))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(count), part_id), pa.int32()), part.column(0), pa.array(within, pa.int64()), own], [c.split()[0] for c in IDS.split(", ")])
+
+    return docs.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text").mapInArrow(scan, IDS)
+
 
-    return docs.select("text").mapInArrow(scan, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+def count_ids(ids: DataFrame) -> DataFrame:
+    """id, n over all documents."""
+
+    def scan(batches):
+        total = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for own in batch.column(0):
+                n = np.bincount(np.frombuffer(own.as_buffer(), "<u4"))
+                if len(n) > len(total):
+                    total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
+                total[: len(n)] += n
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
+
+    return ids.select("ids").mapInArrow(scan, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def packed(ids: DataFrame, bits: np.ndarray) -> DataFrame:
+    """BLOCKS of consecutive documents, each closed after BLOCK ids or where the next document isn't at hand."""
+    shared = ids.sparkSession.sparkContext.broadcast(bits)
+    kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+
+    def scan(batches):
+        code, held, size = Code(shared.value), [], 0
+
+        def block():
+            values = np.concatenate([x for *_, x in held])
+            data, offsets = code.pack(values)
+            row = [held[0][0], held[0][2], [h[1] for h in held], [len(h[3]) for h in held], len(values), offsets, data]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [c.split()[0] for c in BLOCKS.split(", ")])
+
+        for batch in batches:
+            for part, doc, within, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                if held and (size >= BLOCK or (part, within) != (held[0][0], held[0][2] + size)):
+                    yield block()
+                    held, size = [], 0
+                held.append((part, doc, within, np.frombuffer(own.as_buffer(), "<u4").astype(np.int64)))
+                size += len(held[-1][3])
+        if held:
+            yield block()
+
+    return ids.mapInArrow(scan, BLOCKS)
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
     """Encodes all texts and writes the file set in ascending order of doc_id (nulls first; equal ones by text).
 
-    Null and empty texts are the end id alone. Repeated rows are each written; other columns are ignored.
+    Texts are encoded once, into a table in the shared folder from which counts and blocks are made. Null and empty texts
+    are the end id alone. Repeated rows are each written; other columns are ignored.
     """
     import public_tokenizers
 
     spark = docs.sparkSession
     with open(tokenizer or public_tokenizers.path(VOCABULARY)) as file:
         definition = file.read()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = {r.id: r.n for r in count_ids(rows, definition).collect()}  # one entry an id of the vocabulary at most
+    ids = stored(encoded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), definition))
+    counts = {r.id: r.n for r in count_ids(ids).collect()}  # one entry an id of the vocabulary at most
     table = np.zeros(max(counts, default=0) + 1, np.int64)
     for i, n in counts.items():
         table[i] = n
     bits = code_lengths(table, max(16, int(max(1, len(counts)) - 1).bit_length()))
     used = np.flatnonzero(bits)
     spark.createDataFrame(list(zip(used.tolist(), bits[used].tolist())), "id long, bits int").write.mode("overwrite").parquet(f"{path}/code")
-    shared = spark.sparkContext.broadcast((definition, bits))
-
-    def scan(batches):
-        encode = code = None
-        block = first = 0
-        held: list[tuple] = []
-
-        def close():
-            nonlocal block, first, held
-            ids = np.concatenate([x for _, x in held])
-            packed, offsets = code.pack(ids)
-            row = [TaskContext.get().partitionId(), block, first, [d for d, _ in held], [len(x) for _, x in held], len(ids), offsets, packed]
-            block, first, held = block + 1, first + len(ids), []
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [c.split()[0] for c in BLOCKS.split(", ")])
-
-        size = 0
-        for part in chunks(batches, size=BYTES):
-            encode, code = encode or encoder(shared.value[0]), code or Code(shared.value[1])
-            ids, count = encode(part.column(1))
-            for doc, own in zip(part.column(0).to_pylist(), np.split(ids, np.cumsum(count)[:-1])):
-                held.append((doc, own))
-                size += len(own)
-                if size >= BLOCK:
-                    yield close()
-                    size = 0
-        if held:
-            yield close()
-
-    ordered = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(scan, BLOCKS).write.mode("overwrite").parquet(f"{path}/blocks")
+    packed(ids, bits).write.mode("overwrite").parquet(f"{path}/blocks")
 
 
 def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
