@@ -1,6 +1,6 @@
 """The numbered operators as queries over the driver's tables, with SQL where it can express them."""
 
-from siftwell.llm import bpe, decontaminate, huffman, preference, quality, substrings, token_counts, toxicity, url_rules
+from siftwell.llm import bpe, decontaminate, huffman, preference, quality, similar, substrings, token_counts, toxicity, url_rules
 
 QUERIES = {
     "op1_token_rollups": token_counts.op1_token_rollups,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_recurrent_toxicity": toxicity.op3_recurrent_toxicity,
     "op4_weak_supervision": quality.op4_weak_supervision,
     "op5_huffman_ids": huffman.op5_huffman_ids,
+    "op6_grouped_prefixes": similar.op6_grouped_prefixes,
     "op7_preference_pairs": preference.op7_preference_pairs,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_recompression": substrings.op9_recompression,

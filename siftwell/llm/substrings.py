@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,8 +102,9 @@ def anchors(words: Words) -> tuple[np.ndarray, ...]:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """doc_id, text and uid, which tells rows of one doc_id with different texts apart."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("uid"))
+    """doc_id, text, uid, which tells rows of one doc_id with different texts apart, and whole rows without their text."""
+    others = [F.col(c) for c in docs.columns if c != "text"]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("uid"), F.struct(*others).alias("others"))
 
 
 def stretches(docs: DataFrame) -> DataFrame:
@@ -143,13 +145,14 @@ def window_names(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, "name long, doc_id long, uid long, first int")
 
 
-def removed(docs: DataFrame) -> DataFrame:
-    """uid, n_words, n_removed, kept (the words left, joined by one space) of texts with the `spans` of their windows to remove."""
+def removed(docs: DataFrame, original: bool = False) -> DataFrame:
+    """doc_id, uid, others, n_words, n_removed, kept of texts (doc_id, text, uid, others, spans) with the `spans` of their
+    windows to remove."""
 
     def scan(batches):
         for part in chunks(batches):
             words = Words(part.column(1), SPACE)
-            spans = part.column(3).fill_null([])
+            spans = part.column(4).fill_null([])
             row = np.repeat(np.arange(len(spans)), np.diff(np.asarray(spans.offsets)))
             each = spans.flatten()
             first, n = (np.asarray(each.field(k)).astype(np.int64) for k in ("first", "n"))
@@ -164,13 +167,16 @@ def removed(docs: DataFrame) -> DataFrame:
             left = np.bincount(words.row[keep], minlength=words.rows)
             upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(left)])]
             raw = data.tobytes()
-            kept = [raw[a : max(a, b - 1)] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
+            kept = pa.array([raw[a : max(a, b - 1)] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())], pa.binary()).cast(pa.string())
+            if original:
+                kept = pc.if_else(pa.array(left == words.count), part.column(1).fill_null("").cast(pa.string()), kept)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array(words.count.astype(np.int64)), pa.array((words.count - left).astype(np.int64)), pa.array(kept, pa.binary()).cast(pa.string())],
-                ["doc_id", "uid", "n_words", "n_removed", "kept"],
+                [part.column(0), part.column(2), part.column(3), pa.array(words.count.astype(np.int64)), pa.array((words.count - left).astype(np.int64)), kept],
+                ["doc_id", "uid", "others", "n_words", "n_removed", "kept"],
             )
 
-    return docs.mapInArrow(scan, "doc_id long, uid long, n_words long, n_removed long, kept string")
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    return docs.mapInArrow(scan, f"doc_id long, uid long, others {kinds['others']}, n_words long, n_removed long, kept string")
 
 
 class Bitmap:
@@ -201,6 +207,13 @@ class Bitmap:
         return docs.mapInArrow(scan, docs.schema)
 
 
+def without(docs: DataFrame, uids: DataFrame) -> DataFrame:
+    """The rows of docs whose xxhash64 of doc_id and text isn't in `uids` (uid). Only rows that a bitmap can't clear are joined."""
+    uids = stored(uids.select("uid").distinct())
+    touched, rows = Bitmap(uids), docs.withColumn("uid", F.xxhash64("doc_id", "text"))
+    return touched.split(rows, False).unionByName(touched.split(rows, True).join(uids, "uid", "left_anti").select(rows.columns)).drop("uid")
+
+
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """uid, first, n: stretches of windows whose words also start in a document with a smaller doc_id. Written out."""
     found = stretches(docs)
@@ -217,20 +230,21 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     return stored(met.where("repeated").select("uid", "first", "n").unionByName(single))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """doc_id, uid, n_words, n_removed, kept of every row of `docs`: each word is removed that a window of WINDOW words
+def deduplicate(docs: DataFrame, original: bool = False) -> DataFrame:
+    """doc_id, uid, others (the row's other columns), n_words, n_removed, kept (the words left, joined by one space) of every
+    row of `docs`: each word is removed that a window of WINDOW words
     covers whose words, unchanged, also start in a document with a smaller doc_id. Windows are judged on the input.
 
     Null and empty texts have no words. Rows of one doc_id never remove each other's words, and equal rows get equal results.
-    A null doc_id is smaller than none and none is smaller than it. Other columns are ignored.
+    With `original`, `kept` is the text as it is where no word goes. A null doc_id is smaller than none and none is smaller than it.
     """
     docs = identified(docs)
-    spans = repeated_windows(docs).groupBy("uid").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
+    spans = repeated_windows(docs.select("doc_id", "text", "uid")).groupBy("uid").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
     spans = stored(spans)
     touched = Bitmap(spans.select("uid"))
     none = F.lit(None).cast("array<struct<first:int,n:int>>").alias("spans")
-    rest = touched.split(docs, False).select("doc_id", "text", "uid", none)
-    return removed(touched.split(docs, True).join(spans, "uid", "left").select("doc_id", "text", "uid", "spans")).unionByName(removed(rest))
+    rest = touched.split(docs, False).select("doc_id", "text", "uid", "others", none)
+    return removed(touched.split(docs, True).join(spans, "uid", "left").select("doc_id", "text", "uid", "others", "spans"), original).unionByName(removed(rest, original))
 
 
 def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
