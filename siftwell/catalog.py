@@ -1,13 +1,8 @@
 """Named queries over the driver's tables, each with the DuckDB SQL that returns the same rows."""
 
-from __future__ import annotations
+from siftwell.plans import registry
+from siftwell.plans import dashboards, evaluation, graph, retrieval, text  # noqa: F401  they register their queries
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = registry.QUERIES
+ORACLE_SQL = registry.ORACLE_SQL
 FLAGSHIP = "st02_vectorless"
