@@ -39,3 +39,10 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     path = path or shared_dir(df.sparkSession)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Has rows with whole texts go to Python by the thousand, unless the session has its own setting."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, rows)

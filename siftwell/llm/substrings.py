@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.shared import stored
+from siftwell.llm.shared import small_batches, stored
 from siftwell.llm.words import SPACE, Words, chunks, mix, ranges
 
 WINDOW, ROUNDS = 50, 2
@@ -145,12 +145,12 @@ def window_names(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, "name long, doc_id long, uid long, first int")
 
 
-def removed(docs: DataFrame, original: bool = False) -> DataFrame:
+def removed(docs: DataFrame, original: bool = False, only=None) -> DataFrame:
     """doc_id, uid, others, n_words, n_removed, kept of texts (doc_id, text, uid, others, spans) with the `spans` of their
-    windows to remove."""
+    windows to remove; `only` may filter the batches first."""
 
     def scan(batches):
-        for part in chunks(batches):
+        for part in chunks(only(batches) if only else batches):
             words = Words(part.column(1), SPACE)
             spans = part.column(4).fill_null([])
             row = np.repeat(np.arange(len(spans)), np.diff(np.asarray(spans.offsets)))
@@ -194,6 +194,10 @@ class Bitmap:
 
     def split(self, docs: DataFrame, inside: bool) -> DataFrame:
         """The rows whose uid may be in the set, or those whose uid isn't."""
+        return docs.mapInArrow(self.filter(inside), docs.schema)
+
+    def filter(self, inside: bool):
+        """What `split` does, as a function from batches to batches."""
         shared, bits = self.shared, self.bits
 
         def scan(batches):
@@ -204,7 +208,7 @@ class Bitmap:
                 found = (table[place >> 6] >> (place & 63)) & 1 == 1
                 yield batch.filter(pa.array(found if inside else ~found))
 
-        return docs.mapInArrow(scan, docs.schema)
+        return scan
 
 
 def without(docs: DataFrame, uids: DataFrame) -> DataFrame:
@@ -238,13 +242,14 @@ def deduplicate(docs: DataFrame, original: bool = False) -> DataFrame:
     Null and empty texts have no words. Rows of one doc_id never remove each other's words, and equal rows get equal results.
     With `original`, `kept` is the text as it is where no word goes. A null doc_id is smaller than none and none is smaller than it.
     """
+    small_batches(docs.sparkSession)
     docs = identified(docs)
     spans = repeated_windows(docs.select("doc_id", "text", "uid")).groupBy("uid").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
     spans = stored(spans)
     touched = Bitmap(spans.select("uid"))
     none = F.lit(None).cast("array<struct<first:int,n:int>>").alias("spans")
-    rest = touched.split(docs, False).select("doc_id", "text", "uid", "others", none)
-    return removed(touched.split(docs, True).join(spans, "uid", "left").select("doc_id", "text", "uid", "others", "spans"), original).unionByName(removed(rest, original))
+    rest = docs.select("doc_id", "text", "uid", "others", none)
+    return removed(touched.split(docs, True).join(spans, "uid", "left").select("doc_id", "text", "uid", "others", "spans"), original).unionByName(removed(rest, original, touched.filter(False)))
 
 
 def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:

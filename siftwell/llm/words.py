@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once. Work arrays are about 60 times as large for an instant.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 _U = np.uint64
 _P, _Q = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
