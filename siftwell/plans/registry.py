@@ -38,7 +38,7 @@ QUESTIONS = [
 
 
 def questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(QUESTIONS, "query_id long, question string")
+    return spark.sql(f"SELECT CAST(query_id AS BIGINT) AS query_id, question FROM {QUESTIONS_SQL}")
 
 
 QUESTIONS_SQL = "(VALUES " + ", ".join("(" + str(i) + ", '" + q.replace("'", "''") + "')" for i, q in QUESTIONS) + ") AS q(query_id, question)"
