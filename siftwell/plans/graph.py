@@ -127,10 +127,10 @@ def alias_resolution(spark, sf_dir):
     "gr08_similar_pairs",
     """SELECT a, b, similarity FROM (SELECT x.vec_id AS a, y.vec_id AS b, round(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))
       / (sqrt(list_sum(list_transform(x.embedding, lambda p: CAST(p AS DOUBLE) * CAST(p AS DOUBLE)))) * sqrt(list_sum(list_transform(y.embedding, lambda p: CAST(p AS DOUBLE) * CAST(p AS DOUBLE))))), 6) AS similarity
-      FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id) WHERE similarity >= 0.5""",
+      FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id) WHERE similarity >= 0.3""",
 )
 def similar_pairs(spark, sf_dir):
-    return G.similar_pairs(table(spark, sf_dir, "embeddings"), 0.5, cosine)
+    return G.similar_pairs(table(spark, sf_dir, "embeddings"), 0.3, cosine)
 
 
 _NAMES = "s AS (SELECT CAST(l_partkey AS BIGINT) AS entity_id, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS chunk_id, l_returnflag || l_linestatus AS surface_name, CASE WHEN l_tax > 0 THEN l_tax END AS confidence FROM lineitem)"
@@ -154,15 +154,16 @@ def source_chunks(spark, sf_dir):
 
 @query(
     "gr12_match_mentions",
-    """WITH m AS (SELECT * FROM (VALUES ('FRANCE'), ('the france'), ('germany'), ('united'), ('nowhere')) AS v(mention)), n AS (SELECT CAST(n_nationkey AS BIGINT) AS entity_id, lower(n_name) AS key FROM nation),
+    """WITH m AS (SELECT * FROM (VALUES ('NATION_3'), ('the nation_4'), ('ring'), ('Nowhere')) AS v(mention)), n AS (SELECT CAST(n_nationkey AS BIGINT) AS entity_id, lower(n_name) AS key FROM nation UNION ALL SELECT 1000 + CAST(p_partkey AS BIGINT), lower(p_name) FROM part),
     c AS (SELECT mention, entity_id, 1 AS rung FROM m JOIN n ON lower(mention) = key UNION ALL SELECT mention, entity_id, 2 FROM m JOIN n ON regexp_replace(lower(mention), '^(the|a|an) ', '') = key
       UNION ALL SELECT mention, entity_id, 3 FROM m, n WHERE length(mention) >= 3 AND contains(' ' || key || ' ', ' ' || lower(mention) || ' '))
     SELECT mention, entity_id, CAST(rung AS BIGINT) AS rung FROM (SELECT mention, entity_id, min(rung) AS rung, rank() OVER (PARTITION BY mention ORDER BY min(rung)) AS rk FROM c GROUP BY mention, entity_id) WHERE rk = 1""",
 )
 def match_mentions(spark, sf_dir):
     """Exact key, key without determiner, then a word of the name: the first rung with a match counts. Equi-joins on keys."""
-    mentions = spark.sql("SELECT mention FROM VALUES ('FRANCE'), ('the france'), ('germany'), ('united'), ('nowhere') AS v(mention)")
+    mentions = spark.sql("SELECT mention FROM VALUES ('NATION_3'), ('the nation_4'), ('ring'), ('Nowhere') AS v(mention)")
     names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("entity_id"), F.lower("n_name").alias("key"))
+    names = names.unionByName(table(spark, sf_dir, "part").select((F.col("p_partkey") + 1000).cast("long").alias("entity_id"), F.lower("p_name").alias("key")))
     whole = names.select("entity_id", "key", F.lit(1).alias("kind"))
     words = names.select("entity_id", F.explode(F.split("key", " ")).alias("key"), F.lit(3).alias("kind"))
     low = F.lower("mention")
