@@ -4,10 +4,10 @@ A document's set is its distinct word shingles. Sets are ordered rare shingles f
 their prefixes. Documents of equal prefix and size are one group; groups that share a prefix shingle are candidate pairs if
 size and position allow the overlap; candidates are expanded to their members and verified.
 
-Only links that change a connected component are wanted, so candidates come in three rounds: first each shingle's groups are
-paired along a few chains, which tie large groups of copies together; then what stands beside a large component is paired
-with a few of its members; last, groups that share a shingle and are still apart are paired in full. No link between
-different components is lost, and no large group is squared.
+Every link counts, so all pairs of groups that share a prefix shingle are verified. Shingles of a few groups are paired where
+their groups meet; those of more are dealt to blocks of BLOCK groups, and each block meets each other in a task of its own.
+Verified pairs are dealt to blocks likewise, so that a set is sent once a block and not once a pair. The work grows with the
+number of pairs, which for many texts that are all similar is the square of their number.
 """
 
 from __future__ import annotations
@@ -20,15 +20,19 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.shared import small_batches, stored
 from siftwell.llm.substrings import Bitmap
-from siftwell.llm.words import SPACE, Words, chunks, mix
+from siftwell.llm.words import SPACE, Words, chunks, mix, ranges
 
 SHINGLE = 5
 #: A shingle in this many documents at least is common; the commonest MOST_COMMON at most are known to all tasks.
 COMMON, MOST_COMMON = 16, 4_000_000
-#: Orders in which the groups of a shingle are chained.
-CHAINS = 8
-#: Members of a shingle's largest component, of those with more, that the shingle's other groups are paired with before all.
-PICKS = 16
+#: Shingles of more groups are paired in blocks of about BLOCK groups. Groups of more classes are parted likewise.
+FEW, BLOCK = 16, 64
+#: Binary logarithm of the count from which a shingle's groups don't meet in one bucket first.
+HOT = 12
+#: First shingles of a prefix that are looked through for one that gives the same pair before. Fewer only repeat pairs.
+HEAD = 64
+#: 64-bit words of the parity bitmap by which groups of a common shingle are told apart before they are paired.
+PARITY = 8
 #: Bytes of text whose shingles are sent on together, and shingles a bucket should have.
 SEND_BYTES, BUCKET = 8 << 20, 1 << 19
 _U = np.uint64
@@ -90,8 +94,8 @@ def buckets(docs: DataFrame) -> int:
     return max(512, -(-size // (4 * BUCKET)))
 
 
-def _sent(batches, per_text, n_buckets: int):
-    """Batches of (bucket, data): `per_text` gives a chunk's bucket of each row and its columns, sorted by bucket."""
+def _sent(parts, columns_of):
+    """Batches of (bucket, data): `columns_of` gives a part's bucket of each row and its columns."""
     held, size = [], 0
 
     def rows():
@@ -103,9 +107,9 @@ def _sent(batches, per_text, n_buckets: int):
         data = [packed([c[a:b] for c in columns[1:]]) for a, b in zip(starts.tolist(), ends.tolist())]
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
 
-    for part in chunks(batches):
-        held.append(per_text(part))
-        size += part.column(0).nbytes
+    for part in parts:
+        held.append(columns_of(part))
+        size += part.nbytes
         if size >= SEND_BYTES:
             yield rows()
             held, size = [], 0
@@ -116,21 +120,24 @@ def _sent(batches, per_text, n_buckets: int):
 def common_shingles(docs: DataFrame, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Cells (the upper 32 bits of a name) of common shingles, sorted, and the binary logarithms of their counts.
 
-    Counts are over all documents. Two names may share a cell: this only moves a shingle in the order.
+    Counts are over all documents. Two names may share a cell: this only moves a shingle in the
+    order.
     """
     per = -(-(1 << 32) // n_buckets)
 
     def send(batches):
         def cells(part):
             cell = (Sets(part.column(0)).value >> _U(32)).astype(np.uint32)
-            return (cell // per).astype(np.int32), cell
+            return (cell // per).astype(np.int32), cell, np.ones(len(cell), np.uint32)
 
-        return _sent(batches, cells, n_buckets)
+        return _sent(chunks(batches), cells)
 
     def count(table):
-        cells = np.sort(np.concatenate([unpacked(d, ["<u4"])[0] for d in table["data"].to_pylist()]))
+        cells, n = (np.concatenate(c) for c in zip(*(unpacked(d, ["<u4", "<u4"]) for d in table["data"].to_pylist())))
+        order = np.argsort(cells, kind="stable")
+        cells, n = cells[order], n[order].astype(np.int64)
         first = np.flatnonzero(np.diff(cells.astype(np.int64), prepend=-1))
-        n = np.diff(np.append(first, len(cells)))
+        n = np.add.reduceat(n, first)
         often = n >= COMMON
         return pa.table({"cell": cells[first[often]].astype(np.int64), "level": np.log2(n[often]).astype(np.int32)})
 
@@ -145,16 +152,22 @@ def common_shingles(docs: DataFrame, n_buckets: int) -> tuple[np.ndarray, np.nda
     return np.asarray(table["cell"]).astype(np.uint32), np.asarray(table["level"]).astype(np.uint8)
 
 
+def level_of(values: np.ndarray, cells: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The binary logarithm of each shingle's count, 0 for those that aren't common."""
+    cell = (values >> _U(32)).astype(np.uint32)
+    level = np.zeros(len(cell), np.uint8)
+    if len(cells):
+        at = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
+        known = cells[at] == cell
+        level[known] = levels[at[known]]
+    return level
+
+
 class Prefixes:
     """Of a chunk: each set's prefix in the common order, with the place of each shingle, and its group's name."""
 
     def __init__(self, sets: Sets, cells: np.ndarray, levels: np.ndarray):
-        cell = (sets.value >> _U(32)).astype(np.uint32)
-        level = np.zeros(len(cell), np.uint8)
-        if len(cells):
-            at = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
-            known = cells[at] == cell
-            level[known] = levels[at[known]]
+        level = level_of(sets.value, cells, levels)
         order = np.lexsort((level, sets.row))  # stable: names stay in order within a level
         size = np.where(sets.n > 0, sets.n - (3 * sets.n + 3) // 4 + 1, 0)
         place = np.arange(len(order)) - sets.first[sets.row]
@@ -196,51 +209,79 @@ def fits(na, pa_, nb, pb):
     return (4 * na >= 3 * nb) & (4 * nb >= 3 * na) & (7 * (na - pa_) >= 3 * (na + nb)) & (7 * (nb - pb) >= 3 * (na + nb))
 
 
+def prefix_groups(docs: DataFrame, common) -> DataFrame:
+    """group, n, data (the prefix's shingles in order) and bits (the parity bitmap, null if not the same for all its sets) of
+    each group: a row a group, however many documents it has."""
+
+    def scan(batches):
+        cells, levels = common.value
+        for part in chunks(batches):
+            sets = Sets(part.column(0))
+            p = Prefixes(sets, cells, levels)
+            bits = np.bincount(sets.row * 64 * PARITY + (sets.value % _U(64 * PARITY)).astype(np.int64), minlength=len(sets.n) * 64 * PARITY).astype(np.uint8) & 1
+            bits = np.packbits(bits.reshape(len(sets.n), -1), axis=1)
+            at = np.unique(mix(p.group + mix(sets.digests(sets.value, sets.row))), return_index=True)[1]  # equal sets once
+            at = at[sets.n[at] > 0]
+            first, last = np.searchsorted(p.row, at), np.searchsorted(p.row, at, "right")
+            data = [p.value[a:b].tobytes() for a, b in zip(first.tolist(), last.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(p.group[at].view(np.int64)), pa.array(sets.n[at].astype(np.int64)), pa.array(data, pa.binary()), pa.array([bits[k].tobytes() for k in at.tolist()], pa.binary())],
+                ["group", "n", "data", "bits"],
+            )
+
+    found = docs.select("text").mapInArrow(scan, "group long, n long, data binary, bits binary")
+    found = found.groupBy("group").agg(F.min(F.struct("n", "data")).alias("x"), F.min("bits").alias("low"), F.max("bits").alias("high"))
+    return found.select("group", "x.n", "x.data", F.when(F.col("low") == F.col("high"), F.col("low")).alias("bits"))
+
+
 CANDIDATES = "token long, a long, b long, n long, place long"
 
 
-def candidates(docs: DataFrame, common, n_buckets: int) -> DataFrame:
-    """Rows with token null are pairs of groups (a, b) for the first round. The others are the groups (a) of shingles that
-    three groups or more have in their prefixes, for the second."""
+def candidates(groups: DataFrame, common, n_buckets: int) -> DataFrame:
+    """Rows with token null are pairs of groups (a, b), repeated at times. The others are the groups (a) of shingles that more
+    than FEW groups have in their prefixes, still to be paired."""
 
     def send(batches):
         cells, levels = common.value
 
         def entries(part):
-            sets = Sets(part.column(0))
-            p = Prefixes(sets, cells, levels)
-            spread = mix(p.value)
-            return (spread % _U(n_buckets)).astype(np.int32), (spread >> _U(32)).astype(np.uint32), p.group[p.row], sets.n[p.row].astype(np.uint32), p.place.astype(np.uint32)
-
-        return _sent(batches, entries, n_buckets)
+            data = part.column(2).to_pylist()
+            size = np.array([len(d) // 8 for d in data], np.int64)
+            value = np.frombuffer(b"".join(data), np.uint64)
+            group, n = (np.repeat(np.asarray(part.column(k)), size) for k in (0, 1))
+            place = ranges(np.zeros(len(size), np.int64), size)
+            spread, group = mix(value), group.view(np.uint64)
+            # what many documents have doesn't meet in one bucket: these buckets only pass it on
+            hot = level_of(value, cells, levels) >= HOT
+            bucket = np.where(hot, _U(n_buckets) + mix(group) % _U(n_buckets), spread % _U(n_buckets))
+            return bucket.astype(np.int32), (spread >> _U(32)).astype(np.uint32), group, n.astype(np.uint32), place.astype(np.uint32)
+
+        return _sent(batches, entries)
 
     def meet(key, table):
         token, group, n, place = (np.concatenate(c) for c in zip(*(unpacked(d, ["<u4", "<u8", "<u4", "<u4"]) for d in table["data"].to_pylist())))
-        order = np.lexsort((group, n, token))
+        order = np.lexsort((group, token))
         token, group, n, place = token[order].astype(np.int64), group[order].view(np.int64), n[order].astype(np.int64), place[order].astype(np.int64)
-        keep = np.ones(len(token), bool)
-        keep[1:] = (token[1:] != token[:-1]) | (group[1:] != group[:-1])
-        token, group, n, place = token[keep], group[keep], n[keep], place[keep]
-        first = np.flatnonzero(np.diff(token, prepend=-1))
-        size = np.diff(np.append(first, len(token)))
-        size_of, index = np.repeat(size, size), np.repeat(np.arange(len(first)), size)
-        # two groups of a shingle make a pair; more are chained in several orders that all shingles have in common, so that
-        # large groups of copies hang together by as many pairs as there are entries
-        left, right = [np.flatnonzero((token[1:] == token[:-1]))], []
-        right.append(left[0] + 1)
-        for order in range(1, CHAINS):
-            at = np.lexsort((mix(group.view(np.uint64) + _U(order)), index))
-            at = at[size_of > 2]  # sizes stand in the same order
-            next_ = np.flatnonzero(index[at][1:] == index[at][:-1])
-            left.append(at[next_])
-            right.append(at[next_ + 1])
-        left, right = np.concatenate(left), np.concatenate(right)
-        ok = (group[left] != group[right]) & fits(n[left], place[left], n[right], place[right])
-        a, b = group[left[ok]], group[right[ok]]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        bucket = key[0].as_py()
+        if bucket >= n_buckets:
+            none, more, own = np.zeros(0, np.int64), np.ones(len(token), bool), -1 - token
+            pairs = np.stack([none, none], 1)
+        else:
+            first = np.flatnonzero(np.diff(token, prepend=-1))
+            size = np.diff(np.append(first, len(token)))
+            size_of = np.repeat(size, size)
+            few, left, right = size_of <= FEW, [], []
+            for d in range(1, min(FEW, len(token))):
+                at = np.flatnonzero(few[:-d] & (token[d:] == token[:-d]))
+                left.append(at)
+                right.append(at + d)
+            left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+            ok = (group[left] != group[right]) & fits(n[left], place[left], n[right], place[right])
+            a, b = group[left[ok]], group[right[ok]]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+            more = ~few
+            own = token[more] * n_buckets + bucket
         none = pa.nulls(len(pairs), pa.int64())
-        more = size_of > 2
-        own = token[more] * n_buckets + key[0].as_py()
         return pa.table(
             {
                 "token": pa.chunked_array([none, pa.array(own)]),
@@ -251,7 +292,39 @@ def candidates(docs: DataFrame, common, n_buckets: int) -> DataFrame:
             }
         )
 
-    return docs.select("text").mapInArrow(send, "bucket int, data binary").groupBy("bucket").applyInArrow(meet, CANDIDATES)
+    return groups.select("group", "n", "data").mapInArrow(send, "bucket int, data binary").groupBy("bucket").applyInArrow(meet, CANDIDATES)
+
+
+def heads(groups: DataFrame) -> DataFrame:
+    """group, the first HEAD shingles of its prefix, and its parity bitmap as integers."""
+
+    def scan(batches):
+        for batch in batches:
+            head = [np.frombuffer(d.as_buffer(), np.int64)[:HEAD] for d in batch.column(1)]
+            bits = [None if d is None else np.frombuffer(d, np.int64) for d in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(head, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["group", "head", "bits"])
+
+    return groups.select("group", "data", "bits").mapInArrow(scan, "group long, head array<long>, bits array<long>")
+
+
+def paired(entry: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of groups that share a shingle (token) of `entry` (token, group, n, place) and fit.
+
+    A shingle's groups are dealt to parts, and each two parts meet under a key of their own. A pair is left to the first
+    shingle that both have, as far as heads tell, and left out if more places of their bitmaps differ than shingles may.
+    """
+    parts = entry.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    rows = entry.join(parts, "token").join(heads(groups.join(entry.select("group").distinct(), "group", "left_semi")), "group")
+    rows = stored(rows.select("token", "group", "n", "place", "parts", F.slice("head", F.lit(1), F.least(F.col("place"), F.lit(HEAD)).cast("int")).alias("head"), "bits", F.pmod(F.xxhash64("group"), "parts").alias("part")))
+    side = lambda s, i, j: rows.select("token", i.alias("i"), j.alias("j"), *[F.col(c).alias(f"{c}_{s}") for c in ("group", "n", "place", "head", "bits")])
+    own = F.col("part")
+    a, b = side("a", own, F.explode(F.sequence(own, F.col("parts") - 1))), side("b", F.explode(F.sequence(F.lit(0).cast("long"), own)), own)
+    other = (F.col("i") < F.col("j")) | (F.col("group_a") < F.col("group_b"))
+    fit = fits(F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b"))
+    apart = sum((F.bit_count(F.get(F.col("bits_a"), F.lit(k)).bitwiseXOR(F.get(F.col("bits_b"), F.lit(k)))) for k in range(PARITY)), F.lit(0))
+    fit = fit & F.coalesce(7 * apart <= F.col("n_a") + F.col("n_b"), F.lit(True))
+    met = a.join(b, ["token", "i", "j"]).where(other & (F.col("group_a") != F.col("group_b")) & fit & ~F.arrays_overlap("head_a", "head_b"))
+    return met.select(F.least("group_a", "group_b").alias("a"), F.greatest("group_a", "group_b").alias("b")).distinct()
 
 
 def _folded(data: np.ndarray, size: int) -> np.ndarray:
@@ -293,24 +366,39 @@ def full_sets(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose Jaccard similarity is 0.75 or more. Written out."""
+    """The pairs (a, b) of classes whose Jaccard similarity is 0.75 or more. Written out.
+
+    Classes are dealt to cells of about BLOCK that have a neighbour in common; a block is what is between two cells.
+    """
     pairs = stored(possible(pairs, classes))
-    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    firsts = classes.join(wanted, "class", "left_semi").select("uid")
-    sets = stored(full_sets(docs, firsts).groupBy("class").agg(F.min("data").alias("data")))
+    ends = pairs.select(F.col("a").alias("class"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("class"), F.col("a").alias("other")))
+    near = stored(ends.groupBy("class").agg(F.least(F.min("other"), F.col("class")).alias("label")))
+    parts = near.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    cells = near.join(parts, "label").select("class", F.xxhash64("label", F.pmod(F.xxhash64("class"), "parts")).alias("cell"))
+    of = lambda s: cells.select(F.col("class").alias(s), F.col("cell").alias(f"c_{s}"))
+    placed = stored(pairs.join(of("a"), "a").join(of("b"), "b").select(F.xxhash64(F.least("c_a", "c_b"), F.greatest("c_a", "c_b")).alias("block"), "a", "b"))
+    sets = full_sets(docs, classes.join(near, "class", "left_semi").select("uid")).groupBy("class").agg(F.min("data").alias("data"))
+    needed = placed.select("block", F.col("a").alias("class")).unionByName(placed.select("block", F.col("b").alias("class"))).distinct()
+    none = F.lit(None)
+    rows = needed.join(sets, "class").select("block", F.col("class").alias("a"), none.cast("long").alias("b"), "data").unionByName(placed.select("block", "a", "b", none.cast("binary").alias("data")))
 
     def scan(batches):
-        for batch in batches:
+        own, known = None, {}
+        for batch in batches:  # of each block first the sets, then the pairs
             keep = []
-            for p, q in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
+            for block, a, b, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != own:
+                    own, known = block, {}
+                if b is None:
+                    known[a] = np.frombuffer(data, np.uint64)
+                    keep.append(False)
+                    continue
+                both = np.sort(np.concatenate([known[a], known[b]]), kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= 75 * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda s: sets.select(F.col("class").alias(s), F.col("data").alias(f"d_{s}"))
-    return stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "d_a", "d_b").mapInArrow(scan, "a long, b long"))
+    return stored(rows.repartition("block").sortWithinPartitions("block", F.col("b").asc_nulls_first()).mapInArrow(scan, "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -330,35 +418,14 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def still_apart(entry: DataFrame, roots: DataFrame) -> DataFrame:
-    """token, class, root, n, place of shingles whose classes are of two components at least. Written out."""
-    entry = stored(rooted(entry.select("token", "class", "n", "place"), roots).select("token", "class", "root", "n", "place"))
-    apart = entry.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    return stored(entry.join(apart, "token"))
-
-
-def across(left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
-    """Pairs (a, b) of classes of different components that share a shingle and fit. `ordered`: both sides hold both ways."""
-    a, b = (side.select("token", F.col("class").alias(s), F.col("root").alias(f"r_{s}"), F.col("n").alias(f"n_{s}"), F.col("place").alias(f"p_{s}")) for side, s in ((left, "a"), (right, "b")))
-    other = F.col("r_a") < F.col("r_b") if ordered else F.col("r_a") != F.col("r_b")
-    return a.join(b, "token").where(other & fits(F.col("n_a"), F.col("p_a"), F.col("n_b"), F.col("p_b"))).select("a", "b").distinct()
-
-
-def picked(entry: DataFrame) -> DataFrame:
-    """About PICKS members of each shingle's largest component, where it has more."""
-    sizes = entry.groupBy("token", "root").agg(F.count("*").alias("k"))
-    largest = sizes.groupBy("token").agg(F.max(F.struct("k", "root")).alias("top")).where(f"top.k > {PICKS}").select("token", "top.k", "top.root")
-    return entry.join(largest, ["token", "root"]).where(F.pmod(F.xxhash64("class", "token"), F.col("k")) < PICKS)
-
-
 def rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Adds to `class` its component's root, itself if it has no link."""
     return nodes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, uid, n_shingles (distinct shingles), n_links (other texts linked directly that the search had to look at; 0
-    for none), component_id (smallest doc_id reachable by links of similarity 0.75 or more) of every row.
+    """doc_id, uid, n_shingles (distinct shingles), n_links (other texts, different as sets of shingles, whose similarity is 0.75
+    or more), component_id (smallest doc_id reachable by links of similarity 0.75 or more) of every row.
 
     A text with fewer words than a shingle is one shingle; null, empty and blank texts have none and are linked with
     nothing, so each is its own component. Equal texts are linked. Rows without doc_id take part, but a null is never the
@@ -371,26 +438,19 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     rows = stored(described(docs, common))
     full = rows.where("n > 0")
     classes = stored(full.groupBy("class").agg(F.min("uid").alias("uid"), F.min("n").alias("n"), F.min("group").alias("group"), F.min("parity").alias("parity")))
-    members = classes.select("class", "group")
-    found = stored(candidates(docs, common, n_buckets))
+    # groups of many classes are parted, so that two groups have no more than about BLOCK * BLOCK pairs of members
+    large = stored(classes.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).where("parts > 1"))
+    part = lambda p: F.when(F.col("parts").isNull(), F.col("group")).otherwise(F.xxhash64("group", p)).alias("group")
+    members = stored(classes.join(large, "group", "left").select("class", part(F.pmod(F.xxhash64("class"), "parts"))))
+    groups = prefix_groups(docs, common).join(large, "group", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts") - 1, F.lit(0)))))
+    groups = stored(groups.select(part(F.col("part")), "n", "data", "bits"))
+    found = stored(candidates(groups, common, n_buckets))
+    met = found.where("token IS NULL").select("a", "b")
+    met = met.unionByName(paired(found.where("token IS NOT NULL").select("token", F.col("a").alias("group"), "n", "place"), groups))
     side = lambda s: members.select(F.col("group").alias(f"g_{s}"), F.col("class").alias(s))
-    # members of a group of several classes are tied to one of them
-    several = members.groupBy("group").agg(F.min("class").alias("a"), F.count("*").alias("k")).where("k > 1")
-    within = members.join(several, "group").where("class <> a").select("a", F.col("class").alias("b"))
-    pairs = found.where("token IS NULL").select(F.col("a").alias("g_a"), F.col("b").alias("g_b")).distinct()
-    pairs = pairs.join(side("a"), "g_a").join(side("b"), "g_b").select("a", "b").unionByName(within)
-    links = linked(pairs, docs, classes)
-    roots = stored(components(links))
-    # groups that share a shingle and are still apart; a group's members share all of its prefix
-    entry = found.where("token IS NOT NULL").select("token", F.col("a").alias("group"), "n", "place").unionByName(
-        classes.join(several.select("group"), "group").select(F.col("group").alias("token"), "group", "n", F.lit(0).cast("long").alias("place")).distinct()
-    )
-    entry = still_apart(entry.join(members, "group"), roots)
-    links = links.unionByName(linked(across(entry, picked(entry), False), docs, classes))
-    roots = stored(components(links))
-    entry = still_apart(entry, roots)
-    rest = across(entry, entry, True)
-    links = links.unionByName(linked(rest, docs, classes))
+    within = side("a").join(side("b"), F.col("g_a") == F.col("g_b")).where("a < b").select("a", "b")
+    pairs = met.distinct().select(F.col("a").alias("g_a"), F.col("b").alias("g_b")).join(side("a"), "g_a").join(side("b"), "g_b").select("a", "b")
+    links = linked(pairs.unionByName(within), docs, classes)
     roots = stored(components(links))
     degree = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
     known = rooted(rows.where("n > 0").select("doc_id", "uid", "n", "class"), roots)

@@ -101,3 +101,31 @@ def test_components(spark, edges):
                 todo += [b for a, b in edges if a == x] + [a for a, b in edges if b == x]
         want[n] = min(seen)
     assert got == want
+
+
+def all_links(docs):
+    """Rows of (doc_id, number of other sets of a similarity of 0.75 or more)."""
+    sets = []
+    for _, t in docs:
+        w = t.lower().split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))))
+    kinds = set(sets)
+    links = {s: sum(100 * len(s & o) >= 75 * len(s | o) for o in kinds if o != s) for s in kinds}
+    return sorted((d, links[s]) for (d, _), s in zip(docs, sets))
+
+
+@pytest.mark.parametrize("few, block, hot, head", [(16, 64, 12, 64), (2, 4, 12, 64), (2, 4, 5, 3)])
+def test_all_links_count(spark, monkeypatch, few, block, hot, head):
+    """Texts that are all similar are each linked with all others, copies count once, whatever the blocks."""
+    rng = random.Random(4)
+    base, other = ([f"{c}{i}" for i in range(150)] for c in "vy")
+    docs = [(i, " ".join([*base, f"x{i}"])) for i in range(60)] + [(60 + i, " ".join([*base, f"x{i}"])) for i in range(20)]
+    docs += [(100 + i, edited(rng, other, 0.015 * (i % 4))) for i in range(50)]
+    docs += [(200 + i, " ".join([*[f"g{k}" for k in range(40)], *([f"h{k}" for k in range(i)])])) for i in range(8)]
+    for name, value in (("FEW", few), ("BLOCK", block), ("HOT", hot), ("HEAD", head)):
+        monkeypatch.setattr(S, name, value)
+    got = S.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = all_links(docs)
+    assert sorted((r.doc_id, r.n_links) for r in got) == want
+    assert want[0] == (0, 59)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == brute(docs)
