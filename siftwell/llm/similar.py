@@ -94,14 +94,19 @@ def buckets(docs: DataFrame) -> int:
     return max(512, -(-size // (4 * BUCKET)))
 
 
-def _sent(parts, columns_of):
-    """Batches of (bucket, data): `columns_of` gives a part's bucket of each row and its columns."""
+def _sent(parts, columns_of, added: bool = False):
+    """Batches of (bucket, data): `columns_of` gives a part's bucket of each row and its columns. With `added`, rows equal
+    but for the last column become one with its sum."""
     held, size = [], 0
 
     def rows():
         columns = [np.concatenate(c) for c in zip(*held)]
         order = np.lexsort(columns[1::-1]) if len(columns) > 1 else np.argsort(columns[0])
         columns = [c[order] for c in columns]
+        if added and len(columns[0]):
+            new = np.ones(len(columns[0]), bool)
+            new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:-1]])
+            columns = [*(c[new] for c in columns[:-1]), np.add.reduceat(columns[-1], np.flatnonzero(new), dtype=columns[-1].dtype)]
         names, starts = np.unique(columns[0], return_index=True)
         ends = np.append(starts[1:], len(columns[0]))
         data = [packed([c[a:b] for c in columns[1:]]) for a, b in zip(starts.tolist(), ends.tolist())]
@@ -120,7 +125,7 @@ def _sent(parts, columns_of):
 def common_shingles(docs: DataFrame, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Cells (the upper 32 bits of a name) of common shingles, sorted, and the binary logarithms of their counts.
 
-    Counts are over all documents. Two names may share a cell: this only moves a shingle in the
+    Counts are over all documents, added up before they are sent. Two names may share a cell: this only moves a shingle in the
     order.
     """
     per = -(-(1 << 32) // n_buckets)
@@ -130,7 +135,7 @@ def common_shingles(docs: DataFrame, n_buckets: int) -> tuple[np.ndarray, np.nda
             cell = (Sets(part.column(0)).value >> _U(32)).astype(np.uint32)
             return (cell // per).astype(np.int32), cell, np.ones(len(cell), np.uint32)
 
-        return _sent(chunks(batches), cells)
+        return _sent(chunks(batches), cells, added=True)
 
     def count(table):
         cells, n = (np.concatenate(c) for c in zip(*(unpacked(d, ["<u4", "<u4"]) for d in table["data"].to_pylist())))

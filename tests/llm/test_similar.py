@@ -129,3 +129,17 @@ def test_all_links_count(spark, monkeypatch, few, block, hot, head):
     assert sorted((r.doc_id, r.n_links) for r in got) == want
     assert want[0] == (0, 59)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == brute(docs)
+
+
+def test_copies_are_sent_once_a_group(spark):
+    """Copies of a text bring one row of its group's shingles, and their shingles are counted before they are sent."""
+    text = " ".join(f"c{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, text) for i in range(3000)] + [(3000, "a b c d e f")], "doc_id long, text string").repartition(3)
+    cells, levels = S.common_shingles(docs, 8)
+    assert len(cells) == 36 and set(levels.tolist()) == {11}
+    groups = S.prefix_groups(docs, spark.sparkContext.broadcast((cells, levels)))
+    assert sorted(r.n for r in groups.collect()) == [2, 36]
+    part = S.pa.RecordBatch.from_pydict({"text": [text] * 3000})
+    ones = lambda p: (c := S.Sets(p.column(0)).value, (c % 8).astype("i4"), c, S.np.ones(len(c), "u4"))[1:]
+    sent = [S.unpacked(d, ["<u8", "<u4"]) for b in S._sent(S.chunks([part]), ones, added=True) for d in b.column(1).to_pylist()]
+    assert sum(len(x[0]) for x in sent) == 36 and sum(int(x[1].sum()) for x in sent) == 36 * 3000
