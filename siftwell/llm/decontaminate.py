@@ -5,7 +5,8 @@ k-gram name of every such span is kept as a fingerprint on both sides. So each s
 common, at one offset, and extending that hit word by word finds the span: none of `window` words or more is missed.
 
 The benchmark is a stated query set: it goes to the tasks in blocks of at most `block_bytes` of text, each block
-against all documents in one scan without a shuffle. With several blocks, a document's hits are merged by doc_id.
+against all documents in one scan without a shuffle. With several blocks, each row keeps its hits of the first, and those of the
+others, which few rows have, are joined to it by doc_id and text.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from siftwell.llm.words import NON_WORD, Words, chunks, ranges
 
 WINDOW, K = 13, 7
 BLOCK_BYTES = 16 << 20
-HITS = "doc_id long, n_words long, hits array<int>, items array<string>"
+HITS = "doc_id long, uid long, n_words long, hits array<int>, items array<string>"
 
 
 def fingerprints(words: Words, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +112,8 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: st
 
 
 def find_hits(docs: DataFrame, block) -> DataFrame:
-    """doc_id, n_words, hits (word positions), items (their ids as text) of each document against a broadcast block."""
+    """doc_id, uid (name of doc_id and text), n_words, hits (word positions), items (their ids as text) of each row against a
+    broadcast block."""
 
     def scan(batches):
         own = block.value
@@ -125,14 +127,15 @@ def find_hits(docs: DataFrame, block) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
+                    part.column(2),
                     pa.array(words.count.astype(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.searchsorted(row, edges).astype(np.int32)), pa.array((at - words.first[row]).astype(np.int32))),
                     pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, edges).astype(np.int32)), names),
                 ],
-                ["doc_id", "n_words", "hits", "items"],
+                ["doc_id", "uid", "n_words", "hits", "items"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, HITS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("uid", F.xxhash64("doc_id", "text")).mapInArrow(scan, HITS)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -144,20 +147,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     (n_hit > 0 and a twentieth of n_words at least).
 
     Null and empty texts have no words and are clean. Items without words match nothing; equal items are each
-    listed. An empty benchmark leaves all clean. Other columns of either table are ignored. Repeated rows give a row
-    each with one benchmark block; with several, rows of one doc_id are merged.
+    listed. An empty benchmark leaves all clean. Other columns of either table are ignored. Every row gives a
+    row, repeated ones and those without doc_id too, whatever the number of blocks.
     """
     sc = docs.sparkSession.sparkContext
     parts = [find_hits(docs, sc.broadcast(block)) for block in benchmark_blocks(benchmark, block_bytes=block_bytes, window=window, k=k)]
     out = parts[0]
     if len(parts) > 1:
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        out = out.groupBy("doc_id").agg(
-            F.max("n_words").alias("n_words"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
-            F.flatten(F.collect_list("items")).alias("items"),
-        )
+        more = None
+        for b, part in enumerate(parts[1:]):
+            found = part.where(F.size("items") > 0).select("uid", F.lit(b).alias("block"), F.struct("hits", "items").alias("found"))
+            more = found if more is None else more.unionByName(found)
+        # equal rows have equal hits in a block: one of them counts for all
+        more = more.groupBy("uid", "block").agg(F.first("found").alias("found")).groupBy("uid").agg(F.collect_list("found").alias("found"))
+        joined = lambda name: F.concat(name, F.coalesce(F.flatten(f"found.{name}"), F.array().cast(out.schema[name].dataType))).alias(name)
+        out = out.join(more, "uid", "left").select("doc_id", "n_words", F.array_sort(F.array_distinct(joined("hits"))).alias("hits"), joined("items"))
     return out.select(
         "doc_id",
         "n_words",

@@ -61,3 +61,19 @@ def test_empty_tables(spark):
     b = spark.createDataFrame([(1, A)], "item_id long, text string")
     assert D.decontaminate(d, b.limit(0)).collect()[0].n_hit == 0
     assert D.decontaminate(d.limit(0), b).count() == 0
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 8])
+def test_repeated_and_null_ids(spark, block_bytes):
+    """Each row gives its own row, in one block or many."""
+    items = [(1, A), (2, "Short item"), (3, "w19 w0"), (3, "w19 w0"), (4, "other words")]
+    docs = [(1, A), (1, A), (1, f"q {A}"), (1, "short item, other words"), (None, A), (None, A), (None, "short item"), (None, None), (None, None), (2, ""), (2, None), (3, f"{A} {A} short item")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [(r.doc_id, r.n_words, r.n_hit, r.n_items, ",".join(r["items"]), r.contaminated) for r in D.decontaminate(d, b, block_bytes=block_bytes).collect()]
+    want = []
+    for row in docs:
+        doc, n_words, n_hit, _, _, bad = next(brute([row], items))
+        listed = sorted(str(i) for i, t in items if next(brute([row], [(i, t)]))[2])
+        want.append((doc, n_words, n_hit, len(listed), ",".join(listed), bad))
+    by = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+    assert sorted(got, key=by) == sorted(want, key=by)
