@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -25,6 +25,9 @@ class Settings:
     #: of four documents are for the weights, the rest for the curve from logits to scores.
     sample: int = 3000
     sample_words: int = 1_000_000
+    #: Characters of one labelled text; of longer ones, `pieces` spread evenly over the whole text.
+    text_chars: int = 30_000
+    pieces: int = 50
     span: int = 32
     step: int = 16
     hidden: int = 12
@@ -292,10 +295,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, fl
     return a, -a * (level[at] + level[at + 1]) / 2
 
 
+def bounded(text: Column, s: Settings) -> Column:
+    """The text, or if it is longer than `text_chars`, about as much of it in pieces at even distances, the first and last included."""
+    size, n = s.text_chars // s.pieces, F.length(text)
+    piece = lambda i: F.substring(text, (F.floor(i * (n - size) / (s.pieces - 1)) + 1).cast("int"), F.lit(size - 1))
+    return F.when(n > s.text_chars, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(s.pieces - 1).cast("long")), piece), " ")).otherwise(text)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[list[str], np.ndarray]:
     """At most `sample` texts of each class in an order given by a hash of doc_id, cut off after `sample_words` words.
 
-    The one of conflicting labels of a document that is 1 counts; null labels and labels without document don't.
+    A text of more than `text_chars` characters counts with as many, in `pieces` over its whole length, so that no text
+    takes more than its share. The one of conflicting labels of a document that is 1 counts; null labels and labels without document don't.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
@@ -306,7 +317,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[li
     chosen = F.broadcast(chosen.select(F.col("doc_id").alias("of"), "toxic"))  # at most twice `sample` rows
     rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("of")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic", order.alias("by"))
     size = F.length("text") / 6
-    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.min("by").alias("by"))
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.min("by").alias("by")).withColumn("text", bounded(F.col("text"), s))
     # both classes are cut at half of the words each, on the executors: the driver gets no more than fits
     total = F.sum(size).over(Window.partitionBy("toxic").orderBy("by", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     table = rows.withColumn("so_far", total).where(F.col("so_far") <= s.sample_words / 2).toArrow().sort_by("doc_id")

@@ -76,3 +76,17 @@ def test_no_labels_and_empty_tables(spark, tmp_path):
         docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
         assert T.op3_recurrent_toxicity(spark, f"{tmp_path}/{name}").count() == docs.count()
+
+
+def test_long_labelled_text_leaves_room_for_others(spark):
+    """A text longer than the whole budget, first in the order, neither empties its class nor counts by its beginning alone."""
+    s = T.Settings()
+    first = spark.range(40).orderBy(T.F.xxhash64("id")).first().id
+    texts = [(i, f"text {i} is short") for i in range(40)]
+    texts[first] = (first, "begin " + "word " * 700_000 + "end")
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == first % 2)) for i in range(40)], "doc_id long, toxic int")
+    got, toxic = T.labelled_sample(d, labels, s)
+    assert len(got) == 40 and toxic.sum() == 20
+    long = max(got, key=len)
+    assert len(long) <= s.text_chars and long.startswith("begin ") and long.rstrip().endswith("en")
