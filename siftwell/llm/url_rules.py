@@ -27,7 +27,7 @@ PATTERN_RULES = [
     ("block", r"[?&](sid|phpsessid|jsessionid)=", []),
     ("block", r"/(login|signin|logout)(/|\?|#|$)", []),
     ("block", r"/wp-admin/", ["wp", "admin"]),
-    ("block", r"^https?://blog\.[^/]*example\.com/fr/", ["blog", "example", "com", "fr"]),
+    ("block", r"^https?://blog\.[^/]*example\.com/fr/", ["blog", "com", "fr"]),
     ("block", r"/print/[0-9]+(\.html)?$", ["print"]),
     ("allow", r"^https?://blog\.[^/]*/fr/[0-9]+\.html$", ["blog", "fr", "html"]),
 ]

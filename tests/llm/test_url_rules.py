@@ -47,3 +47,12 @@ def test_rules_are_filed_under_their_rarest_literal(spark):
     filed = {r.pattern: r.token for r in U.index_patterns(urls, patterns).collect()}
     assert filed[U.PATTERN_RULES[5][1]] == "fr"
     assert filed[U.PATTERN_RULES[2][1]] == ""
+
+
+def test_literals_are_whole_tokens_of_every_match(spark):
+    """A host whose name only ends in a word of the pattern is met, also where that word would be the rarest."""
+    urls = ["http://blog.myexample.com/fr/1", *["http://blog.a.com/fr/x"] * 3]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    hosts, patterns = U.rule_tables(spark)
+    got = {r.page_id: r.verdict for r in U.filter_urls(d, hosts.limit(0), patterns).collect()}
+    assert got[0] == "block" and got[1] == "allow"
