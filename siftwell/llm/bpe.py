@@ -16,15 +16,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.llm.shared import small_batches
 from siftwell.llm.units import Pool, pieces
-from siftwell.llm.words import chunks, mix, ranges
+from siftwell.llm.words import chunks, mix, ranges, text_bytes
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 NONE = np.int32(2**31 - 1)
 #: Elements of a matrix at most; rows of more bytes than LONG are merged one by one with a heap.
 CELLS, LONG = 1 << 20, 2048
-#: Bytes of text a worker encodes at once.
-BYTES = 4 << 20
+#: Bytes of text a worker encodes at once, and ids it decodes at once.
+BYTES, IDS = 1 << 19, 1 << 17
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -169,9 +170,24 @@ class Merges:
 
     def decode(self, ids: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the ids, and the edges of the texts among the bytes."""
-        size = self.size[ids]
-        sums = np.concatenate([[0], np.cumsum(size)])
-        return self.bytes[ranges(self.start[ids], size)], sums[edges]
+        sums = np.concatenate([[0], np.cumsum(self.size[ids])])
+        parts = (ids[k : k + IDS] for k in range(0, max(1, len(ids)), IDS))
+        return np.concatenate([self.bytes[ranges(self.start[p], self.size[p])] for p in parts]), sums[edges]
+
+
+def cut(text: str, size: int) -> list[str]:
+    """A long text in parts of about `size` characters. Each cut is before a space that follows no white space: a pre-token starts
+    there and none looks ahead past it, so the parts have the same pre-tokens as the text."""
+    parts, at = [], 0
+    while len(text) - at > size:
+        to = text.find(" ", at + size)
+        while to > 0 and text[to - 1].isspace():
+            to = text.find(" ", to + 1)
+        if to < 0:
+            break
+        parts.append(text[at:to])
+        at = to
+    return [*parts, text[at:]]
 
 
 class Encoder:
@@ -205,6 +221,12 @@ class Encoder:
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each has. Nulls are empty."""
         column = column.cast(pa.large_string()).fill_null("")
+        if column.nbytes > 2 * BYTES and len(column) == 1:
+            found = [self.encoded(pa.array([part], pa.large_string())) for part in cut(column[0].as_py(), BYTES)]
+            return np.concatenate([ids for ids, _ in found]), np.sum([count for _, count in found], axis=0)
+        return self.encoded(column)
+
+    def encoded(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         odd = np.asarray(pc.match_substring_regex(column, self.ODD))
         plain = np.flatnonzero(~odd)
         code, distinct, edges = pieces(column.take(pa.array(plain)))
@@ -251,44 +273,52 @@ def _binary(values: np.ndarray, edges: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers, as bytes) of each row's `text`, in one scan.
+CODED = ["doc_id long", "n_tokens long", "ids binary", "bytes binary"]
 
-    Null and empty texts have no ids. Every row gives one row; other columns are ignored.
-    """
+
+def _encoded(encoder: Encoder, batches):
+    """Batches of doc_id, n_tokens and ids from those of doc_id and text."""
+    for part in chunks(batches, size=BYTES):
+        ids, count = encoder(part.column(1))
+        edges = np.concatenate([[0], np.cumsum(count)])
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count), _binary(ids.astype("<u4"), edges * 4)], ["doc_id", "n_tokens", "ids"])
+
+
+def _decoded(merges: Merges, batches):
+    """The same batches with the bytes of their ids."""
+    for part in chunks(batches, "ids", size=BYTES):
+        data, edges = text_bytes(part.column(2))
+        values, at = merges.decode(np.frombuffer(data.tobytes(), "<u4").astype(np.int64), edges // 4)
+        yield pa.RecordBatch.from_arrays([*part.columns, _binary(values, at)], ["doc_id", "n_tokens", "ids", "bytes"])
+
+
+def _over(rows: DataFrame, path: str | None, columns: list[str], scan) -> DataFrame:
+    """The rows through `scan`, a function of an encoder and batches. The tokens are of one vocabulary's size."""
     tokens, pattern = vocabulary(path)
-    shared = docs.sparkSession.sparkContext.broadcast(tokens)
+    shared = rows.sparkSession.sparkContext.broadcast(tokens)
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(lambda batches: scan(Encoder(_merges(shared.value), pattern), batches), ", ".join(columns))
+
 
-    def scan(batches):
-        encoder = Encoder(_merges(shared.value), pattern)
-        for part in chunks(batches, size=BYTES):
-            ids, count = encoder(part.column(1))
-            edges = np.concatenate([[0], np.cumsum(count)])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count), _binary(ids.astype("<u4"), edges * 4)], ["doc_id", "n_tokens", "ids"])
+def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers, as bytes) of each row's `text`, in one scan.
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, n_tokens long, ids binary")
+    Null and empty texts have no ids. Every row gives one row, repeated ones too; other columns are ignored. A long text
+    is encoded in parts, at places where that makes no difference.
+    """
+    return _over(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path, CODED[:3], _encoded)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """Adds `bytes`, what the ids of each row stand for. Null ids stand for no bytes."""
-    tokens, _ = vocabulary(path)
-    shared = encoded.sparkSession.sparkContext.broadcast(tokens)
+    return _over(encoded.select("doc_id", "n_tokens", "ids"), path, CODED, lambda encoder, batches: _decoded(encoder.merges, batches))
 
-    def scan(batches):
-        merges = _merges(shared.value)
-        for batch in batches:
-            step = 512
-            for k in range(0, batch.num_rows, step):
-                part = batch.slice(k, step)
-                column = part.column(2).cast(pa.large_binary()).fill_null(b"")
-                edges = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
-                data = np.frombuffer(column.buffers()[2], np.uint8)[edges[0] : edges[-1]] if edges[-1] else np.zeros(0, np.uint8)
-                values, at = merges.decode(data.view("<u4").astype(np.int64), (edges - edges[0]) // 4)
-                yield pa.RecordBatch.from_arrays([*part.columns, _binary(values, at)], ["doc_id", "n_tokens", "ids", "bytes"])
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(scan, "doc_id long, n_tokens long, ids binary, bytes binary")
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """What `decode(encode(docs))` gives, in one pass with one table of merges a task."""
+    return _over(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path, CODED, lambda encoder, batches: _decoded(encoder.merges, _encoded(encoder, batches)))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    found = round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

@@ -10,29 +10,31 @@ import pyarrow.compute as pc
 
 from siftwell.llm.words import ranges
 
-#: Units that a worker remembers; beyond, it starts anew.
-POOL_UNITS = 300_000
+#: Units that a worker remembers, and characters and ids of all of them together; beyond either, it starts anew.
+POOL_UNITS, POOL_SIZE = 200_000, 6_000_000
 
 
 class Pool:
     """Ids of units met so far. `encode` turns new units into one array of ids each, as counts and a flat array."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = POOL_UNITS):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = POOL_UNITS, size: int = POOL_SIZE):
+        self.encode, self.limit, self.most = encode, limit, size
         self._clear()
 
     def _clear(self) -> None:
         self.at: dict[str, int] = {}
+        self.size = 0
         self.count, self.start, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def look_up(self, units: list[str]) -> np.ndarray:
         """Places of the units, for `gather` until the next call."""
-        if len(self.at) > self.limit:
+        if len(self.at) > self.limit or self.size > self.most:
             self._clear()
         new = [u for u in dict.fromkeys(units) if u not in self.at]
         if new:
             count, ids = self.encode(new)
             base = len(self.at)
+            self.size += sum(map(len, new)) + len(ids)
             self.at.update(zip(new, range(base, base + len(new))))
             self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
             self.count = np.concatenate([self.count, count])

@@ -12,7 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are worked on at once. Work arrays are about 60 times as large for an instant.
+#: Bytes of text that are worked on at once. Work arrays are about 60 times as large for an instant; of one text that is
+#: longer, what is kept takes about 10 times its bytes, as names are made piece by piece.
 CHUNK_BYTES = 1 << 19
 
 _U = np.uint64
@@ -54,7 +55,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's bytes and the offsets of its rows in them; nulls count as empty."""
-    column = column.cast(pa.large_string()).fill_null("")
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = column.cast(pa.large_binary() if binary else pa.large_string()).fill_null(b"" if binary else "")
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
@@ -91,10 +93,20 @@ class Words:
         #: words before each row, and the count of all at the end
         self.first = np.searchsorted(self.start, self.offsets)
         self.count = np.diff(self.first)
+        self.name = np.empty(len(self.start), np.uint64)
+        at = 0
+        while at < len(self.start):  # pieces of whole words
+            to = max(at + 1, int(np.searchsorted(self.end, self.start[at] + 2 * CHUNK_BYTES, "right")))
+            self.name[at:to] = self._names(at, to)
+            at = to
+
+    def _names(self, at: int, to: int) -> np.ndarray:
+        base, last = self.start[at], self.end[to - 1]
+        start, end, n = self.start[at:to] - base, self.end[at:to] - base, int(last - base)
         with np.errstate(over="ignore"):
             sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE[self.data] * powers(_P, n), out=sums[1:])
-            self.name = mix((sums[self.end] - sums[self.start]) * powers(_P, n + 1, True)[self.start] + (self.end - self.start).astype(np.uint64))
+            np.cumsum(_BYTE[self.data[base:last]] * powers(_P, n), out=sums[1:])
+            return mix((sums[end] - sums[start]) * powers(_P, n + 1, True)[start] + (end - start).astype(np.uint64))
 
     def __len__(self) -> int:
         return len(self.start)
@@ -103,11 +115,15 @@ class Words:
         """Name of the `size` words from each word on, and whether they are all of one row."""
         names = self.name if names is None else names
         n = max(0, len(names) - size + 1)
+        return self.spans(np.arange(n), np.arange(size, size + n), names), self.row[:n] == self.row[size - 1 : size - 1 + n]
+
+    def spans(self, first: np.ndarray, end: np.ndarray, names: np.ndarray | None = None) -> np.ndarray:
+        """Names of the words from each of `first` up to `end`, the last excluded."""
+        names = self.name if names is None else names
         with np.errstate(over="ignore"):
             sums = np.zeros(len(names) + 1, np.uint64)
             np.cumsum(names * powers(_Q, len(names)), out=sums[1:])
-            out = mix((sums[size : size + n] - sums[:n]) * powers(_Q, len(names) + 1, True)[:n] + _U(size))
-        return out, self.row[:n] == self.row[size - 1 : size - 1 + n]
+            return mix((sums[end] - sums[first]) * powers(_Q, len(names) + 1, True)[first] + (end - first).astype(np.uint64))
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

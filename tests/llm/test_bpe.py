@@ -30,6 +30,29 @@ def test_long_words():
     assert encoded(texts) == [TRUTH.encode_ordinary(t) for t in texts]
 
 
+def test_texts_longer_than_a_part(monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(B, "BYTES", 50)
+    monkeypatch.setattr(B, "IDS", 7)
+    alphabet = ["a", "the", " ", " ", "  ", "\n ", "\u3000 ", "é", "漢字", "'s", "12", "x" * 60, "\x1c ", "\xa0"]
+    merges = B.Merges(TOKENS)
+    encoder = B.Encoder(merges, PATTERN)
+    for _ in range(300):
+        text = "".join(rng.choices(alphabet, k=rng.randrange(60, 200)))
+        ids, count = encoder(pa.array([text]))
+        assert ids.tolist() == TRUTH.encode_ordinary(text) and count.tolist() == [len(ids)]
+        values, edges = merges.decode(ids.astype(np.int64), np.array([0, len(ids)]))
+        assert values.tobytes().decode() == text and edges.tolist() == [0, len(values)]
+
+
+def test_the_pool_starts_anew():
+    encoder = B.Encoder(B.Merges(TOKENS), PATTERN)
+    encoder.pool.most = 10
+    for k in range(3):
+        assert encoder(pa.array([f"some words {k}"]))[0].tolist() == TRUTH.encode_ordinary(f"some words {k}")
+    assert encoder.pool.size < 100
+
+
 def brute(rows):
     for doc, text in rows:
         ids = TRUTH.encode_ordinary(text or "")
@@ -45,6 +68,8 @@ def test_edges(spark, tmp_path):
     docs = [(1, None), (2, ""), (3, " "), (3, " "), (4, "é" * 70000), (5, "a  b"), (6, "z " * 90000), (-1, "neg")]
     spark.createDataFrame([(*r, b"x", 3) for r in docs], "doc_id long, text string, ids binary, n_tokens int").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(map(tuple, B.op8_byte_bpe(spark, str(tmp_path)).collect())) == sorted(brute(docs))
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(B.decode(B.encode(table)).collect()) == sorted(B.round_trip(table).collect())
 
 
 def test_empty_table(spark):
