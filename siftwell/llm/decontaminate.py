@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.llm.bitmap import row_name
 from siftwell.llm.words import NON_WORD, Words, chunks, ranges
 
 WINDOW, K = 13, 7
@@ -135,7 +136,7 @@ def find_hits(docs: DataFrame, block) -> DataFrame:
                 ["doc_id", "uid", "n_words", "hits", "items"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("uid", F.xxhash64("doc_id", "text")).mapInArrow(scan, HITS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("uid", row_name()).mapInArrow(scan, HITS)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -14,12 +14,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.llm.bitmap import Bitmap, row_name
+from siftwell.llm.exchange import SENT, buckets, received, sent, spread
 from siftwell.llm.shared import small_batches, stored
-from siftwell.llm.substrings import Bitmap
 from siftwell.llm.words import SPACE, Words, chunks, mix, ranges
 
 SHINGLE = 5
@@ -33,8 +33,6 @@ HOT = 12
 HEAD = 64
 #: 64-bit words of the parity bitmap by which groups of a common shingle are told apart before they are paired.
 PARITY = 8
-#: Bytes of text whose shingles are sent on together, and shingles a bucket should have.
-SEND_BYTES, BUCKET = 8 << 20, 1 << 19
 _U = np.uint64
 
 
@@ -72,73 +70,22 @@ class Sets:
         return mix(out)
 
 
-def packed(columns: list[np.ndarray]) -> bytes:
-    """Columns of 32- or 64-bit integers, their bytes plane by plane, compressed."""
-    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.ravel() for c in columns]
-    return zstandard.ZstdCompressor(level=1).compress(np.concatenate(planes).tobytes())
-
-
-def unpacked(data: bytes, kinds: list[str]) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    sizes = [np.dtype(k).itemsize for k in kinds]
-    n, out, at = len(raw) // sum(sizes), [], 0
-    for kind, size in zip(kinds, sizes):
-        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(kind).ravel())
-        at += n * size
-    return out
-
-
-def buckets(docs: DataFrame) -> int:
-    """How many parts the shingles are dealt to, by the size of the texts."""
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    return max(512, -(-size // (4 * BUCKET)))
-
-
-def _sent(parts, columns_of, added: bool = False):
-    """Batches of (bucket, data): `columns_of` gives a part's bucket of each row and its columns. With `added`, rows equal
-    but for the last column become one with its sum."""
-    held, size = [], 0
-
-    def rows():
-        columns = [np.concatenate(c) for c in zip(*held)]
-        order = np.lexsort(columns[1::-1]) if len(columns) > 1 else np.argsort(columns[0])
-        columns = [c[order] for c in columns]
-        if added and len(columns[0]):
-            new = np.ones(len(columns[0]), bool)
-            new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:-1]])
-            columns = [*(c[new] for c in columns[:-1]), np.add.reduceat(columns[-1], np.flatnonzero(new), dtype=columns[-1].dtype)]
-        names, starts = np.unique(columns[0], return_index=True)
-        ends = np.append(starts[1:], len(columns[0]))
-        data = [packed([c[a:b] for c in columns[1:]]) for a, b in zip(starts.tolist(), ends.tolist())]
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
-
-    for part in parts:
-        held.append(columns_of(part))
-        size += part.nbytes
-        if size >= SEND_BYTES:
-            yield rows()
-            held, size = [], 0
-    if held:
-        yield rows()
-
-
 def common_shingles(docs: DataFrame, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Cells (the upper 32 bits of a name) of common shingles, sorted, and the binary logarithms of their counts.
 
     Counts are over all documents, added up before they are sent. Two names may share a cell: this only moves a shingle in the
     order.
     """
-    per = -(-(1 << 32) // n_buckets)
 
     def send(batches):
         def cells(part):
-            cell = (Sets(part.column(0)).value >> _U(32)).astype(np.uint32)
-            return (cell // per).astype(np.int32), cell, np.ones(len(cell), np.uint32)
+            value = Sets(part.column(0)).value
+            return spread(value, n_buckets), (value >> _U(32)).astype(np.uint32), np.ones(len(value), np.uint32)
 
-        return _sent(chunks(batches), cells, added=True)
+        return sent(chunks(batches), cells, np.add)
 
     def count(table):
-        cells, n = (np.concatenate(c) for c in zip(*(unpacked(d, ["<u4", "<u4"]) for d in table["data"].to_pylist())))
+        cells, n = received(table, ["<u4", "<u4"])
         order = np.argsort(cells, kind="stable")
         cells, n = cells[order], n[order].astype(np.int64)
         first = np.flatnonzero(np.diff(cells.astype(np.int64), prepend=-1))
@@ -146,7 +93,7 @@ def common_shingles(docs: DataFrame, n_buckets: int) -> tuple[np.ndarray, np.nda
         often = n >= COMMON
         return pa.table({"cell": cells[first[often]].astype(np.int64), "level": np.log2(n[often]).astype(np.int32)})
 
-    found = stored(docs.select("text").mapInArrow(send, "bucket int, data binary").groupBy("bucket").applyInArrow(count, "cell long, level int"))
+    found = stored(docs.select("text").mapInArrow(send, SENT).groupBy("bucket").applyInArrow(count, "cell long, level int"))
     least, total = 0, 0
     for r in found.groupBy("level").count().orderBy(F.desc("level")).collect():  # a row a power of two
         total += r["count"]
@@ -255,16 +202,16 @@ def candidates(groups: DataFrame, common, n_buckets: int) -> DataFrame:
             value = np.frombuffer(b"".join(data), np.uint64)
             group, n = (np.repeat(np.asarray(part.column(k)), size) for k in (0, 1))
             place = ranges(np.zeros(len(size), np.int64), size)
-            spread, group = mix(value), group.view(np.uint64)
+            token, group = mix(value), group.view(np.uint64)
             # what many documents have doesn't meet in one bucket: these buckets only pass it on
             hot = level_of(value, cells, levels) >= HOT
-            bucket = np.where(hot, _U(n_buckets) + mix(group) % _U(n_buckets), spread % _U(n_buckets))
-            return bucket.astype(np.int32), (spread >> _U(32)).astype(np.uint32), group, n.astype(np.uint32), place.astype(np.uint32)
+            bucket = np.where(hot, _U(n_buckets) + mix(group) % _U(n_buckets), token % _U(n_buckets))
+            return bucket.astype(np.int32), (token >> _U(32)).astype(np.uint32), group, n.astype(np.uint32), place.astype(np.uint32)
 
-        return _sent(batches, entries)
+        return sent(batches, entries)
 
     def meet(key, table):
-        token, group, n, place = (np.concatenate(c) for c in zip(*(unpacked(d, ["<u4", "<u8", "<u4", "<u4"]) for d in table["data"].to_pylist())))
+        token, group, n, place = received(table, ["<u4", "<u8", "<u4", "<u4"])
         order = np.lexsort((group, token))
         token, group, n, place = token[order].astype(np.int64), group[order].view(np.int64), n[order].astype(np.int64), place[order].astype(np.int64)
         bucket = key[0].as_py()
@@ -297,7 +244,7 @@ def candidates(groups: DataFrame, common, n_buckets: int) -> DataFrame:
             }
         )
 
-    return groups.select("group", "n", "data").mapInArrow(send, "bucket int, data binary").groupBy("bucket").applyInArrow(meet, CANDIDATES)
+    return groups.select("group", "n", "data").mapInArrow(send, SENT).groupBy("bucket").applyInArrow(meet, CANDIDATES)
 
 
 def heads(groups: DataFrame) -> DataFrame:
@@ -437,7 +384,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     smallest unless there is no other. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("uid"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_name().alias("uid"))
     n_buckets = buckets(docs)
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, n_buckets))  # MOST_COMMON at most
     rows = stored(described(docs, common))

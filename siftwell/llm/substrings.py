@@ -1,14 +1,19 @@
 """Substring deduplication by recompression.
 
-Rounds rename each text's words: runs of two equal symbols and pairs of unlike neighbours become one symbol. Which
-pairs join is told by a bit of each symbol's own name, and a new name is a fingerprint of what it stands for, so names are
-global without an exchange, and equal substrings get equal symbols but for `CONTEXT` words at either end. Of the symbols
-that begin in a window's interior the one of least name is the window's anchor; anchors with equal words around them
-reveal the windows that may repeat. What they share is verified by the names of the whole segments of words that an anchor's
-windows span, and where segments of one anchor differ, window by window.
+A text is a sequence of symbols, its words at first. In the first round each run of equal words becomes one symbol, and in each
+round so do pairs of neighbours: a bit of its name tells whether a symbol joins to the right or to the left, so equal
+substrings are parsed alike but for `CONTEXT` words at either end. Each round is a Spark job that names the new symbols globally:
+what stands for one name is gathered, two things of one name get names of their own, and a symbol that only one document
+has is told from those that documents share. A lone symbol joins no more, and no window with one in its interior repeats, so
+the next rounds name only what windows of shared symbols still hold. ROUNDS is the most for which a window of 50 words is sure
+to keep whole symbols, of up to SYMBOL words, in its interior.
+
+The windows left are found by their anchors: the symbol of least name among those that begin in a window's interior. Anchors
+with equal words around them reveal what may repeat. It is verified by the names of the whole segments of words that an anchor's
+windows span, and where segments of one anchor differ, window by window. Keys and names together are 128 bits.
 
 Work that grows with the corpus is keyed aggregation and joins. Text is shuffled only for documents that a bitmap of
-bounded size can't rule out.
+bounded size can't rule out; bitmaps of lone symbols fill up on very large corpora, and then only save less work.
 """
 
 from __future__ import annotations
@@ -19,101 +24,207 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.llm.bitmap import Bitmap, row_name
+from siftwell.llm.exchange import SENT, buckets, received, sent, spread
 from siftwell.llm.shared import small_batches, stored
 from siftwell.llm.words import SPACE, Words, chunks, mix, ranges
 
-WINDOW, ROUNDS = 50, 2
-#: Bits of the bitmap of documents at most, and for each document while there are few.
-MOST_BITS, BITS_EACH = 1 << 27, 16
+WINDOW, ROUNDS = 50, 3
 _U = np.uint64
 
 
 def context(rounds: int = ROUNDS) -> tuple[int, int]:
-    """Words at either end of a shared stretch whose symbols may differ, and words a symbol has at most."""
-    edge, size = 0, 1
-    for r in range(rounds):
-        if r == 0:  # a run at the edge may go on outside
-            edge, size = edge + 2, 2
+    """Words at either end of a shared stretch without runs at its ends whose symbols may differ, and words of a symbol that
+    is no run at most. A word at the end may be of a run outside, and each round may join the next symbol to what is outside."""
+    edge, size = 1, 1
+    for _ in range(rounds):
         edge, size = edge + size, 2 * size
     return edge, size
 
 
 CONTEXT, SYMBOL = context()
-#: Words in which a window's anchor may begin, counted from its start: CONTEXT .. CONTEXT + ZONE - 1.
+#: Words in which a window's anchor may begin, counted from its start: CONTEXT .. CONTEXT + ZONE - 1; words that all windows
+#: of one anchor have, from CONTEXT before it on.
 ZONE = WINDOW - 2 * CONTEXT - SYMBOL + 1
-
-
-def recompress(name: np.ndarray, row: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the symbols of the last round and the word each begins at. Nothing joins across rows."""
-    at = np.arange(len(name))
-    with np.errstate(over="ignore"):
-        for r in range(rounds):
-            if r == 0:
-                same = np.zeros(len(name) + 1, bool)
-                same[1:-1] = (name[1:] == name[:-1]) & (row[at[1:]] == row[at[:-1]])
-                run = np.flatnonzero(same[1:-1] & ~same[:-2] & ~same[2:])  # first of exactly two equal words
-                name, at = _joined(name, at, run, _U(2 * r + 1))
-            side = (mix(name + _U(r * 0x9E3779B97F4A7C15 & 2**64 - 1)) >> _U(40)) & _U(1)
-            pair = np.flatnonzero((side[:-1] == 0) & (side[1:] == 1) & (row[at[1:]] == row[at[:-1]]))
-            name, at = _joined(name, at, pair, _U(2 * r + 2))
-    return name, at
-
-
-def _joined(name: np.ndarray, at: np.ndarray, first: np.ndarray, kind: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    name = name.copy()
-    name[first] = mix(name[first] * _U(0xD6E8FEB86659FD93) + mix(name[first + 1] + kind))
-    keep = np.ones(len(name), bool)
-    keep[first + 1] = False
-    return name[keep], at[keep]
-
-
-def anchors(words: Words) -> tuple[np.ndarray, ...]:
+AROUND = WINDOW - ZONE + 1
+
+
+class Symbols:
+    """The texts of a chunk as symbols: name, first word (at) and number of words (size) of each; `free` ones may join, `lone`
+    ones are in one document only. `made` are those of the last round, `check` other names of what they stand for."""
+
+    def __init__(self, words: Words, bits: int = 64):
+        """With each run of equal words as one symbol, which joins no others. Names have their lowest `bits` alone."""
+        self.words, self.mask, self.round = words, _U(2**bits - 1), 0
+        new = np.ones(len(words), bool)
+        new[1:] = (words.name[1:] != words.name[:-1]) | (words.row[1:] != words.row[:-1])
+        self.at = np.flatnonzero(new)
+        self.size = np.diff(np.append(self.at, len(words)))
+        self.name, self.row = words.name[self.at], words.row[self.at]
+        self.first_at, self.first_size = self.at, self.size
+        self.free, self.lone = self.size == 1, np.zeros(len(self.at), bool)
+        self.made = np.flatnonzero(self.size > 1)
+        self.check = self._named(self.made, self.size[self.made].astype(np.uint64))
+
+    def _named(self, places: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Names the symbols at `places` by what they were and a second part; returns their other names."""
+        first, kind = self.name[places], _U(self.round + 1)
+        with np.errstate(over="ignore"):
+            self.name[places] = mix(first * _U(0xD6E8FEB86659FD93) + mix(second + kind)) & self.mask
+            return mix(mix(first + kind) * _U(0x9FB21C651E98DF25) + second)
+
+    def settle(self, shared, clashes: np.ndarray) -> None:
+        """Ends a round: `shared` tells names that documents share, `clashes` are names of more than one thing."""
+        names = self.name[self.made]
+        clash = np.isin(names, clashes)
+        lone = ~(shared(names) | clash)
+        names[clash] = mix(names[clash] ^ self.check[clash])
+        self.name[self.made], self.lone[self.made] = names, lone
+        self.free[self.made] &= ~lone
+
+    def join(self) -> None:
+        """Begins a round: free neighbours of one text become one symbol if their names' bits tell them to."""
+        self.round += 1
+        side = (mix(self.name + _U(self.round * 0x9E3779B97F4A7C15 & 2**64 - 1)) >> _U(40)) & _U(1) == 1
+        first = np.flatnonzero(self.free[:-1] & self.free[1:] & ~side[:-1] & side[1:] & (self.row[1:] == self.row[:-1]))
+        self.check = self._named(first, self.name[first + 1])
+        self.size = self.size.copy()
+        self.size[first] += self.size[first + 1]
+        keep = np.ones(len(self.name), bool)
+        keep[first + 1] = False
+        self.made = (np.cumsum(keep) - 1)[first]
+        self.name, self.row, self.at, self.size, self.free, self.lone = (x[keep] for x in (self.name, self.row, self.at, self.size, self.free, self.lone))
+
+    def windows(self) -> np.ndarray:
+        """For each word, whether a window begins there that may be another document's too. A window in a run at its start or end is
+        parsed like others of its words in fewer places, so lone symbols don't rule it out."""
+        words = self.words
+        n = max(0, len(words) - WINDOW + 1)
+        begin, end = self.at[self.lone], (self.at + self.size)[self.lone]
+        low, high = np.maximum(end - (WINDOW - CONTEXT), 0), begin - CONTEXT + 1
+        there = (low < high) & (low < n)
+        marks = np.zeros(n + 1, np.int64)
+        np.add.at(marks, low[there], 1)
+        np.add.at(marks, np.minimum(high[there], n), -1)
+        whole = words.row[:n] == words.row[WINDOW - 1 : WINDOW - 1 + n]
+        starts_in_run, ends_in_run = self.runs(n)
+        return whole & ((np.cumsum(marks[:-1]) == 0) | starts_in_run | ends_in_run)
+
+    def runs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the first n windows: whether the first two words are equal, and the last two."""
+        same = np.ones(len(self.words), bool)
+        same[self.first_at + self.first_size - 1] = False  # as the next word
+        return same[:n], same[WINDOW - 2 : WINDOW - 2 + n]
+
+    def to_name(self) -> np.ndarray:
+        """The made symbols that windows of `windows` reach into."""
+        live = self.windows()
+        marks = np.zeros(len(self.words) + 1, np.int64)
+        marks[: len(live)] += live
+        marks[WINDOW : WINDOW + len(live)] -= live
+        covered = np.cumsum(marks[:-1]) > 0
+        return self.made[covered[self.at[self.made]] | covered[(self.at + self.size)[self.made] - 1]]
+
+
+def parsed(words: Words, rounds: list, bits: int = 64) -> Symbols:
+    """The symbols after the rounds that are settled, each by its (shared, clashes), and the joins of the next."""
+    symbols = Symbols(words, bits)
+    for k, (shared, clashes) in enumerate(rounds):
+        symbols.settle(shared, clashes)
+        if k < ROUNDS:
+            symbols.join()
+    return symbols
+
+
+def settled(docs: DataFrame, bits: int = 64) -> list:
+    """The rounds: for each, a test of names that documents share and the names that stood for more than one thing. The
+    round of runs comes first. Of the clashing names, some 2 ** -65 of the square of all, the driver and the tasks hold an array."""
+    rounds: list = []
+    n_buckets = buckets(docs)
+    for _ in range(ROUNDS + 1):
+        done = list(rounds)
+
+        def send(batches, done=done):
+            def columns(part):
+                symbols = parsed(Words(part.column(1), SPACE), done, bits)
+                at = symbols.to_name()
+                check = symbols.check[np.searchsorted(symbols.made, at)]
+                doc = np.asarray(part.column(0))[symbols.row[at]]
+                return spread(mix(symbols.name[at]), n_buckets), symbols.name[at], check, doc, doc
+
+            return sent(chunks(batches), columns, np.minimum, np.maximum)
+
+        def gather(table):
+            name, check, least, most = received(table, ["<u8", "<u8", "<i8", "<i8"])
+            order = np.lexsort((check, name))
+            name, check, least, most = name[order], check[order], least[order], most[order]
+            first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, np.int64)
+            last = np.append(first[1:], len(name)) - 1
+            clash = check[first] != check[last]
+            keep = clash | (np.minimum.reduceat(least, first) < np.maximum.reduceat(most, first))
+            return pa.table({"name": name[first][keep].view(np.int64), "clash": clash[keep]})
+
+        named = docs.select("doc_id", "text").mapInArrow(send, SENT).groupBy("bucket").applyInArrow(gather, "name long, clash boolean")
+        named = stored(named)
+        clashes = np.asarray(named.where("clash").select("name").toArrow()["name"].combine_chunks()).astype(np.int64).view(np.uint64)
+        rounds.append((Bitmap(named.where("NOT clash").select("name")).tester(), clashes))
+    return rounds
+
+
+def anchors(words: Words, symbols: Symbols) -> tuple[np.ndarray, ...]:
     """For each stretch of windows with one anchor: key (the words around the anchor), segment (all words of the stretch,
-    with the anchor's place among them), first window (as a word of the chunk) and number of windows."""
+    with the anchor's place among them), first window (as a word of the chunk) and number of windows.
+
+    A window that begins in a run of equal words has the run's end for its anchor, one that ends in a run the run's start, and
+    windows within a run are one stretch.
+    """
     n = max(0, len(words) - WINDOW + 1)
     none = np.zeros(0, np.int64)
-    if not n:
+    starts = np.flatnonzero(symbols.windows())
+    if not len(starts):
         return none.astype(np.uint64), none.astype(np.uint64), none, none
-    whole = words.row[:n] == words.row[WINDOW - 1 : WINDOW - 1 + n]
-    name, at = recompress(words.name, words.row)
     # names that order the symbols, at their first words; a word in the midst of a symbol is never least
     order = np.full(len(words), np.iinfo(np.uint64).max, np.uint64)
-    order[at] = mix(name ^ _U(0xA5A5A5A5DEADBEEF)) >> _U(1)
-    best, where = order[CONTEXT : CONTEXT + n].copy(), np.arange(CONTEXT, CONTEXT + n)
-    for j in range(1, ZONE):  # the first of the least
-        other = order[CONTEXT + j : CONTEXT + j + n]
+    order[symbols.at] = mix(symbols.name ^ _U(0xA5A5A5A5DEADBEEF)) >> _U(1)
+    anchor, best = starts + CONTEXT, order[starts + CONTEXT]
+    for j in range(CONTEXT + 1, CONTEXT + ZONE):  # the first of the least
+        other = order[starts + j]
         less = other < best
         best[less] = other[less]
-        where[less] = np.flatnonzero(less) + CONTEXT + j
-    starts = np.flatnonzero(whole)
-    anchor = where[starts]
+        anchor[less] = starts[less] + j
+    run_start, run_end = (np.repeat(x, symbols.first_size) for x in (symbols.first_at, symbols.first_at + symbols.first_size))
+    starts_in_run, ends_in_run = (x[starts] for x in symbols.runs(n))
+    kind = np.where(starts_in_run, 1, np.where(ends_in_run, 2, 0))
+    anchor = np.where(kind == 1, run_end[starts], np.where(kind == 2, run_start[starts + WINDOW - 1], anchor))
+    kind[(kind == 1) & (anchor - starts >= WINDOW)] = 3
     new = np.ones(len(starts), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (np.diff(starts) > 1)
-    first = starts[new]
+    new[1:] = (anchor[1:] != anchor[:-1]) | (kind[1:] != kind[:-1]) | (np.diff(starts) > 1)
+    first, anchor, kind = starts[new], anchor[new], kind[new]
     count = np.diff(np.append(np.flatnonzero(new), len(starts)))
-    anchor = anchor[new]
-    around, _ = words.windows(WINDOW - CONTEXT - ZONE - CONTEXT + 1 + CONTEXT)
-    key = around[anchor - CONTEXT]
-    windows, _ = words.windows(WINDOW)
+    low = np.choose(kind, [anchor - CONTEXT, anchor - 2, anchor - 1, first])
+    size = np.choose(kind, [np.full(len(kind), AROUND), np.full(len(kind), 3), np.full(len(kind), 3), np.full(len(kind), WINDOW)])
+    head, tail = words.spans(first, first + WINDOW), words.spans(first + count - 1, first + count - 1 + WINDOW)
     with np.errstate(over="ignore"):
+        key = mix(words.spans(low, low + size) + kind.astype(np.uint64))
         # the first and the last window tell all words between, as they overlap or touch for up to WINDOW windows
-        segment = mix(windows[first] * _U(0x9FB21C651E98DF25) + mix(windows[first + count - 1] + (count * 4096 + anchor - first).astype(np.uint64)))
+        segment = mix(head * _U(0x9FB21C651E98DF25) + mix(tail + (count * 4096 + anchor - first).astype(np.uint64)))
+        segment[kind == 3] = mix(head[kind == 3])
     return key, segment, first, count
 
 
 def identified(docs: DataFrame) -> DataFrame:
     """doc_id, text, uid, which tells rows of one doc_id with different texts apart, and whole rows without their text."""
     others = [F.col(c) for c in docs.columns if c != "text"]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("uid"), F.struct(*others).alias("others"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_name().alias("uid"), F.struct(*others).alias("others"))
 
 
-def stretches(docs: DataFrame) -> DataFrame:
+def stretches(docs: DataFrame, rounds: list, bits: int = 64) -> DataFrame:
     """key, segment, doc_id, uid, first (window within the text), n of every anchor."""
 
     def scan(batches):
         for part in chunks(batches):
             words = Words(part.column(1), SPACE)
-            key, segment, first, count = anchors(words)
+            key, segment, first, count = anchors(words, parsed(words, rounds, bits))
             row = words.row[first]
             place = pa.array(row)
             yield pa.RecordBatch.from_arrays(
@@ -125,24 +236,24 @@ def stretches(docs: DataFrame) -> DataFrame:
 
 
 def window_names(docs: DataFrame) -> DataFrame:
-    """name, doc_id, uid, first of the windows in `spans` (array of first and n) of each text."""
+    """key, name, doc_id, uid, first of the windows in `spans` (array of first, n and key) of each text."""
 
     def scan(batches):
         for part in chunks(batches):
             words = Words(part.column(1), SPACE)
-            names, _ = words.windows(WINDOW)
             spans = part.column(3)
             row = np.repeat(np.arange(len(spans)), np.diff(np.asarray(spans.offsets)))
             each = spans.flatten()
-            first, n = (np.asarray(each.field(k)).astype(np.int64) for k in ("first", "n"))
+            first, n, key = (np.asarray(each.field(k)).astype(np.int64) for k in ("first", "n", "key"))
             at = ranges(first, n)
             row = np.repeat(row, n)
-            place = pa.array(row)
+            place, where = pa.array(row), words.first[row] + at
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names[words.first[row] + at].view(np.int64)), part.column(0).take(place), part.column(2).take(place), pa.array(at.astype(np.int32))], ["name", "doc_id", "uid", "first"]
+                [pa.array(np.repeat(key, n)), pa.array(words.spans(where, where + WINDOW).view(np.int64)), part.column(0).take(place), part.column(2).take(place), pa.array(at.astype(np.int32))],
+                ["key", "name", "doc_id", "uid", "first"],
             )
 
-    return docs.mapInArrow(scan, "name long, doc_id long, uid long, first int")
+    return docs.mapInArrow(scan, "key long, name long, doc_id long, uid long, first int")
 
 
 def removed(docs: DataFrame, original: bool = False, only=None) -> DataFrame:
@@ -179,72 +290,35 @@ def removed(docs: DataFrame, original: bool = False, only=None) -> DataFrame:
     return docs.mapInArrow(scan, f"doc_id long, uid long, others {kinds['others']}, n_words long, n_removed long, kept string")
 
 
-class Bitmap:
-    """Which uids may be in a set: one bit for each, in at most MOST_BITS bits, whatever the set's size."""
-
-    def __init__(self, uids: DataFrame):
-        n = uids.count()
-        bits = 1 << max(10, min(MOST_BITS.bit_length() - 1, (BITS_EACH * n).bit_length()))
-        self.bits = bits
-        place = F.pmod("uid", F.lit(bits))
-        filled = uids.select(F.floor(place / 64).cast("int").alias("at"), F.expr("shiftleft(1L, cast(pmod(uid, 64) as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-        table = np.zeros(bits // 64, np.int64)  # MOST_BITS / 8 bytes at most
-        table[np.asarray(filled["at"])] = np.asarray(filled["bits"])
-        self.shared = uids.sparkSession.sparkContext.broadcast(table)
-
-    def split(self, docs: DataFrame, inside: bool) -> DataFrame:
-        """The rows whose uid may be in the set, or those whose uid isn't."""
-        return docs.mapInArrow(self.filter(inside), docs.schema)
-
-    def filter(self, inside: bool):
-        """What `split` does, as a function from batches to batches."""
-        shared, bits = self.shared, self.bits
-
-        def scan(batches):
-            table = shared.value
-            for batch in batches:
-                uid = np.asarray(batch.column(batch.schema.get_field_index("uid")))
-                place = uid & (bits - 1)
-                found = (table[place >> 6] >> (place & 63)) & 1 == 1
-                yield batch.filter(pa.array(found if inside else ~found))
-
-        return scan
-
-
-def without(docs: DataFrame, uids: DataFrame) -> DataFrame:
-    """The rows of docs whose xxhash64 of doc_id and text isn't in `uids` (uid). Only rows that a bitmap can't clear are joined."""
-    uids = stored(uids.select("uid").distinct())
-    touched, rows = Bitmap(uids), docs.withColumn("uid", F.xxhash64("doc_id", "text"))
-    return touched.split(rows, False).unionByName(touched.split(rows, True).join(uids, "uid", "left_anti").select(rows.columns)).drop("uid")
-
-
-def repeated_windows(docs: DataFrame) -> DataFrame:
+def repeated_windows(docs: DataFrame, bits: int = 64) -> DataFrame:
     """uid, first, n: stretches of windows whose words also start in a document with a smaller doc_id. Written out."""
-    found = stretches(docs)
-    classes = stored(found.groupBy("key", "segment").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_rows")))
+    docs = docs.where(F.col("doc_id").isNotNull())
+    found = stored(stretches(docs, settled(docs, bits), bits))
+    classes = stored(found.groupBy("key", "segment").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")))
     # keys around which segments differ: their windows may still repeat
     mixed = classes.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key", F.lit(True).alias("mixed"))
-    telling = classes.join(mixed, "key", "left").where("n_rows > 1 OR mixed").select("key", "segment", "least", F.coalesce("mixed", F.lit(False)).alias("mixed"))
-    met = stored(found.join(telling, ["key", "segment"]).where("doc_id > least OR mixed").select("uid", "first", "n", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("repeated")))
-    open_ = met.where("NOT repeated").groupBy("uid").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
+    telling = classes.join(mixed, "key", "left").where("least < most OR mixed").select("key", "segment", "least", F.coalesce("mixed", F.lit(False)).alias("mixed"))
+    met = stored(found.join(telling, ["key", "segment"]).where("doc_id > least OR mixed").select("uid", "key", "first", "n", (F.col("doc_id") > F.col("least")).alias("repeated")))
+    open_ = met.where("NOT repeated").groupBy("uid").agg(F.collect_set(F.struct("first", "n", "key")).alias("spans"))
     open_docs = Bitmap(open_.select("uid")).split(docs, True).join(open_, "uid").select("doc_id", "text", "uid", "spans")
     names = stored(window_names(open_docs))
-    owners = names.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    single = names.join(owners, "name").where("doc_id > least").select("uid", "first", F.lit(1).alias("n"))
+    owners = names.groupBy("key", "name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    single = names.join(owners, ["key", "name"]).where("doc_id > least").select("uid", "first", F.lit(1).alias("n"))
     return stored(met.where("repeated").select("uid", "first", "n").unionByName(single))
 
 
-def deduplicate(docs: DataFrame, original: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, original: bool = False, bits: int = 64) -> DataFrame:
     """doc_id, uid, others (the row's other columns), n_words, n_removed, kept (the words left, joined by one space) of every
     row of `docs`: each word is removed that a window of WINDOW words
     covers whose words, unchanged, also start in a document with a smaller doc_id. Windows are judged on the input.
 
     Null and empty texts have no words. Rows of one doc_id never remove each other's words, and equal rows get equal results.
     With `original`, `kept` is the text as it is where no word goes. A null doc_id is smaller than none and none is smaller than it.
+    `bits` is for tests: symbols' names of few bits, which clash.
     """
     small_batches(docs.sparkSession)
     docs = identified(docs)
-    spans = repeated_windows(docs.select("doc_id", "text", "uid")).groupBy("uid").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
+    spans = repeated_windows(docs.select("doc_id", "text", "uid"), bits).groupBy("uid").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
     spans = stored(spans)
     touched = Bitmap(spans.select("uid"))
     none = F.lit(None).cast("array<struct<first:int,n:int>>").alias("spans")

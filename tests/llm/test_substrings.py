@@ -36,23 +36,60 @@ def result(df):
     return sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in df.collect()), key=key)
 
 
+def all_shared(names):
+    return np.ones(len(names), bool)
+
+
+ROUNDS = [(all_shared, np.zeros(0, np.uint64))] * (S.ROUNDS + 1)
+
+
+def sample_pair(rng, trial):
+    """Two texts that share 50 words, of few different ones, at times with a period or runs at the ends."""
+    kind = rng.choice([2, 3, 10, 1000])
+    core = [f"w{rng.randrange(kind)}" for _ in range(50)]
+    if trial % 4 == 0:
+        period = core[: rng.randrange(1, 8)]
+        core = (period * 50)[:50]
+    if trial % 4 == 1:
+        k, m = rng.randrange(1, 50), rng.randrange(1, 50)
+        core[:k] = [core[0]] * k
+        core[m:] = [core[-1]] * (50 - m)
+    around = lambda: [f"w{rng.randrange(kind)}" for _ in range(rng.randrange(60))]
+    return [around() + core + around() for _ in range(2)]
+
+
 def test_shared_windows_share_an_anchor():
     """Whatever stands around a shared window, and however it repeats itself, both have an anchor of one key for it."""
     rng = random.Random(5)
-    for trial in range(60):
-        kind = rng.choice([2, 3, 10, 1000])
-        core = [f"w{rng.randrange(kind)}" for _ in range(50)]
-        if trial % 4 == 0:
-            period = core[: rng.randrange(1, 8)]
-            core = (period * 50)[:50]
-        texts = [" ".join([f"w{rng.randrange(kind)}" for _ in range(rng.randrange(60))] + core + [f"w{rng.randrange(kind)}" for _ in range(rng.randrange(60))]) for _ in range(2)]
-        words = Words(pa.array(texts), SPACE)
-        keys, _, first, count = S.anchors(words)
+    for trial in range(200):
+        words = Words(pa.array([" ".join(t) for t in sample_pair(rng, trial)]), SPACE)
+        keys, segments, first, count = S.anchors(words, S.parsed(words, ROUNDS))
         windows, _ = words.windows(50)
-        of = {}
-        for k, f, n in zip(keys.tolist(), first.tolist(), count.tolist()):
-            for i in range(f, f + n):
-                assert of.setdefault(int(windows[i]), k) == k
+        of, told = {}, {}
+        for k, seg, f, n in zip(keys.tolist(), segments.tolist(), first.tolist(), count.tolist()):
+            own = windows[f : f + n].tolist()
+            assert set(told.setdefault((k, seg), own)) == set(own)
+            for w in own:
+                assert of.setdefault(w, k) == k
+        whole = words.row[: len(windows)] == words.row[49 : 49 + len(windows)]
+        assert set(windows[whole].tolist()) == set(of)
+
+
+def test_interior_symbols_are_shared():
+    """Symbols that the rounds would call lone, as one text alone has them, never rule out a window that both have."""
+    rng = random.Random(6)
+    for trial in range(200):
+        words = Words(pa.array([" ".join(t) for t in sample_pair(rng, trial)]), SPACE)
+        rounds = []
+        for _ in range(S.ROUNDS + 1):
+            symbols = S.parsed(words, rounds)
+            at = symbols.to_name()
+            both = np.intersect1d(*(symbols.name[at][symbols.row[at] == r] for r in (0, 1)))
+            rounds.append((lambda names, both=both: np.isin(names, both), np.zeros(0, np.uint64)))
+        windows, whole = words.windows(50)
+        live = S.parsed(words, rounds).windows()
+        shared = np.intersect1d(windows[whole & (words.row[: len(windows)] == 0)], windows[whole & (words.row[: len(windows)] == 1)])
+        assert len(shared) and live[whole & np.isin(windows, shared)].all()
 
 
 def test_whole_table(spark):
@@ -74,7 +111,26 @@ def test_edges(spark):
     base = p.split()
     docs += [(200 + i, " ".join(base[:i] + ["edit"] + base[i + 1 :])) for i in range(0, 70, 3)]
     d = spark.createDataFrame([(*x, 1, "k") for x in docs], "doc_id long, text string, uid int, key string")
-    assert result(S.deduplicate(d)) == sorted(brute(docs), key=key)
+    want = sorted(brute(docs), key=key)
+    assert result(S.deduplicate(d)) == want
+    assert result(S.deduplicate(d, bits=9)) == want  # names clash in every round
+
+
+def test_rounds(spark):
+    """What the rounds settle: shared names, and clashes of names of few bits."""
+    rng = random.Random(7)
+    shared = [f"s{i}" for i in range(120)]
+    docs = [(i, " ".join([f"v{rng.randrange(10**6)}" for _ in range(80)] + shared + ["r"] * 30)) for i in range(8)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    rounds = S.settled(d)
+    assert [len(c) for _, c in rounds] == [0] * len(rounds)
+    words = Words(pa.array([docs[0][1]]), SPACE)
+    symbols = S.parsed(words, rounds)
+    where = symbols.at[symbols.lone]
+    assert len(where) and (where < 80).all() and (symbols.size[symbols.at > 90] > 4).any() and 30 in symbols.size.tolist()
+    live = symbols.windows()
+    assert live[80:].all() and not live[:50].any()
+    assert any(len(c) for _, c in S.settled(d, 6))
 
 
 def test_empty_table(spark):
@@ -82,5 +138,5 @@ def test_empty_table(spark):
 
 
 def test_context():
-    assert S.context(1) == (4, 4) and S.context(2) == (8, 8)
-    assert S.ZONE >= S.SYMBOL and np.all(S.CONTEXT + S.ZONE - 1 + S.SYMBOL <= S.WINDOW - S.CONTEXT)
+    assert S.context(1) == (2, 2) and S.context(2) == (4, 4) and S.context(3) == (8, 8)
+    assert S.ZONE >= S.SYMBOL and S.CONTEXT + S.ZONE - 1 + S.SYMBOL <= S.WINDOW - S.CONTEXT
