@@ -77,3 +77,45 @@ def test_repeated_and_null_ids(spark, block_bytes):
         want.append((doc, n_words, n_hit, len(listed), ",".join(listed), bad))
     by = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
     assert sorted(got, key=by) == sorted(want, key=by)
+
+
+def test_repeated_words():
+    """Places of equal words count once: a long text of one word against an item of it, and items with one phrase."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from siftwell.llm.words import NON_WORD, Words
+
+    items = ["z " * 500, *(f"{A} k{i}" for i in range(300))]
+    block = D.Benchmark(list(range(len(items))), pa.array(items))
+    assert len(block.set_size) < 330
+    words = Words(pa.array(["z " * 100_000, f"a {A} " * 50, "z " * 13 + "y " + "z " * 12]), NON_WORD, lower=True)
+    tracemalloc.start()
+    flags, (rows, found) = block.hits(words)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert flags[:100_000].all() and np.bincount(rows, minlength=3).tolist() == [1, 300, 1]
+    assert flags[words.row == 1].sum() == 50 * 20 and flags[words.row == 2].tolist() == [True] * 13 + [False] * 13
+
+
+def test_random_texts_of_few_words():
+    import random
+
+    import pyarrow as pa
+
+    from siftwell.llm.words import NON_WORD, Words
+
+    rng = random.Random(8)
+    for _ in range(40):
+        kinds = rng.choice([1, 2, 3, 8])
+        text = lambda n: " ".join(f"w{rng.randrange(kinds)}" for _ in range(n))  # noqa: B023,E731
+        items = [(i, text(rng.randrange(0, 40))) for i in range(12)]
+        docs = [(i, f"{text(rng.randrange(60))} {rng.choice(items)[1]} {text(rng.randrange(20))}") for i in range(12)]
+        block = D.Benchmark([i for i, _ in items], pa.array([t for _, t in items]))
+        got = Words(pa.array([t for _, t in docs]), NON_WORD, lower=True)
+        flags, (rows, found) = block.hits(got)
+        for d, n_words, n_hit, n_items, _, _ in brute(docs, items):
+            own = flags[got.row == d]
+            assert (len(own), own.sum(), (rows == d).sum()) == (n_words, n_hit, n_items)
