@@ -15,7 +15,6 @@ QUERIES = {
     "op10_url_rules": url_rules.op10_url_rules,
 }
 ORACLE_SQL: dict[str, str] = {
-    "op1_token_rollups": token_counts.ORACLE_SQL,
     "op7_preference_pairs": preference.ORACLE_SQL,
     "op10_url_rules": url_rules.ORACLE_SQL,
 }
