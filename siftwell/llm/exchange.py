@@ -37,9 +37,9 @@ def received(table: pa.Table, kinds: list[str]) -> list[np.ndarray]:
 
 
 def buckets(docs: DataFrame) -> int:
-    """How many buckets the shingles or symbols are dealt to, by the size of the texts."""
+    """How many buckets the shingles or symbols are dealt to, by the size of the texts: 512 at least from 10 MB on."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    return max(512, -(-size // (4 * BUCKET)))
+    return max(min(512, 16 + size // 20_000), -(-size // (4 * BUCKET)))
 
 
 def spread(names: np.ndarray, n_buckets: int) -> np.ndarray:

@@ -8,6 +8,9 @@ Every link counts, so all pairs of groups that share a prefix shingle are verifi
 their groups meet; those of more are dealt to blocks of BLOCK groups, and each block meets each other in a task of its own.
 Verified pairs are dealt to blocks likewise, so that a set is sent once a block and not once a pair. The work grows with the
 number of pairs, which for many texts that are all similar is the square of their number.
+
+Where components are wanted and not numbers of links, pairs within one component needn't be verified: groups are chained first,
+what stands beside a large component meets a few of its members, and only what is still apart is paired in full.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ SHINGLE = 5
 COMMON, MOST_COMMON = 16, 4_000_000
 #: Shingles of more groups are paired in blocks of about BLOCK groups. Groups of more classes are parted likewise.
 FEW, BLOCK = 16, 64
+#: Orders in which a shingle's groups are chained for components, and members of a large component that others meet first.
+CHAINS, PICKS = 8, 16
 #: Binary logarithm of the count from which a shingle's groups don't meet in one bucket first.
 HOT = 12
 #: First shingles of a prefix that are looked through for one that gives the same pair before. Fewer only repeat pairs.
@@ -189,9 +194,9 @@ def prefix_groups(docs: DataFrame, common) -> DataFrame:
 CANDIDATES = "token long, a long, b long, n long, place long"
 
 
-def candidates(groups: DataFrame, common, n_buckets: int) -> DataFrame:
+def candidates(groups: DataFrame, common, n_buckets: int, chained: bool = False) -> DataFrame:
     """Rows with token null are pairs of groups (a, b), repeated at times. The others are the groups (a) of shingles that more
-    than FEW groups have in their prefixes, still to be paired."""
+    than FEW groups have in their prefixes, still to be paired; of these, neighbours in CHAINS orders are pairs if `chained`."""
 
     def send(batches):
         cells, levels = common.value
@@ -215,30 +220,31 @@ def candidates(groups: DataFrame, common, n_buckets: int) -> DataFrame:
         order = np.lexsort((group, token))
         token, group, n, place = token[order].astype(np.int64), group[order].view(np.int64), n[order].astype(np.int64), place[order].astype(np.int64)
         bucket = key[0].as_py()
-        if bucket >= n_buckets:
-            none, more, own = np.zeros(0, np.int64), np.ones(len(token), bool), -1 - token
-            pairs = np.stack([none, none], 1)
-        else:
-            first = np.flatnonzero(np.diff(token, prepend=-1))
-            size = np.diff(np.append(first, len(token)))
-            size_of = np.repeat(size, size)
-            few, left, right = size_of <= FEW, [], []
+        index = np.cumsum(np.diff(token, prepend=-1) != 0) - 1
+        few, left, right = np.zeros(len(token), bool), [], []
+        if bucket < n_buckets:
+            few = np.bincount(index)[index] <= FEW
             for d in range(1, min(FEW, len(token))):
                 at = np.flatnonzero(few[:-d] & (token[d:] == token[:-d]))
                 left.append(at)
                 right.append(at + d)
-            left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-            ok = (group[left] != group[right]) & fits(n[left], place[left], n[right], place[right])
-            a, b = group[left[ok]], group[right[ok]]
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            more = ~few
-            own = token[more] * n_buckets + bucket
+        more = np.flatnonzero(~few)
+        for order in range(CHAINS if chained else 0):
+            at = more[np.lexsort((mix(group[more].view(np.uint64) + _U(order)), index[more]))]
+            next_ = np.flatnonzero(index[at][1:] == index[at][:-1])
+            left.append(at[next_])
+            right.append(at[next_ + 1])
+        left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+        ok = (group[left] != group[right]) & fits(n[left], place[left], n[right], place[right])
+        a, b = group[left[ok]], group[right[ok]]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        own = token[more] * n_buckets + bucket if bucket < n_buckets else -1 - token[more]
         none = pa.nulls(len(pairs), pa.int64())
         return pa.table(
             {
                 "token": pa.chunked_array([none, pa.array(own)]),
                 "a": pa.chunked_array([pa.array(pairs[:, 0]), pa.array(group[more])]),
-                "b": pa.chunked_array([pa.array(pairs[:, 1]), pa.nulls(int(more.sum()), pa.int64())]),
+                "b": pa.chunked_array([pa.array(pairs[:, 1]), pa.nulls(len(more), pa.int64())]),
                 "n": pa.chunked_array([none, pa.array(n[more])]),
                 "place": pa.chunked_array([none, pa.array(place[more])]),
             }
@@ -260,23 +266,24 @@ def heads(groups: DataFrame) -> DataFrame:
 
 
 def paired(entry: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of groups that share a shingle (token) of `entry` (token, group, n, place) and fit.
+    """Pairs (a, b), a < b, of nodes of different roots that share a shingle (token) of `entry` (token, group, node, root, n,
+    place) and fit. A node is a group or one of its classes.
 
-    A shingle's groups are dealt to parts, and each two parts meet under a key of their own. A pair is left to the first
+    A shingle's rows are dealt to parts, and each two parts meet under a key of their own. A pair is left to the first
     shingle that both have, as far as heads tell, and left out if more places of their bitmaps differ than shingles may.
     """
     parts = entry.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     rows = entry.join(parts, "token").join(heads(groups.join(entry.select("group").distinct(), "group", "left_semi")), "group")
-    rows = stored(rows.select("token", "group", "n", "place", "parts", F.slice("head", F.lit(1), F.least(F.col("place"), F.lit(HEAD)).cast("int")).alias("head"), "bits", F.pmod(F.xxhash64("group"), "parts").alias("part")))
-    side = lambda s, i, j: rows.select("token", i.alias("i"), j.alias("j"), *[F.col(c).alias(f"{c}_{s}") for c in ("group", "n", "place", "head", "bits")])
+    rows = stored(rows.select("token", "node", "root", "n", "place", "parts", F.slice("head", F.lit(1), F.least(F.col("place"), F.lit(HEAD)).cast("int")).alias("head"), "bits", F.pmod(F.xxhash64("node"), "parts").alias("part")))
+    side = lambda s, i, j: rows.select("token", i.alias("i"), j.alias("j"), *[F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n", "place", "head", "bits")])
     own = F.col("part")
     a, b = side("a", own, F.explode(F.sequence(own, F.col("parts") - 1))), side("b", F.explode(F.sequence(F.lit(0).cast("long"), own)), own)
-    other = (F.col("i") < F.col("j")) | (F.col("group_a") < F.col("group_b"))
+    other = (F.col("i") < F.col("j")) | (F.col("node_a") < F.col("node_b"))
     fit = fits(F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b"))
     apart = sum((F.bit_count(F.get(F.col("bits_a"), F.lit(k)).bitwiseXOR(F.get(F.col("bits_b"), F.lit(k)))) for k in range(PARITY)), F.lit(0))
     fit = fit & F.coalesce(7 * apart <= F.col("n_a") + F.col("n_b"), F.lit(True))
-    met = a.join(b, ["token", "i", "j"]).where(other & (F.col("group_a") != F.col("group_b")) & fit & ~F.arrays_overlap("head_a", "head_b"))
-    return met.select(F.least("group_a", "group_b").alias("a"), F.greatest("group_a", "group_b").alias("b")).distinct()
+    met = a.join(b, ["token", "i", "j"]).where(other & (F.col("root_a") != F.col("root_b")) & fit & ~F.arrays_overlap("head_a", "head_b"))
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def _folded(data: np.ndarray, size: int) -> np.ndarray:
@@ -375,21 +382,8 @@ def rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
 
 
-def similar_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, uid, n_shingles (distinct shingles), n_links (other texts, different as sets of shingles, whose similarity is 0.75
-    or more), component_id (smallest doc_id reachable by links of similarity 0.75 or more) of every row.
-
-    A text with fewer words than a shingle is one shingle; null, empty and blank texts have none and are linked with
-    nothing, so each is its own component. Equal texts are linked. Rows without doc_id take part, but a null is never the
-    smallest unless there is no other. Other columns are ignored.
-    """
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_name().alias("uid"))
-    n_buckets = buckets(docs)
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, n_buckets))  # MOST_COMMON at most
-    rows = stored(described(docs, common))
-    full = rows.where("n > 0")
-    classes = stored(full.groupBy("class").agg(F.min("uid").alias("uid"), F.min("n").alias("n"), F.min("group").alias("group"), F.min("parity").alias("parity")))
+def all_links(docs: DataFrame, classes: DataFrame, common, n_buckets: int) -> DataFrame:
+    """All pairs (a, b) of similar classes."""
     # groups of many classes are parted, so that two groups have no more than about BLOCK * BLOCK pairs of members
     large = stored(classes.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).where("parts > 1"))
     part = lambda p: F.when(F.col("parts").isNull(), F.col("group")).otherwise(F.xxhash64("group", p)).alias("group")
@@ -398,18 +392,84 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     groups = stored(groups.select(part(F.col("part")), "n", "data", "bits"))
     found = stored(candidates(groups, common, n_buckets))
     met = found.where("token IS NULL").select("a", "b")
-    met = met.unionByName(paired(found.where("token IS NOT NULL").select("token", F.col("a").alias("group"), "n", "place"), groups))
+    met = met.unionByName(paired(found.where("token IS NOT NULL").select("token", F.col("a").alias("group"), F.col("a").alias("node"), F.col("a").alias("root"), "n", "place"), groups))
     side = lambda s: members.select(F.col("group").alias(f"g_{s}"), F.col("class").alias(s))
     within = side("a").join(side("b"), F.col("g_a") == F.col("g_b")).where("a < b").select("a", "b")
     pairs = met.distinct().select(F.col("a").alias("g_a"), F.col("b").alias("g_b")).join(side("a"), "g_a").join(side("b"), "g_b").select("a", "b")
-    links = linked(pairs.unionByName(within), docs, classes)
+    return linked(pairs.unionByName(within), docs, classes)
+
+
+def still_apart(entry: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of `entry` (token, group, class, n, place) with the class's root, of tokens with two roots at least. Written out."""
+    entry = stored(rooted(entry.select("token", "group", "class", "n", "place"), roots))
+    apart = entry.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+    return stored(entry.join(apart, "token"))
+
+
+def with_picked(entry: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes with about PICKS members of the largest component under their token, where it has more."""
+    sizes = entry.groupBy("token", "root").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("token").agg(F.max(F.struct("k", "root")).alias("top")).where(f"top.k > {PICKS}").select("token", "top.k", "top.root")
+    picked = entry.join(largest, ["token", "root"]).where(F.pmod(F.xxhash64("class", "token"), F.col("k")) < PICKS)
+    a, b = (side.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "root", "n", "place")]) for side, s in ((entry, "a"), (picked, "b")))
+    met = a.join(b, "token").where((F.col("root_a") != F.col("root_b")) & fits(F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b")))
+    return met.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
+
+
+def spanning_links(docs: DataFrame, classes: DataFrame, common, n_buckets: int) -> DataFrame:
+    """Pairs (a, b) of similar classes, enough to connect what all of them connect.
+
+    Each group stands for its least class first, which is paired with the others of its group and with those of the groups it
+    is chained with. Then classes that share a token (a common shingle, a group, or a pair of groups of several classes) and are
+    of different components are paired, with a few of the largest first.
+    """
+    groups = stored(prefix_groups(docs, common))
+    found = stored(candidates(groups, common, n_buckets, chained=True))
+    met = stored(found.where("token IS NULL").select("a", "b").distinct())
+    several = stored(classes.groupBy("group").agg(F.min("class").alias("least"), F.count("*").alias("k")))
+    side = lambda s: several.select(F.col("group").alias(s), F.col("least").alias(f"l_{s}"), F.col("k").alias(f"k_{s}"))
+    both = stored(met.join(side("a"), "a").join(side("b"), "b"))
+    within = classes.join(several.where("k > 1"), "group").where("class <> least").select(F.col("least").alias("a"), F.col("class").alias("b"))
+    links = linked(both.select(F.col("l_a").alias("a"), F.col("l_b").alias("b")).unionByName(within), docs, classes)
     roots = stored(components(links))
-    degree = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
-    known = rooted(rows.where("n > 0").select("doc_id", "uid", "n", "class"), roots)
+    none, member = F.lit(0).cast("long").alias("place"), classes.select("class", "group", "n")
+    entry = found.where("token IS NOT NULL").select("token", F.col("a").alias("group"), "n", "place").join(member.drop("n"), "group")
+    entry = entry.unionByName(member.join(several.where("k > 1").select("group"), "group").select(F.xxhash64("group").alias("token"), "group", "class", "n", none))
+    wide = both.where("k_a > 1 OR k_b > 1").select(F.xxhash64("a", "b").alias("token"), F.explode(F.array("a", "b")).alias("group"))
+    entry = entry.unionByName(wide.join(member, "group").select("token", "group", "class", "n", none))
+    entry = still_apart(entry, roots)
+    links = links.unionByName(linked(with_picked(entry), docs, classes))
+    entry = still_apart(entry.drop("root"), stored(components(links)))
+    rest = paired(entry.select("token", "group", F.col("class").alias("node"), "root", "n", "place"), groups)
+    return links.unionByName(linked(rest, docs, classes))
+
+
+def similar_documents(docs: DataFrame, count_links: bool = True) -> DataFrame:
+    """doc_id, uid, n_shingles (distinct shingles), component_id (smallest doc_id reachable by links of similarity 0.75
+    or more) and root (a name of the component, null without words) of every row, and with `count_links` n_links (other texts,
+    different as sets of shingles, whose similarity is 0.75 or more).
+
+    A text with fewer words than a shingle is one shingle; null, empty and blank texts have none and are linked with
+    nothing, so each is its own component. Equal texts are linked. Rows without doc_id take part, but a null is never the
+    smallest unless there is no other. Every row gives a row, repeated ones too; other columns are ignored.
+    """
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_name().alias("uid"))
+    n_buckets = buckets(docs)
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, n_buckets))  # MOST_COMMON at most
+    rows = stored(described(docs, common))
+    full = rows.where("n > 0")
+    classes = stored(full.groupBy("class").agg(F.min("uid").alias("uid"), F.min("n").alias("n"), F.min("group").alias("group"), F.min("parity").alias("parity")))
+    links = (all_links if count_links else spanning_links)(docs, classes, common, n_buckets)
+    known = rooted(rows.where("n > 0").select("doc_id", "uid", "n", "class"), stored(components(links)))
     least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = known.join(least, "root").join(degree, "class", "left").select("doc_id", "uid", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
-    empty = rows.where("n = 0").select("doc_id", "uid", F.col("n").alias("n_shingles"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
-    return out.unionByName(empty)
+    out = known.join(least, "root").select("doc_id", "uid", F.col("n").alias("n_shingles"), "component_id", "root", "class")
+    empty = rows.where("n = 0").select("doc_id", "uid", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"), "class")
+    out = out.unionByName(empty)
+    if count_links:
+        degree = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
+        out = out.join(degree, "class", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    return out.drop("class")
 
 
 def op6_grouped_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ documents, ever closer to each document's highest ones.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -302,8 +303,8 @@ def bounded(text: Column, s: Settings) -> Column:
     return F.when(n > s.text_chars, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(s.pieces - 1).cast("long")), piece), " ")).otherwise(text)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[list[str], np.ndarray]:
-    """At most `sample` texts of each class in an order given by a hash of doc_id, cut off after `sample_words` words.
+def labelled_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
+    """doc_id, text, toxic: at most `sample` texts of each class in an order given by a hash of doc_id, cut off after `sample_words` words.
 
     A text of more than `text_chars` characters counts with as many, in `pieces` over its whole length, so that no text
     takes more than its share. The one of conflicting labels of a document that is 1 counts; null labels and labels without document don't.
@@ -318,17 +319,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[li
     rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("of")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic", order.alias("by"))
     size = F.length("text") / 6
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.min("by").alias("by")).withColumn("text", bounded(F.col("text"), s))
-    # both classes are cut at half of the words each, on the executors: the driver gets no more than fits
+    # both classes are cut at half of the words each
     total = F.sum(size).over(Window.partitionBy("toxic").orderBy("by", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    table = rows.withColumn("so_far", total).where(F.col("so_far") <= s.sample_words / 2).toArrow().sort_by("doc_id")
-    return table["text"].to_pylist(), np.array(table["toxic"].to_pylist(), dtype=float)
+    return rows.withColumn("so_far", total).where(F.col("so_far") <= s.sample_words / 2).select("doc_id", "text", "toxic")
 
 
 def score(docs: DataFrame, net: Network | None, column: str = "score", text: str = "text") -> DataFrame:
     """All columns of docs and a score from 0 to 1 of each row's whole text, in one scan.
 
-    Null and empty texts get the score of a text without words. Without a network (no labels of both kinds) it is 0.
+    Null and empty texts get the score of a text without words. Without a network (no labels of both kinds) it is 0. Every row
+    gives a row, repeated ones equal scores; a long text is scored by all its windows. A column of that name is replaced.
     """
+    docs = docs.drop(column)
     if net is None:
         return docs.withColumn(column, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast((net.s, net.p, net.scale, net.shift))
@@ -349,8 +351,17 @@ def held_out():
 
 
 def fitted(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Network | None:
-    """A network from the labels of documents that are not held out."""
-    return train(*labelled_sample(docs, labels.where(~held_out()), s), s)
+    """A network from the labels of documents that are not held out. The sample, of a bounded size, is learned from in one task."""
+    rows = labelled_sample(docs, labels.where(~held_out()), s)
+
+    def fit(batches):
+        table = pa.Table.from_batches(batches, pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int64())])).sort_by("doc_id")
+        net = train(table["text"].to_pylist(), np.asarray(table["toxic"]).astype(float), s)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+
+    rows = rows.select(F.col("doc_id").cast("long"), "text", F.col("toxic").cast("long"))
+    found = rows.repartition(1).mapInArrow(fit, "net binary").collect()
+    return pickle.loads(found[0].net) if found else None
 
 
 def op3_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

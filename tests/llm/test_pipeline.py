@@ -39,11 +39,16 @@ def test_stages_against_brute_force(spark, tmp_path):
 
 
 def test_edges(spark):
-    rows = [(1, None, None, "s", 0), (2, "", "en", None, 0), (3, "a b", "en", "s", 3), (3, "a b", "en", "s", 3), (None, "x y z", "en", "s", 5), (4, "a  b", "de", "s", 4)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    rows = [(1, None, None, "s", 0), (2, "", "en", None, 0), (2, "", "en", None, 0), (3, "a b", "en", "s", 3), (3, "a b", "en", "s", 3), (None, "x y z", "en", "s", 5), (None, "x y z", "en", "s", 5), (4, "a  b", "de", "s", 4), (3, "A B", "en", "s", 3)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, {} string, of_doc int, keep int, score int, kept int, root int"
+    rows = [(*r, "u", 1, 2, 3, 4, 5) for r in rows]
+    docs = spark.createDataFrame(rows, names.format("uid"))
     for empty in (False, True):
         now = docs.limit(0) if empty else docs
-        for _, stage in C.STAGES:
+        for k, (_, stage) in enumerate(C.STAGES):
             now = stage(spark, now, "/root/testdata/sf0.001")
+            if k < len(C.STAGES) - 1:
+                assert now.columns == docs.columns
+                assert all(r.uid == "u" and (r.of_doc, r.keep, r.score, r.kept, r.root) == (1, 2, 3, 4, 5) for r in now.collect())
         got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens) for r in now.collect())
-        assert [x[:2] for x in got] == ([] if empty else [(False, 0), (True, 1), (True, 2), (True, 3), (True, 3)])
+        assert [x[:2] for x in got] == ([] if empty else [(False, 0), (True, 1), (True, 2), (True, 2), (True, 3)])

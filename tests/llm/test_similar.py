@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import pytest
 
+from siftwell.llm import exchange as E
 from siftwell.llm import similar as S
 
 SF = "/root/testdata/sf0.001"
@@ -71,7 +72,7 @@ def test_edges(spark):
     docs += [(400 + i, " ".join(base[: 200 - 9 * i])) for i in range(12)]  # a chain of links
     docs += [(500, " ".join(text(15000)))]
     d = spark.createDataFrame([(*r, 1, "x") for r in docs], "doc_id long, text string, n long, class string")
-    assert result(S.similar_documents(d)) == brute(docs)
+    assert result(S.similar_documents(d)) == brute(docs) == result(S.similar_documents(d, count_links=False))
 
 
 def test_everything_common(spark, monkeypatch):
@@ -80,11 +81,13 @@ def test_everything_common(spark, monkeypatch):
     base = [f"v{i}" for i in range(120)]
     docs = [(i, edited(rng, base, 0.015 * (i % 3))) for i in range(50)] + [(90 + i, " ".join(base[i:])) for i in range(0, 60, 3)]
     monkeypatch.setattr(S, "MOST_COMMON", 20)
-    assert result(S.similar_documents(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert result(S.similar_documents(d)) == brute(docs) == result(S.similar_documents(d, count_links=False))
 
 
 def test_empty_table(spark):
-    assert S.similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    for count_links in (True, False):
+        assert S.similar_documents(spark.createDataFrame([], "doc_id long, text string"), count_links).count() == 0
 
 
 @pytest.mark.parametrize("edges", [[], [(1, 2)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(50, 51), (52, 51), (60, 60)]])
@@ -128,6 +131,8 @@ def test_all_links_count(spark, monkeypatch, few, block, hot, head):
     want = all_links(docs)
     assert sorted((r.doc_id, r.n_links) for r in got) == want
     assert want[0] == (0, 59)
+    alone = S.similar_documents(spark.createDataFrame(docs, "doc_id long, text string"), count_links=False).collect()
+    assert sorted((r.doc_id, r.component_id) for r in alone) == sorted((r.doc_id, r.component_id) for r in got)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == brute(docs)
 
 
@@ -141,5 +146,5 @@ def test_copies_are_sent_once_a_group(spark):
     assert sorted(r.n for r in groups.collect()) == [2, 36]
     part = S.pa.RecordBatch.from_pydict({"text": [text] * 3000})
     ones = lambda p: (c := S.Sets(p.column(0)).value, (c % 8).astype("i4"), c, S.np.ones(len(c), "u4"))[1:]
-    sent = [S.unpacked(d, ["<u8", "<u4"]) for b in S._sent(S.chunks([part]), ones, added=True) for d in b.column(1).to_pylist()]
+    sent = [E.unpacked(d, ["<u8", "<u4"]) for b in E.sent(S.chunks([part]), ones, S.np.add) for d in b.column(1).to_pylist()]
     assert sum(len(x[0]) for x in sent) == 36 and sum(int(x[1].sum()) for x in sent) == 36 * 3000

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -61,8 +62,9 @@ def test_edges(spark):
     texts = [f"{fine} {i} {toxic if i % 2 else fine}" for i in range(60)]
     net = T.train(texts, np.arange(60) % 2, T.Settings(batch=16))
     rows = [(1, None), (2, ""), (3, "..."), (4, f"{fine} " * 3000 + toxic), (5, f"{fine} " * 3000), (4, f"{fine} " * 3000 + toxic), (None, toxic)]
-    d = spark.createDataFrame([(a, b, 1.0, "x") for a, b in rows], "doc_id long, text string, score_ double, lang string")
+    d = spark.createDataFrame([(a, b, 1.0, "x") for a, b in rows], "doc_id long, text string, score double, lang string")
     got = T.score(d, net).collect()
+    assert T.score(d, net).columns == ["doc_id", "text", "lang", "score"] == T.score(d, None).columns
     assert len(got) == 7 and got[0].score == got[1].score == got[2].score
     by = {r.doc_id: r.score for r in got}
     assert by[4] >= 0.5 > by[5] and by[None] >= 0.5
@@ -86,7 +88,42 @@ def test_long_labelled_text_leaves_room_for_others(spark):
     texts[first] = (first, "begin " + "word " * 700_000 + "end")
     d = spark.createDataFrame(texts, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 2 == first % 2)) for i in range(40)], "doc_id long, toxic int")
-    got, toxic = T.labelled_sample(d, labels, s)
-    assert len(got) == 40 and toxic.sum() == 20
+    rows = T.labelled_sample(d, labels, s).collect()
+    got = [r.text for r in rows]
+    assert len(got) == 40 and sum(r.toxic for r in rows) == 20
     long = max(got, key=len)
     assert len(long) <= s.text_chars and long.startswith("begin ") and long.rstrip().endswith("en")
+
+
+def test_scores_against_a_plain_loop():
+    """A text's score from all its overlapping windows, one word at a time."""
+    rng = random.Random(9)
+    words = [f"word{i}" for i in range(200)]
+    texts = [" ".join(rng.choices(words, k=n)) for n in (0, 1, 31, 32, 33, 48, 49, 200)]
+    net = T.train([f"{a} {b}" for a in words[:20] for b in ("bad", "good")], np.tile([1.0, 0.0], 20), T.Settings(batch=16, updates=40))
+    p, s = net.p, net.s
+    got = net.scores(T.Inputs(pa.array(texts), s))
+    x = T.Inputs(pa.array([" ".join(words)]), s)
+    vector = dict(zip(words, net.embed(x)[x.word]))
+
+    def gru(inputs, d):
+        h, out = np.zeros(s.hidden), []
+        for v in inputs:
+            g, own = v @ p[f"w{d}"] + p[f"c{d}"], h @ p[f"u{d}"]
+            z, r = (1 / (1 + np.exp(-(g[k : k + s.hidden] + own[k : k + s.hidden]))) for k in (0, s.hidden))
+            h = z * h + (1 - z) * np.tanh(g[2 * s.hidden :] + r * own[2 * s.hidden :])
+            out.append(h)
+        return out
+
+    for text, score in zip(texts, got):
+        own, logits, at = text.split(), [], 0
+        while True:
+            inputs = [vector[w] for w in own[at : at + s.span]]
+            states = [np.concatenate(x) for x in zip(gru(inputs, "f"), gru(inputs[::-1], "b")[::-1])]
+            weight = np.exp([np.tanh(h @ p["a"] + p["ab"]) @ p["av"] for h in states])
+            pooled = sum((w * h for w, h in zip(weight / weight.sum(), states)), np.zeros(2 * s.hidden)) if states else np.zeros(2 * s.hidden)
+            logits.append(float(pooled @ p["o"] + p["ob"][0]))
+            if at + s.span >= len(own):
+                break
+            at += s.step
+        assert score == pytest.approx(1 / (1 + np.exp(-(net.scale * max(logits) + net.shift))), abs=1e-4)
