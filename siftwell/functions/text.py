@@ -94,9 +94,13 @@ def chunks(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFr
 
 def hashed_weights(docs: DataFrame, dim: int = 64) -> DataFrame:
     """doc_id, bucket, weight: content tokens hashed to buckets (first eight bytes of md5, little-endian), length 1."""
-    m = F.md5("t")
+    own = Window.partitionBy("doc_id")
+    rows = docs.select("doc_id", F.lower("text").alias("low")).repartition("doc_id")  # the one exchange: all that follows is by doc_id
+    rows = rows.select("doc_id", F.explode(F.regexp_extract_all("low", F.lit("[a-z0-9]+"), F.lit(0))).alias("t")).groupBy("doc_id", "t").agg(F.count("*").alias("k"))
+    rows = rows.withColumn("content", ~F.col("t").isin(EMBED_STOPWORDS)).withColumn("some", F.bool_or("content").over(own)).where("content OR NOT some")
+    m = F.md5("t")  # of each distinct term of a document
     swapped = F.concat(*[F.substring(m, 15 - 2 * i, 2) for i in range(8)])
     bucket = (F.conv(swapped, 16, 10).cast("decimal(20,0)") % dim).cast("long")
-    counts = docs.select("doc_id", F.explode(content_tokens(F.col("text"))).alias("t")).groupBy("doc_id", bucket.alias("bucket")).agg(F.count("*").alias("c"))
-    norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy("doc_id")))
+    counts = rows.groupBy("doc_id", bucket.alias("bucket")).agg(F.sum("k").alias("c"))
+    norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(own))
     return counts.select("doc_id", "bucket", (F.col("c") / norm).alias("weight"))

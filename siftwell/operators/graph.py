@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.operators.lineage import cut
+
 #: Relations that are walked in their own direction only.
 ONE_WAY = ["REPORTS_TO"]
 HOPS, BUDGET = 2, 50
@@ -30,13 +32,16 @@ def walk_edges(edges: DataFrame, denied: DataFrame | None = None) -> DataFrame:
 
 
 def walk(seeds: DataFrame, steps: DataFrame, hops: int = HOPS, budget: int | None = BUDGET) -> DataFrame:
-    """node_id, depth of what is reached, nearest first, at most `budget` nodes. Up to four hops, each a join with the frontier."""
+    """node_id, depth of what is reached, nearest first, at most `budget` nodes. Up to four hops.
+
+    Each hop is one join of the edges with the frontier, which is written out, so a plan holds one hop whatever their number.
+    """
     if not 1 <= hops <= 4:
         raise ValueError("hops go from 1 to 4")
-    reached = frontier = seeds.select("node_id").distinct().withColumn("depth", F.lit(0).cast("long"))
+    reached = frontier = cut(seeds.select("node_id").distinct().withColumn("depth", F.lit(0).cast("long")))
     for depth in range(1, hops + 1):
         near = frontier.join(steps, F.col("node_id") == F.col("src")).select(F.col("dst").alias("node_id")).distinct()
-        frontier = near.join(reached.select("node_id"), "node_id", "left_anti").withColumn("depth", F.lit(depth).cast("long"))
+        frontier = cut(near.join(reached.select("node_id"), "node_id", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
         reached = reached.unionByName(frontier)
     return reached if budget is None else reached.orderBy("depth", "node_id").limit(budget)
 

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Merges in a row that are followed: a survivor that was merged itself, and so on.
-STEPS = 12
-
+from siftwell.operators.lineage import cut
 
 def active(log: DataFrame, undone: DataFrame) -> DataFrame:
     """merge_id, survivor, merged of merges (log) that no row of `undone` (merge_id) takes back."""
@@ -16,13 +14,15 @@ def active(log: DataFrame, undone: DataFrame) -> DataFrame:
 
 def roots(merges: DataFrame) -> DataFrame:
     """entity_id, root of every merged entity, through merges of its survivor. The latest merge of an entity counts."""
-    found = merges.groupBy(F.col("merged").alias("entity_id")).agg(F.max_by("survivor", "merge_id").alias("root"))
-    up = found.select(F.col("entity_id").alias("root"), F.col("root").alias("next"))
-    for _ in range(STEPS):
-        if found.join(up, "root", "left_semi").isEmpty():
-            return found
-        found = found.join(up, "root", "left").select("entity_id", F.coalesce("next", "root").alias("root"))
-    raise ValueError("the log merges entities in a circle, or in too long a row")
+    found = cut(merges.groupBy(F.col("merged").alias("entity_id")).agg(F.max_by("survivor", "merge_id").alias("root")))
+    while True:  # each step doubles how far an entity is followed
+        up = found.select(F.col("entity_id").alias("root"), F.col("root").alias("next"))
+        step = cut(found.join(up, "root", "left").select("entity_id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        if not step.where("entity_id = root").isEmpty():
+            raise ValueError("the log merges entities in a circle")
+        if step.where("moved").isEmpty():
+            return step.select("entity_id", "root")
+        found = step.select("entity_id", "root")
 
 
 def renamed(table: DataFrame, found: DataFrame, *columns: str) -> DataFrame:

@@ -11,7 +11,7 @@ from siftwell.plans.retrieval import _cosine
 from siftwell.plans.text import _EVAL_STOP
 
 _HITS = f"h AS ({_cosine(6, -2)}), hits AS (SELECT h.query_id, rank - 1 AS rank, vec_id AS item FROM h WHERE h.query_id <> vec_id)"
-_EV = f"""{_HITS}, src AS (SELECT a.vec_id AS query_id, b.vec_id AS item, a.label FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id < 20),
+_EV = f"""{_HITS}, src AS (SELECT a.vec_id AS query_id, b.vec_id AS item, a.label FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id % 20 = 0),
  per AS (SELECT query_id, count(*) AS returned, count(s.label) AS found, min(CASE WHEN s.label IS NOT NULL THEN rank END) AS first FROM hits LEFT JOIN src s USING (query_id, item) GROUP BY 1),
  ev AS (SELECT query_id, any_value(label) AS label, round(max(found) / max(returned), 6) AS precision, round(max(found) / count(*), 6) AS recall, coalesce(max(found), 0) > 0 AS hit, round(coalesce(1.0 / max(first), 0.0), 6) AS reciprocal_rank
   FROM src LEFT JOIN per USING (query_id) GROUP BY query_id)"""
@@ -19,7 +19,7 @@ _EV = f"""{_HITS}, src AS (SELECT a.vec_id AS query_id, b.vec_id AS item, a.labe
 
 def _scores(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id < 20")
+    q = v.where("vec_id % 20 = 0")
     hits = R.cosine_top(v, q.select(F.col("vec_id").alias("query_id"), "embedding"), 6).where("query_id <> vec_id")
     sources = F.broadcast(q.select(F.col("vec_id").alias("query_id"), "label")).join(v.select(F.col("vec_id").alias("item"), "label"), "label").where("query_id <> item")
     return E.retrieval_scores(hits.select("query_id", (F.col("rank") - 1).alias("rank"), F.col("vec_id").alias("item")), sources.select("query_id", "item")), q

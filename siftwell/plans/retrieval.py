@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from siftwell.functions import signals as S
 from siftwell.functions import text as T
 from siftwell.operators import access as A
 from siftwell.operators import ranking as R
+from siftwell.operators.lineage import shared
+from siftwell.operators.passages import passages
 from siftwell.plans.registry import QUESTIONS_SQL, query, questions, table
 from siftwell.plans.text import _CONTENT
 
@@ -52,6 +56,17 @@ def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
+_indexes: dict[tuple[str, str], R.Index] = {}
+
+
+def _index(spark, sf_dir) -> R.Index:
+    """The stored index of the documents, written by the first query of a session that asks for it; the tables don't change."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = R.Index(_docs(spark, sf_dir), f"{shared(spark)}/index-{uuid.uuid4().hex}")
+    return _indexes[key]
+
+
 @query("ag01_term_stats", "SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY term")
 def term_stats(spark, sf_dir):
     rows = _docs(spark, sf_dir).select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
@@ -77,47 +92,47 @@ def incremental_stats(spark, sf_dir):
 
 @query("rk01_bm25", f"WITH {_BASE}, {_bm25(10)} SELECT query_id, rank, doc_id, score FROM bm")
 def bm25(spark, sf_dir):
-    return R.bm25(_docs(spark, sf_dir), questions(spark))
+    return R.bm25(_index(spark, sf_dir), questions(spark))
 
 
 @query("rk01_bm25_filtered", f"WITH {_BASE}, {_bm25(10, where="lang = 'en' AND source NOT IN ('src0', 'src1')")} SELECT query_id, rank, doc_id, score FROM bm")
 def bm25_filtered(spark, sf_dir):
     """A metadata filter and an access filter inside the search; statistics stay those of the corpus."""
-    return R.bm25(_docs(spark, sf_dir), questions(spark), allowed=(F.col("lang") == "en") & ~F.col("source").isin("src0", "src1"))
+    return R.bm25(_index(spark, sf_dir), questions(spark), allowed=(F.col("lang") == "en") & ~F.col("source").isin("src0", "src1"))
 
 
 @query("rk02_bm25_multiplicity", f"WITH {_BASE}, {_bm25(10, weight='m')} SELECT query_id, rank, doc_id, score FROM bm")
 def bm25_multiplicity(spark, sf_dir):
-    return R.bm25(_docs(spark, sf_dir), questions(spark), distinct=False)
+    return R.bm25(_index(spark, sf_dir), questions(spark), distinct=False)
 
 
 @query("rk04_overlap_fts", f"WITH {_BASE}, {_overlap(10)} SELECT query_id, rank, doc_id, score FROM ov")
 def overlap(spark, sf_dir):
-    return R.overlap(_docs(spark, sf_dir), questions(spark))
+    return R.overlap(_index(spark, sf_dir), questions(spark))
 
 
 def _cosine(k: int, threshold: float) -> str:
     return f"""SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
       SELECT a.vec_id AS query_id, b.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE)))
         / (sqrt(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))), 6) AS score
-      FROM (SELECT * FROM embeddings WHERE vec_id < 20) a, embeddings b) WHERE score >= {threshold}) WHERE rank <= {k}"""
+      FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) a, embeddings b) WHERE score >= {threshold}) WHERE rank <= {k}"""
 
 
 @query("rk05_cosine_topk", _cosine(5, -2))
 def cosine_topk(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    return R.cosine_top(v, v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"))
+    return R.cosine_top(v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
 
 
 @query("rk05_threshold", _cosine(5, 0.25))
 def cosine_threshold(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    return R.cosine_top(v, v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), threshold=0.25)
+    return R.cosine_top(v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), threshold=0.25)
 
 
 def _legs(spark, sf_dir, k=30):
-    docs, q = _docs(spark, sf_dir), questions(spark)
-    return R.bm25(docs, q, k), R.overlap(docs, q, k)
+    q = questions(spark)
+    return R.bm25(_index(spark, sf_dir), q, k), R.overlap(_index(spark, sf_dir), q, k)
 
 
 @query("rk07_rrf", f"WITH {_BASE}, {_bm25(30)}, {_overlap(30)}, {_rrf(1.0, 1.0, 10)} SELECT query_id, rank, doc_id, score FROM rr")
@@ -135,7 +150,7 @@ def rrf_weighted(spark, sf_dir):
 @query("rk08_boosts", f"WITH {_BASE}, {_bm25(30)}, {_boost('bm', 10)} SELECT query_id, rank, doc_id, score FROM bo")
 def boosts(spark, sf_dir):
     docs, q = _docs(spark, sf_dir), questions(spark)
-    return R.boost(R.bm25(docs, q, 30), docs, q)
+    return R.boost(R.bm25(_index(spark, sf_dir), q, 30), docs, q)
 
 
 @query(
@@ -157,7 +172,7 @@ def hybrid(spark, sf_dir):
 )
 def token_budget(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    return R.within_tokens(R.bm25(docs, questions(spark)), docs, 3000)
+    return R.within_tokens(R.bm25(_index(spark, sf_dir), questions(spark)), docs, 3000)
 
 
 @query(
@@ -167,7 +182,7 @@ def token_budget(spark, sf_dir):
 )
 def char_budget(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    return R.within_characters(R.bm25(docs, questions(spark)), docs, 6000)
+    return R.within_characters(R.bm25(_index(spark, sf_dir), questions(spark)), docs, 6000)
 
 
 @query(
@@ -180,13 +195,13 @@ def char_budget(spark, sf_dir):
 )
 def confidence(spark, sf_dir):
     docs, q = _docs(spark, sf_dir), questions(spark)
-    return R.confidence(R.overlap(docs, q, 5), docs, q)
+    return R.confidence(R.overlap(_index(spark, sf_dir), q, 5), docs, q)
 
 
 @query("st02_vectorless", f"WITH {_BASE}, {_bm25(30)}, {_overlap(30)}, {_rrf(1.0, 1.0, 30)}, {_boost('rr', 10)} SELECT query_id, rank, doc_id, score FROM bo")
 def vectorless(spark, sf_dir):
     docs, q = _docs(spark, sf_dir), questions(spark)
-    bm, ov = R.bm25(docs, q, 30), R.overlap(docs, q, 30)
+    bm, ov = R.bm25(_index(spark, sf_dir), q, 30), R.overlap(_index(spark, sf_dir), q, 30)
     return R.boost(R.fuse([(bm, 1.0), (ov, 1.0)], 30), docs, q)
 
 
@@ -247,8 +262,8 @@ def auto_fallback(spark, sf_dir):
     docs, q = _docs(spark, sf_dir), questions(spark)
     exact = (F.size(S.phrases(F.col("question"))) + F.size(S.identifiers(F.col("question")))) > 0
     wants = q.select("query_id", exact.alias("exact"))
-    first = R.overlap(docs, q, 10).where("score >= 0.9").groupBy("query_id").agg(F.count("*").alias("n_first"))
-    other = R.bm25(docs, q, 10).groupBy("query_id").agg(F.count("*").alias("n_bm"))
+    first = R.overlap(_index(spark, sf_dir), q, 10).where("score >= 0.9").groupBy("query_id").agg(F.count("*").alias("n_first"))
+    other = R.bm25(_index(spark, sf_dir), q, 10).groupBy("query_id").agg(F.count("*").alias("n_bm"))
     rows = wants.join(first, "query_id", "left").join(other, "query_id", "left").fillna(0, ["n_first", "n_bm"])
     served = F.col("exact") & (F.col("n_first") > 0)
     return rows.select("query_id", F.when(served, "vectorless").otherwise("lexical").alias("strategy"), (F.col("exact") & (F.col("n_first") == 0)).alias("fell_back"), F.when(served, F.col("n_first")).otherwise(F.col("n_bm")).alias("n_hits"))
@@ -298,7 +313,7 @@ def access_stats(spark, sf_dir):
 def leak_test(spark, sf_dir):
     """Rankings of each user's own documents; what they hold that the user may not read has to be none."""
     docs, q = _docs(spark, sf_dir), questions(spark)
-    ranked = R.bm25(docs, q, docs.count()).select("query_id", "doc_id", "score")
+    ranked = R.bm25(_index(spark, sf_dir), q, docs.count()).select("query_id", "doc_id", "score")
     seen = _readable(spark, sf_dir)
     rows = R.top_k(ranked.join(seen, "doc_id").select((F.col("user_id") * 1000 + F.col("query_id")).alias("query_id"), "user_id", "doc_id", "score"), 5)
     checked = rows.join(seen.withColumn("ok", F.lit(1)), ["user_id", "doc_id"], "left")
@@ -310,13 +325,9 @@ def leak_test(spark, sf_dir):
     "SELECT item_id, doc_id FROM (SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS e FROM benchmark) b JOIN (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents) d ON contains(t, e)".replace("\\\\", "\\"),
 )
 def evidence_match(spark, sf_dir):
-    """Which documents hold which passages. The passages are the query set: one broadcast block of bounded rows."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", T.flat(F.col("text")).alias("e"))
-    if items.count() > R.BROADCAST_ROWS:
-        raise ValueError("more passages than one block takes: match them in blocks")
-    block = items.agg(F.collect_list(F.struct("item_id", "e")).alias("block"), F.lit(1).alias("one"))
-    rows = _docs(spark, sf_dir).select("doc_id", T.flat(F.col("text")).alias("t"), F.lit(1).alias("one")).join(F.broadcast(block), "one")
-    return rows.select("doc_id", F.explode(F.filter("block", lambda b: F.contains(F.col("t"), b["e"]))).alias("b")).select("b.item_id", "doc_id")
+    """Which documents hold which passages."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.flat(F.col("text")).alias("passage"))
+    return passages(_docs(spark, sf_dir).select("doc_id", T.flat(F.col("text")).alias("text")), items)
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -41,6 +42,8 @@ def _xml_text(data: bytes, paragraph: str, run: str) -> list[str]:
 
 def _zip_text(data: bytes, kind: str) -> str | None:
     """Text of a docx (paragraphs) or pptx (slides, form feeds between); null for broken or oversized files."""
+    if data is None:
+        return None
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             infos = z.infolist()
@@ -50,7 +53,7 @@ def _zip_text(data: bytes, kind: str) -> str | None:
                 return "\n".join(x for x in _xml_text(z.read("word/document.xml"), "}p", "}t") if x.strip())
             slides = sorted((i.filename for i in infos if re.fullmatch(r"ppt/slides/slide\d+\.xml", i.filename)), key=lambda n: int(re.findall(r"\d+", n)[0]))
             return "\f".join("\n".join(x for x in _xml_text(z.read(n), "}p", "}t") if x.strip()) for n in slides)
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+    except (zipfile.BadZipFile, zlib.error, KeyError, ValueError, EOFError, RuntimeError, ElementTree.ParseError):  # RuntimeError: encrypted, or an unknown compression
         return None
 
 
@@ -60,11 +63,15 @@ def office_text(content: pd.Series, kind: pd.Series) -> pd.Series:
 
 
 def read_files(spark: SparkSession, path: str, limit: int = 64 << 20) -> DataFrame:
-    """path, format, text, status, reason of every file under a folder. Only office files go to Python."""
+    """path, format, text, status, reason of every file under a folder. Only office files go to Python. Files that are too large,
+    can't be read or are of another format come as rejected, with the reason."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.where(~F.col("path").rlike(r"/(\.|~\$)[^/]*$")).select("path", "content", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("format"))
-    plain = files.where(F.col("format").isin("txt", "md", "csv"))
-    plain = plain.select("path", "format", decoded(F.col("content")).alias("text"), *[c.alias(n) for n, c in sniffed(F.col("content"), limit).items()])
-    office = files.where(F.col("format").isin("docx", "pptx") & (F.length("content") <= limit)).select("path", "format", office_text("content", "format").alias("text"))
-    office = office.select("*", F.when(F.col("text").isNull(), "rejected").otherwise("accepted").alias("status"), F.when(F.col("text").isNull(), "unreadable").alias("reason"))
-    return plain.unionByName(office)
+    plain, zipped = F.col("format").isin("txt", "md", "csv"), F.col("format").isin("docx", "pptx")
+    text = files.where(plain).select("path", "format", decoded(F.col("content")).alias("text"), *[c.alias(n) for n, c in sniffed(F.col("content"), limit).items()])
+    office = files.where(zipped).select("path", "format", (F.length("content") > limit).alias("large"), F.when(F.length("content") <= limit, F.col("content")).alias("content"))
+    office = office.select("path", "format", "large", office_text("content", "format").alias("text"))
+    reason = F.when(F.col("large"), "too_large").when(F.col("text").isNull(), "unreadable")
+    office = office.select("path", "format", "text", F.when(reason.isNull(), "accepted").otherwise("rejected").alias("status"), reason.alias("reason"))
+    other = files.where(~plain & ~zipped).select("path", "format", F.lit(None).cast("string").alias("text"), F.lit("rejected").alias("status"), F.lit("unsupported").alias("reason"))
+    return text.unionByName(office).unionByName(other)

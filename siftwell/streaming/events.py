@@ -34,4 +34,8 @@ def index_stream(spark: SparkSession, source: str, target: str, checkpoint: str,
 
 
 def indexed(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.parquet(target).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+    """Sums over the folders of batches whose write has ended."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/batch=*/_SUCCESS")
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [f.getPath().getParent().toString() for f in files.globStatus(where)]
+    return spark.read.schema("term string, df long").parquet(*done).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")

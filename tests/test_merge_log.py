@@ -40,3 +40,9 @@ def test_later_merges_block(spark):
 def test_circle(spark):
     with pytest.raises(ValueError, match="circle"):
         M.roots(spark.createDataFrame([(1, 1, 2), (2, 2, 1)], "merge_id long, survivor long, merged long"))
+
+
+def test_many_merges_in_a_row(spark):
+    log = spark.createDataFrame([(i, i + 1, i) for i in range(1, 41)], "merge_id long, survivor long, merged long")
+    assert {r.entity_id: r.root for r in M.roots(log).collect()} == {i: 41 for i in range(1, 41)}
+    assert M.roots(log.limit(0)).count() == 0

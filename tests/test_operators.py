@@ -4,6 +4,7 @@ import io
 import math
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftwell.functions import signals as S
@@ -48,14 +49,14 @@ def test_identifiers_and_phrases(spark):
 
 def test_bm25(spark):
     corpus = docs(spark, ["retry limit retry", "limit", "ERR_QUOTA_4419 limit", "limit of things", "", None])
-    hits = ranking.bm25(corpus, asked(spark, "quota limit", "nothing here")).collect()
+    hits = ranking.bm25(ranking.Index(corpus), asked(spark, "quota limit", "nothing here")).collect()
     assert [h.doc_id for h in hits][0] == 3 and {h.query_id for h in hits} == {1} and len(hits) == 4
     n, avgdl = 4, (3 + 1 + 4 + 3) / 4
     part = lambda df, tf, dl: math.log((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))
     assert hits[0].score == round(part(1, 1, 4) + part(4, 1, 4), 6)
     assert all(h.score > 0 for h in hits)
-    assert ranking.bm25(corpus, asked(spark, "limit"), allowed=F.col("doc_id") != 2).count() == 3
-    assert ranking.bm25(corpus.limit(0), asked(spark, "limit")).count() == 0
+    assert ranking.bm25(ranking.Index(corpus), asked(spark, "limit"), allowed=F.col("doc_id") != 2).count() == 3
+    assert ranking.bm25(ranking.Index(corpus.limit(0)), asked(spark, "limit")).count() == 0
 
 
 def test_fusion(spark):
@@ -131,3 +132,48 @@ def test_sync(spark):
     assert {r.source_id: r.status for r in sync.compare(now, was).collect()} == {"a": "added", "b": "updated", "c": "deleted", "d": "unchanged"}
     assert sync.guarded(now.limit(0), was).count() == 0
     assert sorted(map(tuple, sync.upserted(was, table([("b", "5")]), "source_id").collect()), key=str) == [("b", "5"), ("c", "3"), ("d", None)]
+
+
+def test_stored_index(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "quota limit limit"), (2, None), (3, "..."), (4, "limit of x")], "doc_id long, text string")
+    stored = ranking.Index(rows, f"{tmp_path}/index")
+    assert (stored.n, stored.sum_len) == (2, 6)
+    asks = asked(spark, "limit quota", "x")
+    assert sorted(ranking.bm25(stored, asks).collect()) == sorted(ranking.bm25(ranking.Index(rows), asks).collect())
+    assert "PushedFilters: [In(term" in stored.of_terms(ranking.question_terms(asks))._jdf.queryExecution().toString()
+
+
+def test_cosine_top_in_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(3)] if i % 9 else [0.0] * 3) for i in range(90)] + [(90, [1.0, 2.0]), (91, None), (92, [])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    q = v.where("vec_id % 5 = 0 OR vec_id >= 90").select(F.col("vec_id").alias("query_id"), "embedding")
+
+    def cos(a, b):
+        if len(a) != len(b):
+            return -1.0
+        n = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b)) / n, 6) if n else 0.0
+
+    want = []
+    for i, a in rows:
+        if a is not None and (i % 5 == 0 or i >= 90):
+            best = sorted(((-cos(a, b), j) for j, b in rows if b is not None))[:4]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    for size in (1 << 20, 100):
+        monkeypatch.setattr(ranking, "BLOCK_BYTES", size)
+        assert sorted(map(tuple, ranking.cosine_top(v, q, 4).collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 20])
+def test_passages(spark, block_bytes):
+    from siftwell.operators.passages import passages
+
+    docs = [(1, "the sea is calm"), (2, None), (3, ""), (4, "is is calm sea"), (4, "a b"), (None, "b a")]
+    items = [(1, "sea"), (2, "is calm"), (3, ""), (4, None), (5, "sea"), (6, "b"), (6, "a b"), (7, "é")]
+    got = passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string"), block_bytes)
+    want = [(i, d) for d, t in docs for i, p in items if t is not None and p is not None and p in t]
+    by = lambda r: (r[0], r[1] is not None, r[1] or 0)
+    assert sorted(map(tuple, got.collect()), key=by) == sorted(want, key=by)
