@@ -27,7 +27,7 @@ TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens lo
 #: Tokenizer versions: files of public vocabularies, by kind, and an estimate from characters.
 TOKENIZERS = {"chars4-1": None, "word_bpe_49k": huffman.VOCABULARY, "byte_bpe_multi_50k": bpe.VOCABULARY}
 #: Bytes of text that are counted at once.
-BYTES = 1 << 19
+BYTES = 2 << 20
 
 
 def _sources(tokenizers: dict) -> dict:
