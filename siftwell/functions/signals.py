@@ -18,10 +18,22 @@ IDENTIFIER_FORMS = [
 COMPARISON = ["compare", "compared", "comparison", "difference between", "differences between", "versus", "vs", "differ from"]
 AGGREGATION = ["total", "sum of", "count of", "list all", "list every"]
 MEASURES = "days weeks months years hours minutes seconds times percent dollars rupees".split()
-RELATIONS = [
-    "report to", "reports to", "reporting to", "manager of", "managed by", "member of", "members of", "part of the team", "on the team", "belong to", "belongs to", "owns",
-    "owner of", "owned by", "work on", "works on", "working on", "located in", "based in", "based out of", "wrote", "author of", "authored",
-]
+# What a question says of a type of relation, and capitalised words that name nothing.
+RELATIONS = {
+    "REPORTS_TO": ["report to", "reports to", "reporting to", "manager of", "managed by"],
+    "MEMBER_OF": ["member of", "members of", "part of the team", "on the team"],
+    "BELONGS_TO": ["belong to", "belongs to"],
+    "OWNS": ["owns", "owner of", "owned by"],
+    "WORKS_ON": ["work on", "works on", "working on"],
+    "LOCATED_IN": ["located in", "based in", "based out of"],
+    "AUTHORED": ["wrote", "author of", "authored"],
+}
+NOT_ENTITIES = """
+who what which when where why how does do did is are was were can could should would will the a an list compare show tell
+give find i we our my
+""".split()
+# Strategies in the order in which they stand in for each other.
+STRATEGIES = ["traditional", "vectorless", "graph", "agentic"]
 #: Words up to which a question without signals counts as plain.
 PLAIN_WORDS = 15
 
@@ -38,8 +50,15 @@ def identifiers(text: Column) -> Column:
 
 
 def phrases(text: Column) -> Column:
-    """What stands in straight double quotes."""
-    return F.regexp_extract_all(text, F.lit('"([^"]+)"'), F.lit(1))
+    """What stands in straight or typographic double quotes."""
+    return F.transform(F.regexp_extract_all(text, F.lit('"[^"]+"|“[^”]+”'), F.lit(0)), lambda p: F.substring(p, F.lit(2), F.length(p) - 2))
+
+
+def entities(text: Column) -> Column:
+    """Runs of capitalised words that are neither question words nor identifiers."""
+    words = F.regexp_extract_all(text, F.lit(r"[A-Za-z][A-Za-z0-9'\-]*"), F.lit(0))
+    named = F.transform(words, lambda w: F.when(w.rlike("^[A-Z]") & ~F.lower(w).isin(NOT_ENTITIES) & ~is_identifier(w), w).otherwise("\n"))
+    return F.filter(F.split(F.array_join(named, " "), r" ?\n[ \n]*"), lambda e: e != "")
 
 
 def spoken(text: Column) -> Column:
@@ -57,13 +76,18 @@ def counts_things(words: Column) -> Column:
     return says(words, AGGREGATION) | ((what != "") & ~what.isin(MEASURES))
 
 
-def signal_columns(text: Column) -> dict[str, Column]:
+def relations(words: Column, types: list[str] = tuple(RELATIONS)) -> Column:
+    """Types of relation that the words speak of, in order of their names."""
+    return F.array_compact(F.array(*[F.when(says(words, RELATIONS[t]), t) for t in sorted(types)]))
+
+
+def signal_columns(text: Column, types: list[str] = tuple(RELATIONS)) -> dict[str, Column]:
     words = spoken(text)
     return {
         "n_identifiers": F.size(identifiers(text)).cast("long"),
         "n_phrases": F.size(phrases(text)).cast("long"),
-        "relation": says(words, RELATIONS),
-        "entity": text.rlike(r" [A-Z][A-Za-z0-9'\-]*"),
+        "relations": F.array_join(relations(words, types), ","),
+        "entities": F.array_join(entities(text), ","),
         "comparison": says(words, COMPARISON),
         "aggregation": counts_things(words),
         "compound": (F.regexp_count(text, F.lit(r"\?")) > 1),
@@ -71,17 +95,27 @@ def signal_columns(text: Column) -> dict[str, Column]:
     }
 
 
-def route(available: list[str] = ("traditional", "vectorless", "graph", "agentic")) -> dict[str, Column]:
-    """strategy, decisive and query_type over the signal columns: one usable rule decides, none makes a plain question if it
-    is short, and several leave it open."""
+def route(available: list[str] = tuple(STRATEGIES)) -> dict[str, Column]:
+    """strategy, decisive, from_rule, query_type, ranking and cost_level over the signal columns.
+
+    One usable rule decides. If rules fired but none is usable, the first available strategy stands in, and so it does for a
+    short question without rules. Several rules, or a long question, leave it open: the agent before what fired first.
+    """
+    usable_ones = [s for s in STRATEGIES if s in available]
+    if not usable_ones:
+        raise ValueError("at least one strategy has to be available")
     exact = (F.col("n_identifiers") > 0) | (F.col("n_phrases") > 0)
-    related = F.col("relation") & F.col("entity")
+    related = (F.col("relations") != "") & (F.col("entities") != "")
     several = F.col("comparison") | F.col("aggregation") | F.col("compound")
-    fired = exact.cast("int") + related.cast("int") + several.cast("int")
-    plain = (fired == 0) & (F.col("n_words") <= PLAIN_WORDS)
-    one = fired == 1
-    which = F.when(several, "agentic").when(exact, "vectorless").when(related, "graph").otherwise("traditional")
-    kind = F.when(one & exact, "exact_match").when(one & related, "relationship").when(one & F.col("comparison"), "comparison").when(one & F.col("aggregation"), "aggregation").when(one, "compound").when(plain, "simple_factual").otherwise("ambiguous")
-    strategy = F.when(which.isin(list(available)), which).otherwise("traditional")
+    kind = F.when(F.col("comparison"), "comparison").when(F.col("aggregation"), "aggregation").otherwise("compound")
+    rules = [(exact, "vectorless", F.lit("exact_match")), (related, "graph", F.lit("relationship")), (several, "agentic", kind)]
+    fired = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(s).alias("strategy"), k.alias("kind"))) for c, s, k in rules]))
+    usable = F.filter(fired, lambda r: r["strategy"].isin(usable_ones))
+    names = F.transform(usable, lambda r: r["strategy"])
+    one, stood_in = F.size(usable) == 1, (F.size(usable) == 0) & (F.size(fired) > 0)
+    plain = (F.size(fired) == 0) & (F.col("n_words") <= PLAIN_WORDS)
+    strategy = F.when(F.size(usable) == 0, usable_ones[0]).when(F.array_contains(names, "agentic"), "agentic").otherwise(F.get(names, F.lit(0)))
+    query_type = F.when(one, F.get(usable, F.lit(0))["kind"]).when(stood_in, F.get(fired, F.lit(0))["kind"]).when(plain, "simple_factual").otherwise("ambiguous")
+    ranking = F.array_distinct(F.concat(F.array(strategy), names, F.array(*map(F.lit, usable_ones))))
     level = F.when(strategy == "agentic", "high").when(strategy == "graph", "medium").otherwise("low")
-    return {"strategy": strategy, "decisive": one | plain, "query_type": kind, "cost_level": level}
+    return {"strategy": strategy, "decisive": one | stood_in | plain, "from_rule": one, "query_type": query_type, "ranking": F.array_join(ranking, ","), "cost_level": level}

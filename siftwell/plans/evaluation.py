@@ -64,45 +64,6 @@ def resume(spark, sf_dir):
     return c.where("role = 'user'").select("conv_id").distinct().join(done, "conv_id", "left_anti").select(F.col("conv_id").alias("question_id"))
 
 
-_ANSWERS = [
-    (1, "Ten days are given [1].", ["Ten days are given.", "Other"]),
-    (2, "See [3] and [1].", ["a", "b"]),
-    (3, "No citation here.", ["a"]),
-    (4, "I could not find that.", ["a"]),
-    (5, 'It says "ten full days" [2].', ["Ten  Full days", "none of it"]),
-    (6, 'It says "ten full days" [1].', ["They get Ten  Full\ndays off", "none of it"]),
-    (7, "[1]", ["a"]),
-    (8, 'Only "7 d" [1] and "tiny" [1].', ["within 7 d or so"]),
-    (9, "", []),
-]
-
-
-def _answers(spark):
-    return spark.createDataFrame(_ANSWERS, "answer_id long, answer string, contexts array<string>")
-
-
-_ANSWERS_SQL = "(VALUES " + ", ".join("(" + str(i) + ", '" + a.replace("'", "''") + "', CAST([" + ", ".join("'" + x + "'" for x in c) + "] AS VARCHAR[]))" for i, a, c in _ANSWERS) + ") AS v(answer_id, answer, contexts)"
-
-
-@query("ct01_markers", f"SELECT CAST(answer_id AS BIGINT) AS answer_id, array_to_string(list_distinct(regexp_extract_all(answer, '\\[([0-9]+)\\]', 1)), ',') AS markers FROM {_ANSWERS_SQL} WHERE answer_id <> 2 UNION ALL SELECT 2, '3,1'")
-def markers(spark, sf_dir):
-    return _answers(spark).select("answer_id", F.array_join(E.markers(F.col("answer")), ",").alias("markers"))
-
-
-_FLAT = "lower(trim(regexp_replace({t}, '\\s+', ' ', 'g')))"
-
-
-@query(
-    "ct02_contract",
-    f"""WITH v AS (SELECT *, list_transform(list_distinct(regexp_extract_all(answer, '\\[([0-9]+)\\]', 1)), lambda m: CAST(m AS INT)) AS ms FROM {_ANSWERS_SQL}),
-    w AS (SELECT *, list_transform(list_filter(ms, lambda m: m >= 1 AND m <= len(contexts)), lambda m: {_FLAT.format(t="contexts[m]")}) AS ts, list_filter(regexp_extract_all(answer, '"([^"]+)"', 1), lambda q: length(q) >= 8 OR regexp_matches(q, '[0-9]')) AS qs FROM v)
-    SELECT CAST(answer_id AS BIGINT) AS answer_id, CASE WHEN len(list_filter(ms, lambda m: m < 1 OR m > len(contexts))) > 0 THEN 'marker_out_of_range' WHEN len(contexts) > 0 AND len(ms) = 0 AND NOT contains(lower(answer), 'could not find') THEN 'uncited'
-     WHEN len(list_filter(qs, lambda q: len(list_filter(ts, lambda t: contains(t, {_FLAT.format(t="q")}))) = 0)) > 0 THEN 'quote_not_found' WHEN NOT regexp_matches(regexp_replace(answer, '\\[[0-9]+\\]', '', 'g'), '[A-Za-z0-9]') THEN 'no_words' END AS violation FROM w""",
-)
-def contract(spark, sf_dir):
-    return _answers(spark).select("answer_id", E.contract_violation(F.col("answer"), F.col("contexts")).alias("violation"))
-
-
 @query("ct07_dated_conflicts", "SELECT CAST(o_custkey AS BIGINT) AS custkey, count(DISTINCT CAST(o_orderdate AS DATE)) AS n_dates FROM orders GROUP BY o_custkey HAVING count(DISTINCT CAST(o_orderdate AS DATE)) >= 2")
 def dated_conflicts(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("long").alias("custkey")).agg(F.countDistinct(F.to_date("o_orderdate")).alias("n_dates"))

@@ -12,7 +12,7 @@ from siftwell.operators import access as A
 from siftwell.operators import ranking as R
 from siftwell.operators.lineage import shared
 from siftwell.operators.passages import passages
-from siftwell.plans.registry import QUESTIONS_SQL, query, questions, table
+from siftwell.plans.registry import QUESTIONS, QUESTIONS_SQL, query, questions, table
 from siftwell.plans.text import _CONTENT
 
 _BASE = f"""q AS (SELECT query_id, question FROM {QUESTIONS_SQL}),
@@ -42,7 +42,7 @@ def _rrf(wb: float, wo: float, k: int, name: str = "rr") -> str:
 
 
 _IDS = "list_filter(regexp_extract_all(question, '[A-Za-z0-9_](?:[A-Za-z0-9_.\\-]*[A-Za-z0-9_])?'), lambda t: " + " OR ".join(f"regexp_matches(t, '{f}')" for f in S.IDENTIFIER_FORMS) + ")"
-_PHRASES = "regexp_extract_all(question, '\"([^\"]+)\"', 1)"
+_PHRASES = "list_transform(regexp_extract_all(question, '\"[^\"]+\"|“[^”]+”'), lambda p: substr(p, 2, length(p) - 2))"
 
 
 def _boost(source: str, k: int) -> str:
@@ -224,29 +224,68 @@ def traditional(spark, sf_dir):
 
 
 _SPOKEN = "' ' || trim(regexp_replace(lower(question), '[^a-z0-9'']+', ' ', 'g')) || ' '"
-_SIGNALS = f"""sg AS (SELECT query_id, question, {_SPOKEN} AS w, len(list_distinct({_IDS})) AS n_identifiers, len({_PHRASES}) AS n_phrases FROM {QUESTIONS_SQL}),
- s2 AS (SELECT query_id, n_identifiers, n_phrases, regexp_matches(w, ' ({"|".join(S.RELATIONS)}) ') AS relation, regexp_matches(question, ' [A-Z][A-Za-z0-9''\\-]*') AS entity,
+_WORDINGS = [q for _, q in QUESTIONS]
+_ASKED = (
+    "asked AS (SELECT conv_id, turn, regexp_extract(text, '^[^.\n]*') || ' ' || (["
+    + ", ".join("'" + w.replace("'", "''") + "'" for w in _WORDINGS)
+    + "])[conv_id % 8 + 1] || CASE WHEN turn % 4 = 2 THEN ' and “on the” with The Big Anble-Corp X1 of Paris, who works on it' ELSE '' END AS question FROM conversations WHERE role = 'user')"
+)
+
+
+def _asked(spark, sf_dir):
+    """conv_id, turn, question: the first line or sentence of all users' turns with one of the wordings, and now and then more."""
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'")
+    wording = F.element_at(F.array(*map(F.lit, _WORDINGS)), (F.col("conv_id") % 8 + 1).cast("int"))
+    more = F.when(F.col("turn") % 4 == 2, " and “on the” with The Big Anble-Corp X1 of Paris, who works on it").otherwise("")
+    return rows.select("conv_id", "turn", F.concat(F.regexp_extract("text", r"^[^.\n]*", 0), F.lit(" "), wording, more).alias("question"))
+
+
+_NAMED = "regexp_matches(w, '^[A-Z]') AND NOT list_contains([" + ", ".join(f"'{w}'" for w in S.NOT_ENTITIES) + "], lower(w)) AND NOT (" + " OR ".join(f"regexp_matches(w, '{f}')" for f in S.IDENTIFIER_FORMS) + ")"
+_RELATED = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(w, ' ({'|'.join(S.RELATIONS[t])}) ') THEN '{t}' END" for t in sorted(S.RELATIONS)) + "], lambda x: x IS NOT NULL), ',')"
+_SIGNALS = f"""{_ASKED}, ew AS (SELECT conv_id, turn, u.w, u.i, {_NAMED.replace("w,", "u.w,").replace("(w)", "(u.w)")} AS named FROM asked, unnest(regexp_extract_all(question, '[A-Za-z][A-Za-z0-9''\\-]*')) WITH ORDINALITY AS u(w, i)),
+ er AS (SELECT conv_id, turn, string_agg(w, ' ' ORDER BY i) AS entity, min(i) AS i FROM (SELECT *, i - row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS run FROM ew WHERE named) GROUP BY conv_id, turn, run),
+ en AS (SELECT conv_id, turn, string_agg(entity, ',' ORDER BY i) AS entities FROM er GROUP BY 1, 2),
+ sg AS (SELECT conv_id, turn, question, {_SPOKEN} AS w, len(list_distinct({_IDS})) AS n_identifiers, len({_PHRASES}) AS n_phrases FROM asked),
+ s2 AS (SELECT conv_id, turn, n_identifiers, n_phrases, {_RELATED} AS relations, coalesce(entities, '') AS entities,
   regexp_matches(w, ' ({"|".join(S.COMPARISON)}) ') AS comparison,
   regexp_matches(w, ' ({"|".join(S.AGGREGATION)}) ') OR (regexp_extract(w, ' how many ([a-z0-9'']+) ', 1) <> '' AND regexp_extract(w, ' how many ([a-z0-9'']+) ', 1) NOT IN ({", ".join(f"'{m}'" for m in S.MEASURES)})) AS aggregation,
-  len(question) - len(replace(question, '?', '')) > 1 AS compound, len(regexp_split_to_array(trim(question), '\\s+')) AS n_words FROM sg)"""
+  len(question) - len(replace(question, '?', '')) > 1 AS compound, len(regexp_split_to_array(trim(question), '\\s+')) AS n_words FROM sg LEFT JOIN en USING (conv_id, turn))"""
+
+
+def _signals(spark, sf_dir):
+    return _asked(spark, sf_dir).select("conv_id", "turn", *[c.alias(n) for n, c in S.signal_columns(F.col("question")).items()])
 
 
 @query("st09_signals", f"WITH {_SIGNALS} SELECT * FROM s2")
 def signals(spark, sf_dir):
-    return questions(spark).select("query_id", *[c.alias(n) for n, c in S.signal_columns(F.col("question")).items()])
+    return _signals(spark, sf_dir)
+
+
+_FIRED = "f AS (SELECT *, n_identifiers + n_phrases > 0 AS ex, relations <> '' AND entities <> '' AS re, comparison OR aggregation OR compound AS se, CASE WHEN comparison THEN 'comparison' WHEN aggregation THEN 'aggregation' ELSE 'compound' END AS kind FROM s2)"
 
 
 @query(
     "st10_router",
-    f"""WITH {_SIGNALS}, f AS (SELECT *, n_identifiers + n_phrases > 0 AS ex, relation AND entity AS re, comparison OR aggregation OR compound AS se FROM s2),
-    g AS (SELECT *, CAST(ex AS INT) + CAST(re AS INT) + CAST(se AS INT) AS k FROM f)
-    SELECT query_id, CASE WHEN se THEN 'agentic' WHEN ex THEN 'vectorless' WHEN re THEN 'graph' ELSE 'traditional' END AS strategy, k = 1 OR (k = 0 AND n_words <= 15) AS decisive,
-    CASE WHEN k = 1 AND ex THEN 'exact_match' WHEN k = 1 AND re THEN 'relationship' WHEN k = 1 AND comparison THEN 'comparison' WHEN k = 1 AND aggregation THEN 'aggregation' WHEN k = 1 THEN 'compound' WHEN k = 0 AND n_words <= 15 THEN 'simple_factual' ELSE 'ambiguous' END AS query_type,
+    f"""WITH {_SIGNALS}, {_FIRED}, g AS (SELECT *, CAST(ex AS INT) + CAST(re AS INT) + CAST(se AS INT) AS k, CASE WHEN se THEN 'agentic' WHEN ex THEN 'vectorless' WHEN re THEN 'graph' ELSE 'traditional' END AS strategy FROM f)
+    SELECT conv_id, turn, strategy, k = 1 OR (k = 0 AND n_words <= 15) AS decisive, k = 1 AS from_rule,
+    CASE WHEN k = 1 AND ex THEN 'exact_match' WHEN k = 1 AND re THEN 'relationship' WHEN k = 1 THEN kind WHEN k = 0 AND n_words <= 15 THEN 'simple_factual' ELSE 'ambiguous' END AS query_type,
+    CASE WHEN se THEN 'agentic,' || CASE WHEN ex THEN 'vectorless,' ELSE '' END || CASE WHEN re THEN 'graph,' ELSE '' END || 'traditional' || CASE WHEN NOT ex THEN ',vectorless' ELSE '' END || CASE WHEN NOT re THEN ',graph' ELSE '' END
+     WHEN ex THEN 'vectorless,' || CASE WHEN re THEN 'graph,traditional' ELSE 'traditional,graph' END || ',agentic' WHEN re THEN 'graph,traditional,vectorless,agentic' ELSE 'traditional,vectorless,graph,agentic' END AS ranking,
     CASE WHEN se THEN 'high' WHEN NOT ex AND re THEN 'medium' ELSE 'low' END AS cost_level FROM g""",
 )
 def router(spark, sf_dir):
-    rows = questions(spark).select("query_id", *[c.alias(n) for n, c in S.signal_columns(F.col("question")).items()])
-    return rows.select("query_id", *[c.alias(n) for n, c in S.route().items()])
+    return _signals(spark, sf_dir).select("conv_id", "turn", *[c.alias(n) for n, c in S.route().items()])
+
+
+@query(
+    "st10_router_offline",
+    f"""WITH {_SIGNALS}, {_FIRED} SELECT conv_id, turn, CASE WHEN ex THEN 'vectorless' ELSE 'traditional' END AS strategy, ex OR re OR se OR n_words <= 15 AS decisive, ex AS from_rule,
+    CASE WHEN ex THEN 'exact_match' WHEN re THEN 'relationship' WHEN se THEN kind WHEN n_words <= 15 THEN 'simple_factual' ELSE 'ambiguous' END AS query_type,
+    CASE WHEN ex THEN 'vectorless,traditional' ELSE 'traditional,vectorless' END AS ranking, 'low' AS cost_level FROM f""",
+)
+def router_offline(spark, sf_dir):
+    """The same where neither the graph nor the agent can run."""
+    return _signals(spark, sf_dir).select("conv_id", "turn", *[c.alias(n) for n, c in S.route(["traditional", "vectorless"]).items()])
 
 
 @query(
@@ -338,6 +377,6 @@ def identifiers(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.explode(S.identifiers(F.col("text"))).alias("token"))
 
 
-@query("flt11_phrases", f"SELECT query_id, unnest({_PHRASES}) AS phrase FROM {QUESTIONS_SQL}")
+@query("flt11_phrases", f"WITH {_ASKED} SELECT conv_id, turn, unnest({_PHRASES}) AS phrase FROM asked")
 def phrases(spark, sf_dir):
-    return questions(spark).select("query_id", F.explode(S.phrases(F.col("question"))).alias("phrase"))
+    return _asked(spark, sf_dir).select("conv_id", "turn", F.explode(S.phrases(F.col("question"))).alias("phrase"))
