@@ -22,6 +22,8 @@ were what when where which while who whom why will with would you your also each
 DOCUMENT_TYPES = {"pdf": "pdf", "docx": "word", "pptx": "slides", "txt": "text", "csv": "table", "md": "markdown"}
 #: Characters of a chunk and of the overlap of neighbours.
 CHUNK, OVERLAP = 600, 80
+#: Pages on which a line is a header or footer.
+REPEATED = 3
 
 
 def array_of(words: list[str]) -> Column:
@@ -61,6 +63,15 @@ def clean_page(text: Column) -> Column:
     return F.regexp_replace(out, r"(?U)^\s+|\s+$", "")
 
 
+def clean_text(text: Column) -> Column:
+    """Pages (up to form feeds) cleaned, without lines that stand on REPEATED of them or more."""
+    pages = F.transform(F.split(text, "\f"), clean_page)
+    lines = F.sort_array(F.flatten(F.transform(pages, lambda p: F.array_distinct(F.filter(F.split(p, "\n"), lambda l: l != "")))))
+    again = F.array_distinct(F.flatten(F.transform(F.array(lines), lambda s: F.filter(s, lambda l, i: l == F.get(s, i + (REPEATED - 1))))))
+    kept = lambda p, gone: F.array_join(F.filter(F.split(p, "\n"), lambda l: ~F.array_contains(gone, l)), "\n")
+    return F.array_join(F.flatten(F.transform(F.array(again), lambda gone: F.transform(pages, lambda p: kept(p, gone)))), "\f")
+
+
 def token_estimate(text: Column) -> Column:
     return F.when(F.length(text) == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(F.length(text) / 4))).cast("long")
 

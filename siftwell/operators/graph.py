@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from itertools import accumulate
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from siftwell.operators.lineage import cut
+from siftwell.operators.ranking import cosine_at_least
 
 #: Relations that are walked in their own direction only.
 ONE_WAY = ["REPORTS_TO"]
@@ -20,6 +27,34 @@ def name_key(name: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"^\((.*)\)$|^\[(.*)\]$", "$1$2"))
 
 
+QUOTES = "\"'`" + "".join(chr(c) for c in range(sys.maxunicode) if unicodedata.category(chr(c)) in ("Pi", "Pf"))
+BRACKETS = {"(": ")", "[": "]", "{": "}"}
+
+
+def _within_brackets(name: str) -> bool:
+    opening, closing = name[:1], BRACKETS.get(name[:1])
+    if len(name) < 2 or name[-1] != closing:
+        return False
+    depth = list(accumulate((c == opening) - (c == closing) for c in name))
+    return depth[-1] == 0 and min(depth[:-1]) > 0
+
+
+def _unicode_key(name: str | None) -> str | None:
+    if name is None:
+        return None
+    key, before = " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", name).casefold()).split()), None
+    while key != before:
+        before, key = key, key.rstrip(".,;:!? ").strip().strip(QUOTES)
+        key = (key[1:-1] if _within_brackets(key) else key).strip()
+    return key
+
+
+@F.pandas_udf(StringType())
+def unicode_key(names: pd.Series) -> pd.Series:
+    """The key of a name in any script: compatibility form, folded case, squeezed, without closing marks, quotes and enclosing brackets."""
+    return names.map(_unicode_key)
+
+
 def walk_edges(edges: DataFrame, denied: DataFrame | None = None) -> DataFrame:
     """Directed steps (src, dst, edge_id, relation, reversed) between visible nodes. Two equi-joinable parts instead of an
     either-way condition."""
@@ -71,12 +106,11 @@ def best_names(sources: DataFrame) -> DataFrame:
     return sources.groupBy("entity_id").agg(F.max_by("surface_name", order).alias("name"))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, cosine) -> DataFrame:
-    """Pairs (a, b) of one type with a cosine of the threshold or more: an equi-join by type over ids in order."""
-    left = vectors.select(F.col("vec_id").alias("a"), F.col("embedding").alias("va"), "label")
-    right = vectors.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb"), "label")
-    rows = left.join(right, "label").where("a < b").select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("similarity"))
-    return rows.where(F.col("similarity") >= threshold)
+def similar_pairs(vectors: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
+    """vec_id, other, similarity of a stated set of queries and all vectors (vec_id, embedding, label) of the same label with a cosine of
+    the threshold or more; a pair of two queries comes once from each. Queries go to the tasks in blocks of bounded size."""
+    found = cosine_at_least(vectors, queries.select(F.col("vec_id").alias("query_id"), "embedding", "label"), threshold)
+    return found.where("query_id <> vec_id").select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("other"), F.col("score").alias("similarity"))
 
 
 def carried(old: DataFrame, new: DataFrame) -> DataFrame:

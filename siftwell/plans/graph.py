@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftwell.operators import graph as G
-from siftwell.operators.ranking import cosine
 from siftwell.plans.registry import query, table
 
 #: Node ids: regions from 0, nations from 100, customers from 1,000, suppliers from 10,000,000,000.
@@ -125,12 +124,14 @@ def alias_resolution(spark, sf_dir):
 
 @query(
     "gr08_similar_pairs",
-    """SELECT a, b, similarity FROM (SELECT x.vec_id AS a, y.vec_id AS b, round(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))
+    """SELECT vec_id, other, similarity FROM (SELECT x.vec_id AS vec_id, y.vec_id AS other, round(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))
       / (sqrt(list_sum(list_transform(x.embedding, lambda p: CAST(p AS DOUBLE) * CAST(p AS DOUBLE)))) * sqrt(list_sum(list_transform(y.embedding, lambda p: CAST(p AS DOUBLE) * CAST(p AS DOUBLE))))), 6) AS similarity
-      FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id) WHERE similarity >= 0.3""",
+      FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id <> y.vec_id AND x.vec_id % 20 = 0) WHERE similarity >= 0.3""",
 )
 def similar_pairs(spark, sf_dir):
-    return G.similar_pairs(table(spark, sf_dir, "embeddings"), 0.3, cosine)
+    """Of the vectors whose id is divisible by 20, with all others of their label."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return G.similar_pairs(vectors, vectors.where("vec_id % 20 = 0"), 0.3)
 
 
 _NAMES = "s AS (SELECT CAST(l_partkey AS BIGINT) AS entity_id, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS chunk_id, l_returnflag || l_linestatus AS surface_name, CASE WHEN l_tax > 0 THEN l_tax END AS confidence FROM lineitem)"
