@@ -10,6 +10,7 @@ follows; `blocks` holds the packed blocks with their documents, in ascending ord
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -26,6 +27,8 @@ from siftwell.llm.words import chunks, ranges
 VOCABULARY, END = "word_bpe_49k.json", 1
 #: Ids from one bit-offset checkpoint to the next; ids after which a block is closed; bytes of text encoded at once.
 STRIDE, BLOCK, BYTES = 512, 1 << 16, 4 << 20
+#: Letters that stay letters, one for one, when normalised; marks that no special token holds.
+LETTER, MARK = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]", "[!-/:;=?@\\[-`{}~]"
 BLOCKS = "part int, first long, doc_ids array<long>, sizes array<long>, n long, offsets array<long>, packed binary"
 
 
@@ -123,15 +126,12 @@ def encoder(definition: str):
     simple = Tokenizer(tokenizer.model)
     simple.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
+    one_word = re.compile(f"{LETTER}+").fullmatch  # one word to the tokenizer
     last = np.zeros(tokenizer.get_vocab_size(), bool)  # tokens that end a word
     last[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
-    def one_word(unit: str) -> bool:
-        """Letters that stay letters, one for one, when normalised: such a unit is one word to the tokenizer."""
-        return unit.isalpha() and max(unit) <= "\u024f" and "\u0130" not in unit
-
     def words(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain = np.fromiter(map(one_word, units), bool, len(units))
+        plain = np.fromiter((x is not None for x in map(one_word, units)), bool, len(units))
         at = np.flatnonzero(plain)
         texts = [" ".join([units[i] for i in at[k : k + 1000].tolist()]).lower() for k in range(0, len(at), 1000)]
         ids = [np.array(e.ids, np.uint32) for e in simple.encode_batch_fast(texts, add_special_tokens=False)]
@@ -153,8 +153,8 @@ def encoder(definition: str):
         plain = column.cast(pa.large_string()).fill_null("")
         for c in "\n\t\r":
             plain = pc.replace_substring(plain, c, " ")
-        # a mark between a letter and white space is a word to the tokenizer, with or without white space before it
-        plain = pc.replace_substring_regex(plain, "([A-Za-z])([.,]) ", "\\1 \\2 ")
+        # marks between a letter and white space are a word to the tokenizer, with or without white space before them
+        plain = pc.replace_substring_regex(plain, f"({LETTER})({MARK}+) ", "\\1 \\2 ")
         if not pc.any(pc.match_substring(plain, "<|")).as_py():  # else capitals tell text from special tokens
             plain = pc.ascii_lower(plain)
         code, distinct, edges = pieces(plain)

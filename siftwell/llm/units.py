@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +31,20 @@ class Pool:
         """Places of the units, for `gather` until the next call."""
         if len(self.at) > self.limit or self.size > self.most:
             self._clear()
-        new = [u for u in dict.fromkeys(units) if u not in self.at]
-        if new:
+        at = self.at
+        places = np.fromiter(map(at.get, units, repeat(-1)), np.int64, len(units))
+        unknown = np.flatnonzero(places < 0).tolist()
+        if unknown:
+            new = list(dict.fromkeys(units[i] for i in unknown))
             count, ids = self.encode(new)
-            base = len(self.at)
+            base = len(at)
             self.size += sum(map(len, new)) + len(ids)
-            self.at.update(zip(new, range(base, base + len(new))))
+            at.update(zip(new, range(base, base + len(new))))
             self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
             self.count = np.concatenate([self.count, count])
             self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
-        at = self.at
-        return np.fromiter((at[u] for u in units), np.int64, len(units))
+            places[unknown] = [at[units[i]] for i in unknown]
+        return places
 
     def gather(self, places: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a sequence of places, and how many stand between consecutive edges of it."""

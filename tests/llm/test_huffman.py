@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -73,3 +74,12 @@ def test_round_trip_in_blocks():
     blocks = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
     back = code.unpack([(*code.pack(b), len(b)) for b in blocks])
     assert all((a == b).all() and len(a) == len(b) for a, b in zip(blocks, back))
+
+
+def test_marks_and_letters_in_any_mixture():
+    rng, signs = np.random.default_rng(5), [*"aZ.,!$'\"<|>[]`9 \n", " ", "'s", "don't", "é", "é", "İ", "ŉ", "ǅ", "Ɀ", "×", "क़", "漢", "<|endoftext|>", "<|ENDOFTEXT|>", "̸", "̇", "word"]
+    texts = ["".join(rng.choice(signs, n)) + " " for n in rng.integers(1, 30, 4000)]
+    ids, count = H.encoder(open(public_tokenizers.path(H.VOCABULARY)).read())(pa.array(texts))
+    ends = np.cumsum(count)
+    for text, own in zip(texts, np.split(ids, ends[:-1])):
+        assert own.tolist() == [*TRUTH.encode(text, add_special_tokens=False).ids, 1], text
