@@ -27,6 +27,8 @@ from siftwell.llm.words import chunks, ranges
 VOCABULARY, END = "word_bpe_49k.json", 1
 #: Ids from one bit-offset checkpoint to the next; ids after which a block is closed; bytes of text encoded at once.
 STRIDE, BLOCK, BYTES = 512, 1 << 16, 4 << 20
+#: Words that a worker remembers.
+WORDS = 300_000
 #: Letters that stay letters, one for one, when normalised; marks that no special token holds.
 LETTER, MARK = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]", "[!-/:;=?@\\[-`{}~]"
 BLOCKS = "part int, first long, doc_ids array<long>, sizes array<long>, n long, offsets array<long>, packed binary"
@@ -147,7 +149,7 @@ def encoder(definition: str):
         out[ranges(start[rest], count[rest])] = np.fromiter((x for i in more for x in i), np.uint32, int(count[rest].sum()))
         return count, out
 
-    pool = Pool(words)
+    pool = Pool(words, WORDS)
 
     def encode(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         plain = column.cast(pa.large_string()).fill_null("")
