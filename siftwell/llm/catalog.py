@@ -1,6 +1,6 @@
 """The numbered operators as queries over the driver's tables, with SQL where it can express them."""
 
-from siftwell.llm import bpe, decontaminate, huffman, line_dedup, preference, quality, similar, substrings, token_counts, toxicity, url_rules
+from siftwell.llm import bpe, decontaminate, huffman, lexical, line_dedup, preference, quality, similar, substrings, token_counts, toxicity, url_rules
 
 QUERIES = {
     "op1_token_rollups": token_counts.op1_token_rollups,
@@ -14,9 +14,11 @@ QUERIES = {
     "op9_recompression": substrings.op9_recompression,
     "op10_url_rules": url_rules.op10_url_rules,
     "op11_line_runs": line_dedup.op11_line_runs,
+    "op12_wavelet_search": lexical.op12_wavelet_search,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_preference_pairs": preference.ORACLE_SQL,
     "op10_url_rules": url_rules.ORACLE_SQL,
     "op11_line_runs": line_dedup.ORACLE_SQL,
+    "op12_wavelet_search": lexical.ORACLE_SQL,
 }
