@@ -1,6 +1,6 @@
 """The numbered operators as queries over the driver's tables, with SQL where it can express them."""
 
-from siftwell.llm import bpe, decontaminate, huffman, lexical, line_dedup, preference, quality, similar, substrings, token_counts, toxicity, url_rules
+from siftwell.llm import align, bpe, decontaminate, huffman, lexical, line_dedup, preference, quality, similar, substrings, token_counts, toxicity, url_rules
 
 QUERIES = {
     "op1_token_rollups": token_counts.op1_token_rollups,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_url_rules": url_rules.op10_url_rules,
     "op11_line_runs": line_dedup.op11_line_runs,
     "op12_wavelet_search": lexical.op12_wavelet_search,
+    "op13_align": align.op13_align,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_preference_pairs": preference.ORACLE_SQL,
