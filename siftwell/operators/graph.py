@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import sys
-import unicodedata
-from itertools import accumulate
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+from siftwell.functions.names import name_key
 from siftwell.operators.lineage import cut
 from siftwell.operators.ranking import cosine_at_least
 
@@ -19,42 +14,6 @@ ONE_WAY = ["REPORTS_TO"]
 HOPS, BUDGET = 2, 50
 
 
-def name_key(name: Column) -> Column:
-    """ASCII form of a name's key: lower case, squeezed, without closing marks, quotes and one pair of brackets."""
-    out = F.trim(F.regexp_replace(F.lower(name), r"\s+", " "))
-    out = F.regexp_replace(out, r"[.,;:!? ]+$", "")
-    out = F.regexp_replace(out, "^[\"']+|[\"']+$", "")
-    return F.trim(F.regexp_replace(out, r"^\((.*)\)$|^\[(.*)\]$", "$1$2"))
-
-
-QUOTES = "\"'`" + "".join(chr(c) for c in range(sys.maxunicode) if unicodedata.category(chr(c)) in ("Pi", "Pf"))
-BRACKETS = {"(": ")", "[": "]", "{": "}"}
-
-
-def _within_brackets(name: str) -> bool:
-    opening, closing = name[:1], BRACKETS.get(name[:1])
-    if len(name) < 2 or name[-1] != closing:
-        return False
-    depth = list(accumulate((c == opening) - (c == closing) for c in name))
-    return depth[-1] == 0 and min(depth[:-1]) > 0
-
-
-def _unicode_key(name: str | None) -> str | None:
-    if name is None:
-        return None
-    key, before = " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", name).casefold()).split()), None
-    while key != before:
-        before, key = key, key.rstrip(".,;:!? ").strip().strip(QUOTES)
-        key = (key[1:-1] if _within_brackets(key) else key).strip()
-    return key
-
-
-@F.pandas_udf(StringType())
-def unicode_key(names: pd.Series) -> pd.Series:
-    """The key of a name in any script: compatibility form, folded case, squeezed, without closing marks, quotes and enclosing brackets."""
-    return names.map(_unicode_key)
-
-
 def walk_edges(edges: DataFrame, denied: DataFrame | None = None) -> DataFrame:
     """Directed steps (src, dst, edge_id, relation, reversed) between visible nodes. Two equi-joinable parts instead of an
     either-way condition."""

@@ -1,28 +1,42 @@
-"""Entity merges as an append-only log. Tables are never patched: what is merged follows from the log without undone merges."""
+"""Entity merges as an append-only log. Tables are never patched: what is merged follows from the log without undone merges.
+
+What extraction reported stays as it was reported: entity_sources (entity_id, chunk_id, confidence, surface_name), edges (src, dst, relation, edge_id)
+and edge_sources (edge_id, chunk_id, confidence). So a merge that is taken back gives back sources, aliases and edges by itself, edges that it had
+folded into one are apart again, and reports that came after the merge stay with the entity they name.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.functions.names import name_key
 from siftwell.operators.lineage import cut
 
+
 def active(log: DataFrame, undone: DataFrame) -> DataFrame:
     """merge_id, survivor, merged of merges (log) that no row of `undone` (merge_id) takes back."""
     return log.join(undone.select("merge_id"), "merge_id", "left_anti").select("merge_id", "survivor", "merged")
 
 
-def roots(merges: DataFrame) -> DataFrame:
-    """entity_id, root of every merged entity, through merges of its survivor. The latest merge of an entity counts."""
-    found = cut(merges.groupBy(F.col("merged").alias("entity_id")).agg(F.max_by("survivor", "merge_id").alias("root")))
-    while True:  # each step doubles how far an entity is followed
-        up = found.select(F.col("entity_id").alias("root"), F.col("root").alias("next"))
-        step = cut(found.join(up, "root", "left").select("entity_id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+def lineage(merges: DataFrame) -> DataFrame:
+    """entity_id, root and path (the merges on the way, the root's own first) of every merged entity, through merges of its survivor. The
+    latest merge of an entity counts. Each step doubles how far an entity is followed."""
+    latest = merges.groupBy(F.col("merged").alias("entity_id")).agg(F.max_by(F.struct("survivor", "merge_id"), "merge_id").alias("m"))
+    found = cut(latest.select("entity_id", F.col("m.survivor").alias("root"), F.array("m.merge_id").alias("path")))
+    while True:
+        up = found.select(F.col("entity_id").alias("root"), F.col("root").alias("next"), F.col("path").alias("above"))
+        step = cut(found.join(up, "root", "left").select("entity_id", F.coalesce("next", "root").alias("root"), F.when(F.col("above").isNull(), F.col("path")).otherwise(F.concat("above", "path")).alias("path"), F.col("next").isNotNull().alias("moved")))
         if not step.where("entity_id = root").isEmpty():
             raise ValueError("the log merges entities in a circle")
         if step.where("moved").isEmpty():
-            return step.select("entity_id", "root")
-        found = step.select("entity_id", "root")
+            return step.select("entity_id", "root", "path")
+        found = step.select("entity_id", "root", "path")
+
+
+def roots(merges: DataFrame) -> DataFrame:
+    """entity_id, root of every merged entity."""
+    return lineage(merges).select("entity_id", "root")
 
 
 def renamed(table: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
@@ -32,20 +46,101 @@ def renamed(table: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
     return table
 
 
+def higher() -> tuple[Column, ...]:
+    """Order of reports by confidence; unmeasured ones are the least."""
+    return F.col("confidence").isNotNull(), F.coalesce("confidence", F.lit(0.0))
+
+
 def merged_sources(sources: DataFrame, found: DataFrame) -> DataFrame:
-    """One row for each entity and chunk, with the higher confidence; unmeasured only if none is measured."""
-    return renamed(sources, found, "entity_id").groupBy("entity_id", "chunk_id").agg(F.max("confidence").alias("confidence"))
+    """One row for each entity and chunk: the report with the highest confidence, with its surface name if there is one; of equals the root's own, then
+    that of the least entity. Unmeasured only if none is measured."""
+    own = [c for c in ("confidence", "surface_name") if c in sources.columns]
+    rows = renamed(sources.withColumn("__from", F.col("entity_id")), found, "entity_id")
+    order = F.struct(*higher(), F.col("__from") == F.col("entity_id"), -F.col("__from"))
+    return rows.groupBy("entity_id", "chunk_id").agg(*[F.max_by(c, order).alias(c) for c in own])
+
+
+def edge_roots(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """edge_id, src, dst, relation, kept: each edge between roots, and the edge it is folded into: of those with equal ends and relation the one
+    that is no other's loan (its ends are roots), then the least id. Edges that became loops are left out."""
+    rows = renamed(edges.withColumn("__src", F.col("src")).withColumn("__dst", F.col("dst")), found, "src", "dst").where("src <> dst OR __src = __dst")
+    order = F.struct((F.col("src") == F.col("__src")) & (F.col("dst") == F.col("__dst")), -F.col("edge_id"))
+    kept = rows.groupBy("src", "dst", "relation").agg(F.max_by("edge_id", order).alias("kept"))
+    return rows.join(kept, ["src", "dst", "relation"]).select("edge_id", "src", "dst", "relation", "kept")
 
 
 def merged_edges(edges: DataFrame, found: DataFrame) -> DataFrame:
-    """Edges between roots: no loops, one for each pair and relation."""
-    rows = renamed(edges, found, "src", "dst").where("src <> dst")
-    return rows.groupBy("src", "dst", "relation").agg(F.min("edge_id").alias("edge_id"), F.max("confidence").alias("confidence"))
+    """Edges between roots: no loops, one for each pair and relation, with the highest confidence."""
+    kept = edge_roots(edges, found)
+    rows = kept.join(edges.select("edge_id", "confidence"), "edge_id")
+    return rows.groupBy("src", "dst", "relation").agg(F.first("kept").alias("edge_id"), F.max("confidence").alias("confidence"))
+
+
+def merged_edge_sources(edge_sources: DataFrame, kept: DataFrame) -> DataFrame:
+    """edge_id, chunk_id, confidence: sources of folded edges (as of `edge_roots`) go to the edge they are folded into."""
+    rows = edge_sources.join(kept.select("edge_id", "kept"), "edge_id").select(F.col("kept").alias("edge_id"), "chunk_id", "confidence")
+    return rows.groupBy("edge_id", "chunk_id").agg(F.max("confidence").alias("confidence"))
+
+
+def merged_aliases(entities: DataFrame, paths: DataFrame) -> DataFrame:
+    """entity_id, aliases of the entities (entity_id, name, aliases) that are left, in order of the merges (`lineage`).
+
+    An entity's own aliases come first. The name of what was merged into it is added in its own spelling, also where it has the same key; what else that
+    answered to is added if nothing before it has its key. Entities without aliases have an empty list.
+    """
+    own = entities.select("entity_id", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "name").join(paths, "entity_id", "left")
+    own = own.select(F.coalesce("root", "entity_id").alias("root"), F.coalesce("path", F.array().cast("array<long>")).alias("path"), "name", "aliases")
+    texts = F.concat(F.array(F.struct(F.lit(-1).alias("at"), F.col("name").alias("text"))), F.transform("aliases", lambda a, i: F.struct(i.alias("at"), a.alias("text"))))
+    rows = own.select("root", "path", F.explode(texts).alias("t")).select("root", F.struct("path", "t.at").alias("place"), "t.text").where("text IS NOT NULL")
+    depth, at = F.size("place.path"), F.col("place.at")
+    rows = rows.withColumn("key", name_key(F.col("text"))).withColumn("always", ((depth == 1) & (at < 0)) | ((depth == 0) & (at >= 0)))
+    first = F.row_number().over(Window.partitionBy("root", "key").orderBy("place")) == 1
+    rows = rows.withColumn("new", first & (F.col("key") != "")).where("always OR (new AND (size(place.path) > 0))")
+    rows = rows.groupBy("root", "text").agg(F.min("place").alias("place"))
+    listed = rows.groupBy(F.col("root").alias("entity_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]).alias("aliases"))
+    left = entities.select("entity_id").join(paths, "entity_id", "left_anti")
+    return left.join(listed, "entity_id", "left").select("entity_id", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
+
+
+def in_force(reports: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Reports (chunk_id, digest, more) of the text that a chunk (chunk_id, digest) has now."""
+    return reports.join(chunks.select("chunk_id", "digest"), ["chunk_id", "digest"], "left_semi")
+
+
+def evidence(merges: DataFrame, sources: DataFrame, edges: DataFrame, edge_sources: DataFrame, chunks: DataFrame) -> DataFrame:
+    """merge_id, chunk_id, digest: the texts, as they are now, of all that the merges move. To be kept with the log when they are made."""
+    moved = lineage(merges).select("entity_id", F.explode("path").alias("merge_id"))
+    by_source = moved.join(sources, "entity_id").select("merge_id", "chunk_id")
+    ends = edges.select("edge_id", F.explode(F.array("src", "dst")).alias("entity_id"))
+    by_edge = moved.join(ends, "entity_id").select("merge_id", "edge_id").join(edge_sources, "edge_id").select("merge_id", "chunk_id")
+    return by_source.unionByName(by_edge).distinct().join(chunks.select("chunk_id", "digest"), "chunk_id").select("merge_id", "chunk_id", "digest")
+
+
+def changed_chunks(kept: DataFrame, merge_ids: DataFrame, chunks: DataFrame) -> DataFrame:
+    """merge_id, chunk_id of what `evidence` has of the merges and whose text is another by now, or gone: their reports don't come back."""
+    now = chunks.select("chunk_id", F.col("digest").alias("now"))
+    return kept.join(merge_ids.select("merge_id"), "merge_id", "left_semi").join(now, "chunk_id", "left").where("now IS NULL OR now <> digest").select("merge_id", "chunk_id")
+
+
+def undo_outcome(edges: DataFrame, edge_sources: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """edge_id, outcome of the edges that an undo changes, from the roots before and after it: `moved` (it has another end), `restored` (it was folded or a loop
+    and is an edge again), `shared` (it gave sources back), `unrestored` (it has no source in force any more)."""
+    was, now = edge_roots(edges, before), edge_roots(edges, after)
+    alive = edge_sources.select("edge_id").distinct().withColumn("alive", F.lit(True))
+    held = lambda kept: merged_edge_sources(edge_sources, kept).groupBy("edge_id").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("chunk_id", "confidence")).alias("mark"))
+    old = was.join(held(was), "edge_id", "left").select("edge_id", F.struct("src", "dst").alias("old_ends"), (F.col("kept") == F.col("edge_id")).alias("old_kept"), F.struct("n", "mark").alias("old_held"))
+    new = now.join(held(now), "edge_id", "left").select("edge_id", F.struct("src", "dst").alias("ends"), (F.col("kept") == F.col("edge_id")).alias("kept"), F.struct("n", "mark").alias("held"))
+    rows = edges.select("edge_id").join(alive, "edge_id", "left").join(old, "edge_id", "left").join(new, "edge_id", "left")
+    was_kept, is_kept = F.coalesce("old_kept", F.lit(False)), F.coalesce("kept", F.lit(False))
+    changed = ~F.col("old_ends").eqNullSafe(F.col("ends")) | (was_kept != is_kept)
+    outcome = F.when(F.col("alive").isNull(), F.when(changed, "unrestored")).when(is_kept & ~was_kept, "restored").when(is_kept & was_kept & changed, "moved").when(is_kept & (F.col("old_held") != F.col("held")), "shared")
+    return rows.select("edge_id", outcome.alias("outcome")).where("outcome IS NOT NULL")
 
 
 def blocking(log: DataFrame, undone: DataFrame, merge_id: int) -> DataFrame:
-    """Later merges that have to be undone before this one: those in which its survivor takes part."""
+    """Later merges that have to be undone before this one: those in which its survivor takes part, on either side."""
     rows = active(log, undone)
-    own = rows.where(F.col("merge_id") == merge_id).select(F.col("survivor").alias("s"))
+    own = rows.where(F.col("merge_id") == merge_id).select("survivor")
     later = rows.where(F.col("merge_id") > merge_id)
-    return later.join(own, (F.col("survivor") == F.col("s")) | (F.col("merged") == F.col("s")), "left_semi").select("merge_id")
+    as_merged = later.join(own.select(F.col("survivor").alias("merged")), "merged", "left_semi").select("merge_id")
+    return later.join(own, "survivor", "left_semi").select("merge_id").unionByName(as_merged).distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftwell.functions.names import name_key
 from siftwell.operators import graph as G
 from siftwell.plans.registry import query, table
 
@@ -109,7 +110,7 @@ _RANK = "row_number() OVER (PARTITION BY {k} ORDER BY confidence IS NOT NULL DES
     f"WITH {_PARTS}, k AS (SELECT *, {_KEY.format(c='p_name')} AS key FROM e) SELECT type, key, max(entity_id) FILTER (WHERE rn = 1) AS survivor_id, count(*) AS n_merged FROM (SELECT *, {_RANK.format(k='type, key')} AS rn FROM k) GROUP BY type, key HAVING count(*) > 1",
 )
 def exact_resolution(spark, sf_dir):
-    return G.survivors(_parts(spark, sf_dir).withColumn("key", G.name_key(F.col("p_name"))), ["type", "key"]).where("n_merged > 1")
+    return G.survivors(_parts(spark, sf_dir).withColumn("key", name_key(F.col("p_name"))), ["type", "key"]).where("n_merged > 1")
 
 
 @query(

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
+from siftwell.functions.names import name_key
 from siftwell.operators import access as A
-from siftwell.operators import graph as G
 from siftwell.operators import records as R
 from siftwell.plans.registry import query, table
 from siftwell.plans.text import _CHUNKS
@@ -176,4 +176,4 @@ def names(spark, sf_dir):
     """Names in quotes, brackets and full width come to the same key."""
     n = F.col("p_name")
     odd = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("  «("), F.upper(n), F.lit(")». "))).when(F.col("p_partkey") % 3 == 1, F.translate(n, "abcdefghij", "ａｂｃｄｅｆｇｈｉｊ")).otherwise(F.concat(F.lit("“"), n, F.lit("”!?")))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), G.unicode_key(odd).alias("key"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), name_key(odd).alias("key"))

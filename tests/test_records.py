@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import signals as S
 from siftwell.functions import text as T
+from siftwell.functions.names import name_key
 from siftwell.operators import graph as G
 from siftwell.operators import records as R
 
@@ -55,7 +56,7 @@ def test_clean_text(spark):
 
 def test_unicode_keys(spark):
     names = ["Straße", "  ＡＣＭＥ,  Inc. ", "«(Platform Team)»", "atlas (beta)", "c#", ".net", "(a)(b)", "“Q?”!", None, "...", "((x))"]
-    found = spark.createDataFrame(list(enumerate(names)), "i long, n string").select("i", G.unicode_key("n").alias("k")).orderBy("i").collect()
+    found = spark.createDataFrame(list(enumerate(names)), "i long, n string").select("i", name_key("n").alias("k")).orderBy("i").collect()
     assert [r.k for r in found] == ["strasse", "acme, inc", "platform team", "atlas (beta)", "c#", ".net", "(a)(b)", "q", None, "", "x"]
 
 
