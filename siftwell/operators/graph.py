@@ -41,10 +41,11 @@ def walk(seeds: DataFrame, steps: DataFrame, hops: int = HOPS, budget: int | Non
 
 
 def edges_among(edges: DataFrame, reached: DataFrame, hops: int = HOPS) -> DataFrame:
-    """edge_id, reversed of edges between reached nodes, save between two at the hop limit. An edge is reversed if its target
-    is nearer."""
+    """edge_id, reversed of the edges that a walk could have used among the nodes it reached: ahead from a source before the hop limit, else back
+    from such a target unless the relation goes one way only."""
     ends = edges.join(reached.select(F.col("node_id").alias("src"), F.col("depth").alias("ds")), "src").join(reached.select(F.col("node_id").alias("dst"), F.col("depth").alias("dd")), "dst")
-    return ends.where(~((F.col("ds") == hops) & (F.col("dd") == hops))).select("edge_id", (F.col("dd") < F.col("ds")).alias("reversed"))
+    back = (F.col("dd") < hops) & ~F.col("relation").isin(ONE_WAY)
+    return ends.where((F.col("ds") < hops) | back).select("edge_id", (F.col("ds") >= hops).alias("reversed"))
 
 
 def upserted(mentions: DataFrame, floor: float = 0.5) -> DataFrame:

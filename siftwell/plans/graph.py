@@ -57,7 +57,7 @@ def walk_denied(spark, sf_dir):
     return G.walk(_seeds(spark), G.walk_edges(edges, denied), 2, None)
 
 
-@query("gr14_edges", f"WITH {_walk(2)} SELECT edge_id, b.depth < a.depth AS reversed FROM edges JOIN r a ON a.node_id = src JOIN r b ON b.node_id = dst WHERE NOT (a.depth = 2 AND b.depth = 2)")
+@query("gr14_edges", f"WITH {_walk(2)} SELECT edge_id, a.depth = 2 AS reversed FROM edges JOIN r a ON a.node_id = src JOIN r b ON b.node_id = dst WHERE a.depth < 2 OR (b.depth < 2 AND relation <> 'REPORTS_TO')")
 def edges(spark, sf_dir):
     graph = _graph(spark, sf_dir)
     return G.edges_among(graph, G.walk(_seeds(spark), G.walk_edges(graph), 2, None))
