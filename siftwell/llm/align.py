@@ -91,24 +91,34 @@ class Pair:
 
     def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each unit (without its space): those of A, then those of B."""
-        found: list[np.ndarray] = [np.array([BAD])] * len(units)
+        sizes = 1 + np.asarray(pc.binary_length(pa.array(units, pa.large_string())))
         simple = [i for i, u in enumerate(units) if u and not u[-1].isspace()]
         blocks = [simple[k : k + 1000] for k in range(0, len(simple), 1000)]  # many units are encoded as one text
         texts = [" ".join([units[i] for i in block]) for block in blocks]
         single = sorted(set(range(len(units))) - set(simple))
+        own, n_a, n_b, all_a, all_b = ([np.zeros(0, np.int64)] for _ in range(5))
         for block, text, a, b in zip(blocks, texts, *self._ids(texts)):
             if not self._same(text, a, b):
                 single += block
                 continue
-            ends = np.cumsum([1 + len(units[i].encode()) for i in block])
-            cuts = [np.searchsorted(np.cumsum(t.size[x]), ends, "right")[:-1] for t, x in ((self.of_a, a), (self.of_b, b))]
-            for i, x, y in zip(block, np.split(a, cuts[0]), np.split(b + B0, cuts[1])):
-                found[i] = np.concatenate([x, y])
+            ends = np.cumsum(sizes[block])
+            own.append(np.array(block))
+            n_a.append(np.diff(np.searchsorted(np.cumsum(self.of_a.size[a]), ends, "right"), prepend=0))
+            n_b.append(np.diff(np.searchsorted(np.cumsum(self.of_b.size[b]), ends, "right"), prepend=0))
+            all_a.append(a)
+            all_b.append(b)
         texts = [units[i] for i in single]
         for i, text, a, b in zip(single, texts, *self._ids(texts)):
-            if self._same(text, a, b):
-                found[i] = np.concatenate([a, b + B0])
-        return np.array([len(x) for x in found], np.int64), np.concatenate([np.zeros(0, np.int64), *found])
+            a, b = (a, b) if self._same(text, a, b) else (np.array([BAD]), b[:0])
+            for held, x in ((own, i), (n_a, len(a)), (n_b, len(b)), (all_a, a), (all_b, b)):
+                held.append(np.atleast_1d(x))
+        own, n_a, n_b, all_a, all_b = map(np.concatenate, (own, n_a, n_b, all_a, all_b))
+        count = np.zeros(len(units), np.int64)
+        count[own] = n_a + n_b
+        start = (np.cumsum(count) - count)[own]
+        ids = np.empty(int(count.sum()), np.int64)
+        ids[ranges(start, n_a)], ids[ranges(start + n_a, n_b)] = all_a, all_b + B0
+        return count, ids
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, unit by unit, and how many each text has."""
