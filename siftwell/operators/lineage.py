@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +25,29 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of df from a checkpoint."""
     shared(df.sparkSession)
     return df.checkpoint()
+
+
+def files_of(spark: SparkSession, path: str):
+    """A path and its file system, as Spark's readers see them."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one. It is deleted when the session's process ends."""
+    path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def delete():
+        if spark.sparkContext._jsc is not None:
+            where, files = files_of(spark, path)
+            files.delete(where, True)
+
+    atexit.register(delete)
+    return path
+
+
+def version(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files: another table in the same place has another one."""
+    where, files = files_of(spark, path)
+    parts = files.listStatus(where)
+    return tuple(sorted((p.getPath().toString(), p.getLen(), p.getModificationTime()) for p in parts))

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from siftwell.functions import signals as S
 from siftwell.functions import text as T
 from siftwell.operators import access as A
 from siftwell.operators import ranking as R
-from siftwell.operators.lineage import shared
+from siftwell.operators.fulltext import PositionalIndex, full_text
+from siftwell.operators.lineage import folder, version
 from siftwell.operators.passages import passages
 from siftwell.plans.registry import QUESTIONS, QUESTIONS_SQL, query, questions, table
 from siftwell.plans.text import _CONTENT
@@ -56,17 +55,28 @@ def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
-_indexes: dict[tuple[str, str], R.Index] = {}
+_indexes: dict[tuple, object] = {}
 
 
-def _index(spark, sf_dir) -> R.Index:
-    """The stored index of the documents, written by the first query of a session that asks for it; the tables don't change."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _kept(spark, sf_dir, kind):
+    """The stored index of the documents as they are, written by the first query of a session that asks for it."""
+    key = (kind, spark.sparkContext.applicationId, version(spark, f"{sf_dir}/documents.parquet"))
     if key not in _indexes:
-        _indexes[key] = R.Index(_docs(spark, sf_dir), f"{shared(spark)}/index-{uuid.uuid4().hex}")
+        _indexes[key] = kind(_docs(spark, sf_dir), folder(spark, "index"))
     return _indexes[key]
 
 
+def _index(spark, sf_dir) -> R.Index:
+    return _kept(spark, sf_dir, R.Index)
+
+
+@query("rk03_full_text")
+def english_full_text(spark, sf_dir):
+    """Benchmark passages as questions, against all documents: texts with all stems of a passage, by cover density. SQL has no stems."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return full_text(_kept(spark, sf_dir, PositionalIndex), asked)
+
+
 @query("ag01_term_stats", "SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY term")
 def term_stats(spark, sf_dir):
     rows = _docs(spark, sf_dir).select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
