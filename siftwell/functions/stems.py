@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 # Words that full text leaves out.
 STOPWORDS = """
@@ -33,6 +33,9 @@ STEP3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "icit
 STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion"]
 DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
 
+POSTINGS = ArrayType(StructType([StructField("stem", StringType()), StructField("positions", ArrayType(IntegerType()))]))
+STOP = set(STOPWORDS)
+
 _REGION = re.compile("[aeiouy][^aeiouy]")
 _VOWEL = re.compile("[aeiouy]")
 _SHORT_END = re.compile("(^[aeiouy][^aeiouy]|[^aeiouy][aeiouy][^aeiouywxY])$")
@@ -117,10 +120,30 @@ def _stems(words: pa.Array) -> pa.Array:
     return _mapped(words, stem)
 
 
+def _content(word: str) -> str | None:
+    return None if word in STOP else stem(word)
+
+
 @F.arrow_udf(ArrayType(StringType()))
 def _content_stems(words: pa.Array) -> pa.Array:
-    stop = set(STOPWORDS)
-    return _mapped(words, lambda w: None if w in stop else stem(w))
+    return _mapped(words, _content)
+
+
+@F.arrow_udf(POSTINGS)
+def positions(words: pa.Array) -> pa.Array:
+    """stem and positions (from 1, ascending) of each distinct stem of an array of words, without stop words; nulls have none."""
+    found = _mapped(words.fill_null([]), _content)
+    coded = found.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(found)), np.diff(found.offsets))
+    place = np.arange(len(coded)) - np.asarray(found.offsets)[row] + 1
+    known = np.asarray(coded.is_valid())
+    row, place, code = row[known], place[known], np.asarray(coded.indices.drop_null())
+    order = np.lexsort((place, code, row))
+    row, place, code = row[order], place[order], code[order]
+    first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(place.astype(np.int32)))
+    each = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(code[first])), lists], ["stem", "positions"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[first], np.arange(len(found) + 1)).astype(np.int32)), each)
 
 
 def stems(words: Column, stopwords: bool = True) -> Column:

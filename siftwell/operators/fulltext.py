@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.functions.stems import stems
+from siftwell.functions.stems import positions, stems
 from siftwell.functions.text import tokens
 from siftwell.operators.ranking import hint, top_k
 
@@ -27,15 +27,13 @@ def text_stems(text: Column) -> Column:
 class PositionalIndex:
     """doc_id, stem, positions (ascending, from 1) of a corpus, a row a stem and document.
 
-    Written with a path, the postings lie in order of stem in files of their own, so that a question reads the row groups of its stems. A row's postings are put
-    together in the row; what is exchanged is each posting once.
+    Written with a path, the postings lie in order of stem in files of their own, so that a question reads the row groups of its stems. Postings are made
+    in the row of their document and exchanged once.
     """
 
     def __init__(self, docs: DataFrame, path: str | None = None):
-        rows = docs.select("doc_id", text_stems(F.col("text")).alias("ss"))
-        at = F.filter(F.transform("ss", lambda s, i: F.struct(s.alias("stem"), (i + 1).alias("position"))), lambda x: x["stem"].isNotNull())
-        each = rows.select("doc_id", F.explode(at).alias("x")).select("doc_id", "x.stem", "x.position")
-        self.postings = each.groupBy("doc_id", "stem").agg(F.array_sort(F.collect_list("position")).alias("positions"))
+        found = docs.select("doc_id", F.explode(positions(tokens(F.coalesce("text", F.lit(""))))).alias("x"))
+        self.postings = found.select("doc_id", "x.stem", "x.positions")
         if path:
             salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
             self.postings.repartition("stem", salt).sortWithinPartitions("stem", "doc_id").write.mode("overwrite").parquet(f"{path}/positions")
