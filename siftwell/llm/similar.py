@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.bitmap import Bitmap, row_name
 from siftwell.llm.exchange import SENT, buckets, received, sent, spread
-from siftwell.llm.shared import small_batches, stored
+from siftwell.llm.shared import small_batches, stored, tidy
 from siftwell.llm.words import SPACE, Words, chunks, mix, ranges
 
 SHINGLE = 5
@@ -98,7 +98,7 @@ def common_shingles(docs: DataFrame, n_buckets: int) -> tuple[np.ndarray, np.nda
         often = n >= COMMON
         return pa.table({"cell": cells[first[often]].astype(np.int64), "level": np.log2(n[often]).astype(np.int32)})
 
-    found = stored(docs.select("text").mapInArrow(send, SENT).groupBy("bucket").applyInArrow(count, "cell long, level int"))
+    found = stored(docs.select("text").mapInArrow(tidy(send), SENT).groupBy("bucket").applyInArrow(count, "cell long, level int"))
     least, total = 0, 0
     for r in found.groupBy("level").count().orderBy(F.desc("level")).collect():  # a row a power of two
         total += r["count"]
@@ -158,7 +158,7 @@ def described(docs: DataFrame, common) -> DataFrame:
                 ["doc_id", "uid", "n", "class", "group", "parity"],
             )
 
-    return docs.select("doc_id", "text", "uid").mapInArrow(scan, "doc_id long, uid long, n long, class long, group long, parity binary")
+    return docs.select("doc_id", "text", "uid").mapInArrow(tidy(scan), "doc_id long, uid long, n long, class long, group long, parity binary")
 
 
 def fits(na, pa_, nb, pb):
@@ -186,7 +186,7 @@ def prefix_groups(docs: DataFrame, common) -> DataFrame:
                 ["group", "n", "data", "bits"],
             )
 
-    found = docs.select("text").mapInArrow(scan, "group long, n long, data binary, bits binary")
+    found = docs.select("text").mapInArrow(tidy(scan), "group long, n long, data binary, bits binary")
     found = found.groupBy("group").agg(F.min(F.struct("n", "data")).alias("x"), F.min("bits").alias("low"), F.max("bits").alias("high"))
     return found.select("group", "x.n", "x.data", F.when(F.col("low") == F.col("high"), F.col("low")).alias("bits"))
 
@@ -250,7 +250,7 @@ def candidates(groups: DataFrame, common, n_buckets: int, chained: bool = False)
             }
         )
 
-    return groups.select("group", "n", "data").mapInArrow(send, SENT).groupBy("bucket").applyInArrow(meet, CANDIDATES)
+    return groups.select("group", "n", "data").mapInArrow(tidy(send), SENT).groupBy("bucket").applyInArrow(meet, CANDIDATES)
 
 
 def heads(groups: DataFrame) -> DataFrame:
@@ -262,7 +262,7 @@ def heads(groups: DataFrame) -> DataFrame:
             bits = [None if d is None else np.frombuffer(d, np.int64) for d in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(head, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["group", "head", "bits"])
 
-    return groups.select("group", "data", "bits").mapInArrow(scan, "group long, head array<long>, bits array<long>")
+    return groups.select("group", "data", "bits").mapInArrow(tidy(scan), "group long, head array<long>, bits array<long>")
 
 
 def paired(entry: DataFrame, groups: DataFrame) -> DataFrame:
@@ -306,7 +306,7 @@ def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 keep.append(7 * int(np.bitwise_count(apart).sum(dtype=np.int64)) <= total)  # no less than this many differ
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "p_a", "p_b", (F.col("n_a") + F.col("n_b")).alias("total")).mapInArrow(scan, "a long, b long")
+    return both.select("a", "b", "p_a", "p_b", (F.col("n_a") + F.col("n_b")).alias("total")).mapInArrow(tidy(scan), "a long, b long")
 
 
 def full_sets(docs: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -321,7 +321,7 @@ def full_sets(docs: DataFrame, firsts: DataFrame) -> DataFrame:
             data = [sets.value[f : f + n].tobytes() for f, n in zip(sets.first.tolist(), sets.n.tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(data, pa.binary())], ["class", "data"])
 
-    return docs.mapInArrow(scan, "class long, data binary")
+    return docs.mapInArrow(tidy(scan), "class long, data binary")
 
 
 def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -357,7 +357,7 @@ def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
                 keep.append(100 * common >= 75 * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return stored(rows.repartition("block").sortWithinPartitions("block", F.col("b").asc_nulls_first()).mapInArrow(scan, "a long, b long"))
+    return stored(rows.repartition("block").sortWithinPartitions("block", F.col("b").asc_nulls_first()).mapInArrow(tidy(scan), "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
