@@ -13,10 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from siftwell.llm.shared import tidy
 from siftwell.llm.words import NON_WORD, Words, chunks, mix, ranges
 
 
@@ -26,9 +27,8 @@ class Settings:
     #: of four documents are for the weights, the rest for the curve from logits to scores.
     sample: int = 3000
     sample_words: int = 1_000_000
-    #: Characters of one labelled text; of longer ones, `pieces` spread evenly over the whole text.
-    text_chars: int = 30_000
-    pieces: int = 50
+    #: Characters of a labelled text; longer ones aren't learned from, so that no text takes more than its share.
+    text_chars: int = 100_000
     span: int = 32
     step: int = 16
     hidden: int = 12
@@ -296,18 +296,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, fl
     return a, -a * (level[at] + level[at + 1]) / 2
 
 
-def bounded(text: Column, s: Settings) -> Column:
-    """The text, or if it is longer than `text_chars`, about as much of it in pieces at even distances, the first and last included."""
-    size, n = s.text_chars // s.pieces, F.length(text)
-    piece = lambda i: F.substring(text, (F.floor(i * (n - size) / (s.pieces - 1)) + 1).cast("int"), F.lit(size - 1))
-    return F.when(n > s.text_chars, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(s.pieces - 1).cast("long")), piece), " ")).otherwise(text)
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
     """doc_id, text, toxic: at most `sample` texts of each class in an order given by a hash of doc_id, cut off after `sample_words` words.
 
-    A text of more than `text_chars` characters counts with as many, in `pieces` over its whole length, so that no text
-    takes more than its share. The one of conflicting labels of a document that is 1 counts; null labels and labels without document don't.
+    Texts of more than `text_chars` characters are left out; all others are learned from whole, also where a doc_id has several. The one of conflicting labels of a document that is 1 counts; null labels and labels without document don't.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
@@ -318,10 +310,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFram
     chosen = F.broadcast(chosen.select(F.col("doc_id").alias("of"), "toxic"))  # at most twice `sample` rows
     rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("of")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic", order.alias("by"))
     size = F.length("text") / 6
-    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.min("by").alias("by")).withColumn("text", bounded(F.col("text"), s))
+    rows = rows.where(F.length("text") <= s.text_chars).dropDuplicates(["doc_id", "text"])
     # both classes are cut at half of the words each
-    total = F.sum(size).over(Window.partitionBy("toxic").orderBy("by", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("so_far", total).where(F.col("so_far") <= s.sample_words / 2).select("doc_id", "text", "toxic")
+    total = F.sum(size).over(Window.partitionBy("toxic").orderBy("by", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("so_far", total).where(F.col("so_far") <= s.sample_words / 2).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("toxic").cast("long").alias("toxic"))
 
 
 def score(docs: DataFrame, net: Network | None, column: str = "score", text: str = "text") -> DataFrame:
@@ -343,7 +335,7 @@ def score(docs: DataFrame, net: Network | None, column: str = "score", text: str
             found = own.scores(Inputs(part.column(place), own.s))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found.round(6), pa.float64())], names=[*part.schema.names, column])
 
-    return docs.mapInArrow(scan, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
+    return docs.mapInArrow(tidy(scan), StructType([*docs.schema.fields, StructField(column, DoubleType())]))
 
 
 def held_out():
@@ -355,12 +347,13 @@ def fitted(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Netw
     rows = labelled_sample(docs, labels.where(~held_out()), s)
 
     def fit(batches):
-        table = pa.Table.from_batches(batches, pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int64())])).sort_by("doc_id")
+        kinds = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int64())])
+        table = pa.concat_tables([kinds.empty_table(), *(pa.table(b.columns, schema=kinds) for b in batches)]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
         net = train(table["text"].to_pylist(), np.asarray(table["toxic"]).astype(float), s)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
 
     rows = rows.select(F.col("doc_id").cast("long"), "text", F.col("toxic").cast("long"))
-    found = rows.repartition(1).mapInArrow(fit, "net binary").collect()
+    found = rows.repartition(1).mapInArrow(tidy(fit), "net binary").collect()
     return pickle.loads(found[0].net) if found else None
 
 

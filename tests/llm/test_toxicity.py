@@ -81,18 +81,17 @@ def test_no_labels_and_empty_tables(spark, tmp_path):
 
 
 def test_long_labelled_text_leaves_room_for_others(spark):
-    """A text longer than the whole budget, first in the order, neither empties its class nor counts by its beginning alone."""
+    """A text longer than the bound isn't learned from and doesn't empty its class; all others are learned from whole, repeated ids too."""
     s = T.Settings()
     first = spark.range(40).orderBy(T.F.xxhash64("id")).first().id
     texts = [(i, f"text {i} is short") for i in range(40)]
     texts[first] = (first, "begin " + "word " * 700_000 + "end")
+    texts += [(first, "another text of that id"), (first, "another text of that id"), ((first + 1) % 40, "long " * (s.text_chars // 5))]
     d = spark.createDataFrame(texts, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 2 == first % 2)) for i in range(40)], "doc_id long, toxic int")
     rows = T.labelled_sample(d, labels, s).collect()
     got = [r.text for r in rows]
-    assert len(got) == 40 and sum(r.toxic for r in rows) == 20
-    long = max(got, key=len)
-    assert len(long) <= s.text_chars and long.startswith("begin ") and long.rstrip().endswith("en")
+    assert sorted(got) == sorted({t for _, t in texts if len(t) <= s.text_chars}) and sum(r.toxic for r in rows) == 20
 
 
 def test_scores_against_a_plain_loop():
