@@ -16,6 +16,8 @@ MARKER_RUN = r"\[\d+\](?:\s*(?:,|and|&)?\s*\[\d+\])*"
 POINTERS = ["passage", "passages", "source", "sources", "according to", "per", "see", "from"]
 # Chunks that may be quoted, their least score, the longest quote and snippet, letters of a highlighted term.
 QUOTED, LEAST_SCORE, LONGEST_QUOTE, SNIPPET, TERM = 3, 1e-9, 320, 240, 3
+#: Fixed value: share of a claim's longer words by which a cited passage keeps its marker.
+KEEPING = 0.34
 #: What a claim is made of: text between marks, or a quotation, which is never cut; then its closing mark.
 CLAIM = r'(?:[^".!?]++|"[^"]*+(?:"|\z))++[.!?]?|[.!?]'
 
@@ -152,16 +154,16 @@ def holds(text: Column, phrase: Column) -> Column:
 
 
 def cited_groups(claim: Column, n: Column) -> Column:
-    """cited and segment of each run of markers of a claim: the words before it, or after it where those point ahead; all
+    """cited, segment and the first and last run (from 0) of each run of markers of a claim: the words before it, or after it where those point ahead; all
     words, and all markers as one, where a claim begins with markers. Runs with a marker out of range are left out."""
     numbers = lambda run: F.transform(F.regexp_extract_all(run, F.lit(r"\d+"), F.lit(0)), lambda m: m.cast("int"))
     valid = lambda g: F.forall(g["cited"], lambda m: (m >= 1) & (m <= n))
     parts = F.split(claim, MARKER_RUN)
     points = lambda t: F.lower(stripped(t)).rlike("(?:" + "|".join(POINTERS) + ")$")
     segment = lambda i: F.when(points(F.get(parts, i)), F.get(parts, i + 1)).otherwise(F.get(parts, i))
-    runs = F.transform(F.regexp_extract_all(claim, F.lit(MARKER_RUN), F.lit(0)), lambda r, i: F.struct(numbers(r).alias("cited"), segment(i).alias("segment")))
+    runs = F.transform(F.regexp_extract_all(claim, F.lit(MARKER_RUN), F.lit(0)), lambda r, i: F.struct(numbers(r).alias("cited"), segment(i).alias("segment"), i.alias("first"), i.alias("last")))
     runs = F.filter(runs, valid)
-    whole = F.struct(F.array_distinct(F.flatten(F.transform(runs, lambda g: g["cited"]))).alias("cited"), F.array_join(parts, " ").alias("segment"))
+    whole = F.struct(F.array_distinct(F.flatten(F.transform(runs, lambda g: g["cited"]))).alias("cited"), F.array_join(parts, " ").alias("segment"), F.array_min(runs["first"]).alias("first"), F.array_max(runs["last"]).alias("last"))
     return F.when((F.size(runs) > 0) & (stripped(F.get(parts, F.lit(0))) == ""), F.array(whole)).otherwise(runs)
 
 
@@ -178,6 +180,61 @@ def misattributions(answer: Column, contexts: Column) -> Column:
     return F.flatten(F.transform(groups, flagged))
 
 
+def long_words(text: Column) -> Column:
+    """Distinct words of four letters or digits and more of a text as of `normal`."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("[a-z0-9]{4,}"), F.lit(0)))
+
+
+def _repaired_claim(claim: Column, texts: Column, words: Column) -> Column:
+    """text, repairs and unresolved of one claim; texts (as of `normal`) and words (of each) of the contexts."""
+    shared = lambda k, own: F.size(F.array_intersect(own, F.element_at(words, k)))
+
+    def judged(g: Column) -> Column:
+        own, phrases = long_words(normal(g["segment"])), checkable(g["segment"])
+        cited_text = F.array_join(F.transform(g["cited"], lambda m: F.element_at(texts, m)), " ")
+        others = lambda p: F.filter(F.transform(texts, lambda t, i: F.when(holds(t, p), i + 1)), lambda k: k.isNotNull() & ~F.array_contains(g["cited"], k))
+        best = lambda ks: F.array_sort(F.transform(ks, lambda k: F.struct((-shared(k, own)).alias("n"), k.alias("k"))))
+        pick = lambda ks: F.when(F.size(ks) == 1, F.get(ks, F.lit(0))).when(F.get(best(ks), F.lit(0))["n"] < F.get(best(ks), F.lit(1))["n"], F.get(best(ks), F.lit(0))["k"])
+        flagged = F.filter(F.transform(F.filter(phrases, lambda p: ~holds(cited_text, p)), lambda p: F.struct(F.ltrim(p, F.lit('"')).alias("phrase"), others(p).alias("holders"))), lambda m: F.size(m["holders"]) > 0)
+        flagged = F.transform(flagged, lambda m: F.struct(m["phrase"].alias("phrase"), m["holders"].alias("holders"), pick(m["holders"]).alias("pick")))
+        stays = lambda n: F.exists(phrases, lambda p: holds(F.element_at(texts, n), p)) | (F.size(own) == 0) | (shared(n, own) / F.size(own) >= KEEPING)
+        return F.struct(g["cited"].alias("cited"), g["first"].alias("first"), g["last"].alias("last"), flagged.alias("flagged"), F.filter(g["cited"], stays).alias("kept"))
+
+    def settled(g: Column) -> Column:
+        picks = F.filter(F.transform(g["flagged"], lambda m: m["pick"]), lambda k: k.isNotNull())
+        return F.struct(g["cited"].alias("cited"), g["first"].alias("first"), g["last"].alias("last"), g["flagged"].alias("flagged"), F.when(F.size(picks) > 0, F.array_sort(F.array_distinct(F.concat(g["kept"], picks)))).alias("final"))
+
+    return F.transform(F.transform(cited_groups(claim, F.size(texts)), judged), settled)
+
+
+def repaired(answers: DataFrame) -> DataFrame:
+    """answers with `repaired`, the answer with misplaced markers moved, and repairs (phrase, cited, moved_to) and unresolved (phrase, cited, holders).
+
+    A number, code or quote that no passage cited for it has, but another one does, takes a marker of that passage: of several the one that shares most longer words with the claim;
+    with a tie nothing is moved and it is unresolved. A cited passage keeps its marker if it has another such phrase of the claim or a third of its longer
+    words. Nothing else of the answer changes.
+    """
+    rows = answers.withColumn("__texts", F.transform("contexts", normal))
+    rows = rows.withColumn("__claims", claims(F.coalesce("answer", F.lit("")))).withColumn("__words", F.transform("__texts", long_words))
+    rows = rows.withColumn("__groups", F.transform("__claims", lambda c: _repaired_claim(c, F.col("__texts"), F.col("__words"))))
+
+    def written(claim: Column, groups: Column) -> Column:
+        parts, runs = F.split(claim, MARKER_RUN), F.regexp_extract_all(claim, F.lit(MARKER_RUN), F.lit(0))
+        edits = F.filter(groups, lambda g: g["final"].isNotNull())
+        of = lambda i: F.get(F.filter(edits, lambda g: (g["first"] <= i) & (i <= g["last"])), F.lit(0))
+        new = lambda i: F.when(of(i)["first"] == i, F.array_join(F.transform(of(i)["final"], lambda n: F.concat(F.lit("["), n.cast("string"), F.lit("]"))), ", ")).otherwise("")
+        run = lambda i: F.when(of(i).isNull(), F.coalesce(F.get(runs, i), F.lit(""))).otherwise(new(i))
+        part = lambda x, i: F.when(F.exists(edits, lambda g: (g["first"] < i) & (i <= g["last"])), "").otherwise(x)
+        return F.array_join(F.transform(parts, lambda x, i: F.concat(part(x, i), run(i))), "")
+
+    groups = F.filter(F.flatten("__groups"), lambda g: F.size(g["flagged"]) > 0)
+    moved = F.flatten(F.transform(groups, lambda g: F.transform(F.array_distinct(F.transform(F.filter(g["flagged"], lambda m: m["pick"].isNotNull()), lambda m: m["phrase"])), lambda p: F.struct(p.alias("phrase"), g["cited"].alias("cited"), g["final"].alias("moved_to")))))
+    left = F.flatten(F.transform(groups, lambda g: F.transform(F.filter(g["flagged"], lambda m: m["pick"].isNull()), lambda m: F.struct(m["phrase"].alias("phrase"), g["cited"].alias("cited"), m["holders"].alias("holders")))))
+    rows = rows.withColumn("repairs", moved).withColumn("unresolved", left)
+    text = F.array_join(F.zip_with("__claims", "__groups", written), "")
+    return rows.withColumn("repaired", F.when(F.size("repairs") > 0, text).otherwise(F.col("answer"))).drop("__texts", "__claims", "__words", "__groups")
+
+
 def citation_check(answers: DataFrame) -> DataFrame:
     """answers with `correct` and `reason`: the contract, support of each cited sentence, and no misplaced number, code or quote.
 

@@ -121,6 +121,14 @@ def misattribution(spark, sf_dir):
     return rows.select("conv_id", "turn", "m.phrase", F.array_join(F.sort_array("m.cited"), ",").alias("cited"), F.array_join("m.holders", ",").alias("holders"))
 
 
+@query("ct04_repaired")
+def repaired(spark, sf_dir):
+    """All answers with misplaced markers moved. The steps of a repair are beyond readable SQL; the tests hold them against a loop."""
+    found = C.repaired(_answers(spark, sf_dir))
+    show = lambda c, to: F.array_join(F.transform(c, lambda m: F.concat(m["phrase"], F.lit(": "), F.array_join(m["cited"].cast("array<string>"), ","), F.lit(" to "), F.array_join(m[to].cast("array<string>"), ","))), "; ")
+    return found.select("conv_id", "turn", F.md5("repaired").alias("repaired"), show(F.col("repairs"), "moved_to").alias("repairs"), show(F.col("unresolved"), "holders").alias("unresolved"))
+
+
 @query(
     "ct05_citation_check",
     f"""WITH {_ANSWERS}, {_UNSUPPORTED}, {_MISPLACED}, md AS (SELECT DISTINCT conv_id, turn, true AS misplaced FROM mi),

@@ -67,10 +67,11 @@ _ITEMS = f"""t AS (SELECT event_id AS reply_id, {_sql_text()} AS text FROM event
     "gr01_salvage_counts",
     f"""WITH {_ITEMS}, n AS (SELECT reply_id, (SELECT count(*) FROM ei WHERE ei.reply_id = ok.reply_id) - (SELECT count(*) FROM en WHERE en.reply_id = ok.reply_id) AS entities_dropped,
       (SELECT count(*) FROM ri WHERE ri.reply_id = ok.reply_id) - (SELECT count(*) FROM kr WHERE kr.reply_id = ok.reply_id) AS relations_dropped, (SELECT count(*) FROM ad WHERE ad.reply_id = ok.reply_id) AS entities_adopted FROM ok)
-    SELECT reply_id, CASE WHEN o IS NULL THEN 'no JSON object found in the response' WHEN entities_dropped IS NULL THEN 'entities and relationships must be lists' END AS error, entities_dropped, relations_dropped, entities_adopted FROM o LEFT JOIN n USING (reply_id)""",
+    SELECT reply_id, CASE WHEN o IS NULL THEN 'no JSON object found in the response' WHEN entities_dropped IS NULL THEN 'entities and relationships must be lists' END AS error, coalesce(entities_dropped, -1) AS entities_dropped, coalesce(relations_dropped, -1) AS relations_dropped, coalesce(entities_adopted, -1) AS entities_adopted FROM o LEFT JOIN n USING (reply_id)""",
 )
 def salvage_counts(spark, sf_dir):
-    return X.salvage(_replies(spark, sf_dir)).counts
+    """Counts of replies with an error are -1."""
+    return X.salvage(_replies(spark, sf_dir)).counts.na.fill(-1)
 
 
 @query("gr01_salvaged_entities", f"WITH {_ITEMS} SELECT reply_id, name, key, entity_type, confidence, false AS adopted FROM en UNION ALL SELECT reply_id, trim(name), key, 'person', confidence, true FROM ad")
