@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.shared import small_batches
+from siftwell.llm.shared import small_batches, tidy
 from siftwell.llm.units import Pool, pieces
 from siftwell.llm.words import chunks, mix, ranges, text_bytes
 
@@ -297,7 +297,7 @@ def _over(rows: DataFrame, path: str | None, columns: list[str], scan) -> DataFr
     tokens, pattern = vocabulary(path)
     shared = rows.sparkSession.sparkContext.broadcast(tokens)
     small_batches(rows.sparkSession)
-    return rows.mapInArrow(lambda batches: scan(Encoder(_merges(shared.value), pattern), batches), ", ".join(columns))
+    return rows.mapInArrow(tidy(lambda batches: scan(Encoder(_merges(shared.value), pattern), batches)), ", ".join(columns))
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:

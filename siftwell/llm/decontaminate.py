@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm.bitmap import row_name
-from siftwell.llm.shared import stored
+from siftwell.llm.shared import stored, tidy
 from siftwell.llm.words import NON_WORD, Words, chunks, mix, ranges
 
 WINDOW, K = 13, 7
@@ -197,7 +197,7 @@ def find_hits(docs: DataFrame, block) -> DataFrame:
                 ["doc_id", "uid", "n_words", "hits", "items"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_name().alias("uid")).mapInArrow(scan, HITS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_name().alias("uid")).mapInArrow(tidy(scan), HITS)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:

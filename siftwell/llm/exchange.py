@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text whose rows are sent on together, and rows a bucket should have.
-SEND_BYTES, BUCKET = 8 << 20, 1 << 19
+SEND_BYTES, BUCKET = 5 << 20, 1 << 19
 SENT = "bucket int, data binary"
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.bitmap import Bitmap, row_name
 from siftwell.llm.exchange import SENT, buckets, received, sent, spread
-from siftwell.llm.shared import small_batches, stored
+from siftwell.llm.shared import small_batches, stored, tidy
 from siftwell.llm.words import SPACE, Words, chunks, mix, ranges
 
 WINDOW, ROUNDS = 50, 3
@@ -164,7 +164,7 @@ def settled(docs: DataFrame, bits: int = 64) -> list:
             keep = clash | (np.minimum.reduceat(least, first) < np.maximum.reduceat(most, first))
             return pa.table({"name": name[first][keep].view(np.int64), "clash": clash[keep]})
 
-        named = docs.select("doc_id", "text").mapInArrow(send, SENT).groupBy("bucket").applyInArrow(gather, "name long, clash boolean")
+        named = docs.select("doc_id", "text").mapInArrow(tidy(send), SENT).groupBy("bucket").applyInArrow(gather, "name long, clash boolean")
         named = stored(named)
         clashes = np.asarray(named.where("clash").select("name").toArrow()["name"].combine_chunks()).astype(np.int64).view(np.uint64)
         rounds.append((Bitmap(named.where("NOT clash").select("name")).tester(), clashes))
@@ -232,7 +232,7 @@ def stretches(docs: DataFrame, rounds: list, bits: int = 64) -> DataFrame:
                 ["key", "segment", "doc_id", "uid", "first", "n"],
             )
 
-    return docs.mapInArrow(scan, "key long, segment long, doc_id long, uid long, first int, n int")
+    return docs.mapInArrow(tidy(scan), "key long, segment long, doc_id long, uid long, first int, n int")
 
 
 def window_names(docs: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def window_names(docs: DataFrame) -> DataFrame:
                 ["key", "name", "doc_id", "uid", "first"],
             )
 
-    return docs.mapInArrow(scan, "key long, name long, doc_id long, uid long, first int")
+    return docs.mapInArrow(tidy(scan), "key long, name long, doc_id long, uid long, first int")
 
 
 def removed(docs: DataFrame, original: bool = False, only=None) -> DataFrame:
@@ -287,7 +287,7 @@ def removed(docs: DataFrame, original: bool = False, only=None) -> DataFrame:
             )
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return docs.mapInArrow(scan, f"doc_id long, uid long, others {kinds['others']}, n_words long, n_removed long, kept string")
+    return docs.mapInArrow(tidy(scan), f"doc_id long, uid long, others {kinds['others']}, n_words long, n_removed long, kept string")
 
 
 def repeated_windows(docs: DataFrame, bits: int = 64) -> DataFrame:
