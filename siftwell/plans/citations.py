@@ -142,12 +142,12 @@ def citation_check(spark, sf_dir):
 
 @query(
     "ev02_faithfulness",
-    f"""WITH {_ANSWERS}, {_JUDGED}, w AS (SELECT conv_id, turn, flatten(list_transform(contexts[1:2], lambda t: {_words('t')})) AS support, {_words('sentence')} AS w FROM sn WHERE conv_id % 8 <> 6)
+    f"""WITH {_ANSWERS}, {_JUDGED}, w AS (SELECT conv_id, turn, flatten(list_transform(contexts, lambda t: {_words('t')})) AS support, {_words('sentence')} AS w FROM sn WHERE conv_id % 8 <> 6)
     SELECT conv_id, turn, round(count(*) FILTER (WHERE len(list_intersect(w, support)) / len(w) >= 0.5) / count(*), 6) AS faithfulness FROM w WHERE len(w) > 0 GROUP BY 1, 2""",
 )
 def faithfulness(spark, sf_dir):
-    """Of the answers against their first two passages; those that can't be measured are left out."""
-    rows = _answers(spark, sf_dir).select("conv_id", "turn", F.round(C.faithfulness(F.col("answer"), F.slice("contexts", 1, 2)), 6).alias("faithfulness"))
+    """Of the answers against their passages; those that can't be measured are left out."""
+    rows = _answers(spark, sf_dir).select("conv_id", "turn", F.round(C.faithfulness(F.col("answer"), F.col("contexts")), 6).alias("faithfulness"))
     return rows.where("faithfulness IS NOT NULL")
 
 
@@ -160,18 +160,19 @@ def sentence_spans(spark, sf_dir):
     return C.sentence_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"]).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "sentence")
 
 
-_ASKED = "qs AS (SELECT conv_id AS query_id, min_by(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY 1), ch AS (SELECT query_id, rank, text, question FROM (SELECT conv_id AS query_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank, text FROM conversations WHERE role = 'assistant') JOIN qs USING (query_id) WHERE rank <= 3)"
+_ASKED = "qs AS (SELECT conv_id AS query_id, string_agg(text, ' ' ORDER BY turn) AS question FROM conversations WHERE role = 'user' GROUP BY 1), ch AS (SELECT query_id, rank, text, question FROM (SELECT conv_id AS query_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank, text FROM conversations WHERE role = 'assistant') JOIN qs USING (query_id)), quoted AS (SELECT * FROM ch WHERE rank <= 3)"
 
 
 def _chunks(spark, sf_dir):
-    """The first user's turn of each conversation as its question, the first assistant's turns as chunks."""
+    """All users' turns of each conversation as its question, the assistant's turns as chunks."""
     c = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "query_id")
-    asked = c.where("role = 'user'").groupBy("query_id").agg(F.min_by("text", "turn").alias("question"))
+    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    asked = c.where("role = 'user'").groupBy("query_id").agg(F.array_join(F.transform(turns, lambda t: t["text"]), " ").alias("question"))
     rank = F.row_number().over(C.Window.partitionBy("query_id").orderBy("turn"))
-    return c.where("role = 'assistant'").select("query_id", rank.alias("rank"), "text").where("rank <= 3").join(asked, "query_id").withColumn("score", F.lit(None).cast("double"))
+    return c.where("role = 'assistant'").select("query_id", rank.alias("rank"), "text").join(asked, "query_id").withColumn("score", F.lit(None).cast("double"))
 
 
-_SUPPORT = rf"""{_ASKED}, {_SPANS.format(k="query_id, rank, question", src="ch")},
+_SUPPORT = rf"""{_ASKED}, {_SPANS.format(k="query_id, rank, question", src="quoted")},
  b AS (SELECT query_id, rank, start + length(sentence) AS e, regexp_replace(sentence, '^(?:[-*+]|[0-9]+[.)])\s+', '') AS body, list_distinct({_CONTENT.replace("text", "question")}) AS q FROM sp WHERE sentence <> '' AND NOT regexp_matches(sentence, '^#{{1,6}}\s') AND NOT regexp_matches(sentence, '^(?:[-*+]|[0-9]+[.)])$')),
  t AS (SELECT *, e - length(body) AS start, {_CONTENT.replace("text", "body")} AS ws FROM b),
  o AS (SELECT *, len(list_intersect(q, ws)) AS hits, len(list_intersect(q, ws)) / greatest(len(q), 1) - 0.0005::DOUBLE * length(body) AS score FROM t WHERE len(ws) > 0),

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions.names import name_key
 from siftwell.operators import graph as G
+from siftwell.operators.mentions import match_mentions as matched
 from siftwell.plans.registry import query, table
 
 #: Node ids: regions from 0, nations from 100, customers from 1,000, suppliers from 10,000,000,000.
@@ -19,7 +23,7 @@ _EDGES = f"""edges AS (SELECT CAST(1000 + c_custkey AS BIGINT) AS src, CAST(100
 def _walk(hops: int, denied: str = "false") -> str:
     return f"""RECURSIVE {_EDGES}, ok AS (SELECT * FROM edges WHERE NOT ({denied.format(n="src")}) AND NOT ({denied.format(n="dst")})),
  steps AS (SELECT src, dst FROM ok UNION ALL SELECT dst, src FROM ok WHERE relation <> 'REPORTS_TO'),
- w(node_id, depth) AS (SELECT * FROM (VALUES (CAST(1005 AS BIGINT), CAST(0 AS BIGINT)), (1044, 0)) AS v UNION SELECT dst, depth + 1 FROM w JOIN steps ON src = node_id WHERE depth < {hops}),
+ w(node_id, depth) AS (SELECT CAST(1000 + c_custkey AS BIGINT), CAST(0 AS BIGINT) FROM customer WHERE c_custkey % 20 = 0 UNION SELECT dst, depth + 1 FROM w JOIN steps ON src = node_id WHERE depth < {hops}),
  r AS (SELECT node_id, min(depth) AS depth FROM w GROUP BY node_id)"""
 
 
@@ -35,18 +39,19 @@ def _graph(spark, sf_dir):
     )
 
 
-def _seeds(spark):
-    return spark.sql("SELECT CAST(node_id AS BIGINT) AS node_id FROM VALUES (1005), (1044) AS v(node_id)")
+def _seeds(spark, sf_dir):
+    """Customers whose id is divisible by 20."""
+    return table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select((F.col("c_custkey").cast("long") + 1000).alias("node_id"))
 
 
 @query("gr13_bounded_walk", f"WITH {_walk(2)} SELECT node_id, depth FROM r")
 def bounded_walk(spark, sf_dir):
-    return G.walk(_seeds(spark), G.walk_edges(_graph(spark, sf_dir)), 2, None)
+    return G.walk(_seeds(spark, sf_dir), G.walk_edges(_graph(spark, sf_dir)), 2, None)
 
 
-@query("gr13_node_budget", f"WITH {_walk(2)} SELECT node_id, depth FROM r ORDER BY depth, node_id LIMIT 50")
+@query("gr13_node_budget", f"WITH {_walk(2)} SELECT node_id, depth FROM r ORDER BY depth, node_id LIMIT 500")
 def node_budget(spark, sf_dir):
-    return G.walk(_seeds(spark), G.walk_edges(_graph(spark, sf_dir)))
+    return G.walk(_seeds(spark, sf_dir), G.walk_edges(_graph(spark, sf_dir)), 2, 500)
 
 
 @query("gr13_walk_denied", f"WITH {_walk(2, '{n} BETWEEN 100 AND 110 OR {n} = 1002')} SELECT node_id, depth FROM r")
@@ -54,13 +59,13 @@ def walk_denied(spark, sf_dir):
     """Denied nodes are never reached and never carry the walk."""
     edges = _graph(spark, sf_dir)
     denied = edges.select(F.explode(F.array("src", "dst")).alias("node_id")).where("node_id BETWEEN 100 AND 110 OR node_id = 1002").distinct()
-    return G.walk(_seeds(spark), G.walk_edges(edges, denied), 2, None)
+    return G.walk(_seeds(spark, sf_dir), G.walk_edges(edges, denied), 2, None)
 
 
 @query("gr14_edges", f"WITH {_walk(2)} SELECT edge_id, a.depth = 2 AS reversed FROM edges JOIN r a ON a.node_id = src JOIN r b ON b.node_id = dst WHERE a.depth < 2 OR (b.depth < 2 AND relation <> 'REPORTS_TO')")
 def edges(spark, sf_dir):
     graph = _graph(spark, sf_dir)
-    return G.edges_among(graph, G.walk(_seeds(spark), G.walk_edges(graph), 2, None))
+    return G.edges_among(graph, G.walk(_seeds(spark, sf_dir), G.walk_edges(graph), 2, None))
 
 
 _MENTIONS = "m AS (SELECT p_type AS type, p_name AS name, CAST(l_orderkey AS BIGINT) AS chunk_id, round(1 - l_discount * 8, 2) AS confidence FROM lineitem JOIN part ON l_partkey = p_partkey)"
@@ -156,24 +161,22 @@ def source_chunks(spark, sf_dir):
 
 @query(
     "gr12_match_mentions",
-    """WITH m AS (SELECT * FROM (VALUES ('NATION_3'), ('the nation_4'), ('ring'), ('Nowhere')) AS v(mention)), n AS (SELECT CAST(n_nationkey AS BIGINT) AS entity_id, lower(n_name) AS key FROM nation UNION ALL SELECT 1000 + CAST(p_partkey AS BIGINT), lower(p_name) FROM part),
-    c AS (SELECT mention, entity_id, 1 AS rung FROM m JOIN n ON lower(mention) = key UNION ALL SELECT mention, entity_id, 2 FROM m JOIN n ON regexp_replace(lower(mention), '^(the|a|an) ', '') = key
-      UNION ALL SELECT mention, entity_id, 3 FROM m, n WHERE length(mention) >= 3 AND contains(' ' || key || ' ', ' ' || lower(mention) || ' '))
-    SELECT mention, entity_id, CAST(rung AS BIGINT) AS rung FROM (SELECT mention, entity_id, min(rung) AS rung, rank() OVER (PARTITION BY mention ORDER BY min(rung)) AS rk FROM c GROUP BY mention, entity_id) WHERE rk = 1""",
+    """WITH n AS (SELECT CAST(n_nationkey AS BIGINT) AS entity_id, lower(n_name) AS key FROM nation UNION ALL SELECT 1000 + CAST(p_partkey AS BIGINT), lower(p_name) FROM part),
+    m AS (SELECT n_name AS mention FROM nation WHERE n_nationkey % 20 = 0 UNION SELECT 'the ' || n_name FROM nation WHERE n_nationkey % 20 = 0 UNION SELECT 'An ' || p_name || '!' FROM part WHERE p_partkey % 20 = 0 UNION SELECT split_part(p_name, ' ', 1) FROM part WHERE p_partkey % 20 = 0 UNION SELECT 'no such ' || p_name FROM part WHERE p_partkey % 40 = 0),
+    k AS (SELECT mention, regexp_replace(lower(mention), '!$', '') AS key, regexp_replace(regexp_replace(lower(mention), '!$', ''), '^(the|a|an) ', '') AS core FROM m),
+    f AS (SELECT mention, entity_id, min(CASE WHEN k.key = n.key THEN 1 WHEN core = n.key THEN 3 ELSE 4 END) AS rung FROM k JOIN n ON k.key = n.key OR core = n.key OR contains(' ' || core || ' ', ' ' || n.key || ' ') OR contains(' ' || n.key || ' ', ' ' || core || ' ') GROUP BY 1, 2)
+    SELECT mention, entity_id, CAST(rung AS BIGINT) AS rung FROM f QUALIFY rung = min(rung) OVER (PARTITION BY mention)""",
 )
 def match_mentions(spark, sf_dir):
-    """Exact key, key without determiner, then a word of the name: the first rung with a match counts. Equi-joins on keys."""
-    mentions = spark.sql("SELECT mention FROM VALUES ('NATION_3'), ('the nation_4'), ('ring'), ('Nowhere') AS v(mention)")
-    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("entity_id"), F.lower("n_name").alias("key"))
-    names = names.unionByName(table(spark, sf_dir, "part").select((F.col("p_partkey") + 1000).cast("long").alias("entity_id"), F.lower("p_name").alias("key")))
-    whole = names.select("entity_id", "key", F.lit(1).alias("kind"))
-    words = names.select("entity_id", F.explode(F.split("key", " ")).alias("key"), F.lit(3).alias("kind"))
-    low = F.lower("mention")
-    keys = mentions.select("mention", F.explode(F.array(*[F.struct(F.lit(r).alias("rung"), k.alias("key")) for r, k in ((1, low), (2, F.regexp_replace(low, "^(the|a|an) ", "")), (3, low))])).alias("k"))
-    keys = keys.select("mention", "k.rung", "k.key").where("rung < 3 OR length(mention) >= 3")
-    found = keys.join(whole.unionByName(words), "key").where("(rung < 3 AND kind = 1) OR rung = 3").groupBy("mention", "entity_id").agg(F.min("rung").cast("long").alias("rung"))
-    least = found.groupBy("mention").agg(F.min("rung").alias("rung"))
-    return found.join(least, ["mention", "rung"]).select("mention", "entity_id", "rung")
+    """Names of nations and parts with an id divisible by 20, whole, with small words and marks, in part and with words around them, against all names."""
+    nations, parts = table(spark, sf_dir, "nation"), table(spark, sf_dir, "part")
+    spelt = nations.select(F.col("n_nationkey").cast("long").alias("entity_id"), F.col("n_name").alias("surface_name"))
+    spelt = spelt.unionByName(parts.select((F.col("p_partkey") + 1000).cast("long").alias("entity_id"), F.col("p_name").alias("surface_name"))).withColumn("entity_type", F.lit("any"))
+    some, own = nations.where("n_nationkey % 20 = 0"), parts.where("p_partkey % 20 = 0")
+    said = [some.select(F.col("n_name").alias("name")), some.select(F.concat(F.lit("the "), "n_name")), own.select(F.concat(F.lit("An "), "p_name", F.lit("!"))), own.select(F.split("p_name", " ")[0]), parts.where("p_partkey % 40 = 0").select(F.concat(F.lit("no such "), "p_name"))]
+    mentions = reduce(DataFrame.union, said).distinct().select(F.col("name").alias("mention_id"), "name", F.lit(None).cast("string").alias("entity_type"))
+    found = matched(mentions, spelt)
+    return found.select(F.col("mention_id").alias("mention"), "entity_id", F.col("step").cast("long").alias("rung"))
 
 
 @query(
@@ -183,7 +186,7 @@ def match_mentions(spark, sf_dir):
 def graph_evidence(spark, sf_dir):
     from pyspark.sql import Window
 
-    reached = G.walk(_seeds(spark), G.walk_edges(_graph(spark, sf_dir)), 2, None)
+    reached = G.walk(_seeds(spark, sf_dir), G.walk_edges(_graph(spark, sf_dir)), 2, None)
     chunks = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("chunk_id"), (F.col("c_custkey") + 1000).alias("node_id"))
     top = reached.join(chunks, "node_id").select("chunk_id", F.col("depth").alias("graph_depth")).orderBy("graph_depth", "chunk_id").limit(10)
     return top.select(F.row_number().over(Window.orderBy("graph_depth", "chunk_id")).cast("long").alias("rank"), "chunk_id", "graph_depth")

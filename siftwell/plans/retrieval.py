@@ -11,7 +11,7 @@ from siftwell.operators import ranking as R
 from siftwell.operators.fulltext import PositionalIndex, full_text
 from siftwell.operators.lineage import folder, version
 from siftwell.operators.passages import passages
-from siftwell.plans.registry import QUESTIONS, QUESTIONS_SQL, query, questions, table
+from siftwell.plans.registry import QUESTIONS_SQL, WORDINGS, WORDINGS_SQL, query, questions, table
 from siftwell.plans.text import _CONTENT
 
 _BASE = f"""q AS (SELECT query_id, question FROM {QUESTIONS_SQL}),
@@ -102,23 +102,23 @@ def incremental_stats(spark, sf_dir):
 
 @query("rk01_bm25", f"WITH {_BASE}, {_bm25(10)} SELECT query_id, rank, doc_id, score FROM bm")
 def bm25(spark, sf_dir):
-    return R.bm25(_index(spark, sf_dir), questions(spark))
+    return R.bm25(_index(spark, sf_dir), questions(spark, sf_dir))
 
 
 @query("rk01_bm25_filtered", f"WITH {_BASE}, {_bm25(10, where="lang = 'en' AND source NOT IN ('src0', 'src1')")} SELECT query_id, rank, doc_id, score FROM bm")
 def bm25_filtered(spark, sf_dir):
     """A metadata filter and an access filter inside the search; statistics stay those of the corpus."""
-    return R.bm25(_index(spark, sf_dir), questions(spark), allowed=(F.col("lang") == "en") & ~F.col("source").isin("src0", "src1"))
+    return R.bm25(_index(spark, sf_dir), questions(spark, sf_dir), allowed=(F.col("lang") == "en") & ~F.col("source").isin("src0", "src1"))
 
 
 @query("rk02_bm25_multiplicity", f"WITH {_BASE}, {_bm25(10, weight='m')} SELECT query_id, rank, doc_id, score FROM bm")
 def bm25_multiplicity(spark, sf_dir):
-    return R.bm25(_index(spark, sf_dir), questions(spark), distinct=False)
+    return R.bm25(_index(spark, sf_dir), questions(spark, sf_dir), distinct=False)
 
 
 @query("rk04_overlap_fts", f"WITH {_BASE}, {_overlap(10)} SELECT query_id, rank, doc_id, score FROM ov")
 def overlap(spark, sf_dir):
-    return R.overlap(_index(spark, sf_dir), questions(spark))
+    return R.overlap(_index(spark, sf_dir), questions(spark, sf_dir))
 
 
 def _cosine(k: int, threshold: float) -> str:
@@ -141,7 +141,7 @@ def cosine_threshold(spark, sf_dir):
 
 
 def _legs(spark, sf_dir, k=30):
-    q = questions(spark)
+    q = questions(spark, sf_dir)
     return R.bm25(_index(spark, sf_dir), q, k), R.overlap(_index(spark, sf_dir), q, k)
 
 
@@ -159,7 +159,7 @@ def rrf_weighted(spark, sf_dir):
 
 @query("rk08_boosts", f"WITH {_BASE}, {_bm25(30)}, {_boost('bm', 10)} SELECT query_id, rank, doc_id, score FROM bo")
 def boosts(spark, sf_dir):
-    docs, q = _docs(spark, sf_dir), questions(spark)
+    docs, q = _docs(spark, sf_dir), questions(spark, sf_dir)
     return R.boost(R.bm25(_index(spark, sf_dir), q, 30), docs, q)
 
 
@@ -182,7 +182,7 @@ def hybrid(spark, sf_dir):
 )
 def token_budget(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    return R.within_tokens(R.bm25(_index(spark, sf_dir), questions(spark)), docs, 3000)
+    return R.within_tokens(R.bm25(_index(spark, sf_dir), questions(spark, sf_dir)), docs, 3000)
 
 
 @query(
@@ -192,7 +192,7 @@ def token_budget(spark, sf_dir):
 )
 def char_budget(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    return R.within_characters(R.bm25(_index(spark, sf_dir), questions(spark)), docs, 6000)
+    return R.within_characters(R.bm25(_index(spark, sf_dir), questions(spark, sf_dir)), docs, 6000)
 
 
 @query(
@@ -204,13 +204,13 @@ def char_budget(spark, sf_dir):
     SELECT q.query_id, coalesce(round(0.5 * cov + 0.4 * rel + 0.1 * sup, 4), 0.0) AS confidence FROM q LEFT JOIN a USING (query_id)""",
 )
 def confidence(spark, sf_dir):
-    docs, q = _docs(spark, sf_dir), questions(spark)
+    docs, q = _docs(spark, sf_dir), questions(spark, sf_dir)
     return R.confidence(R.overlap(_index(spark, sf_dir), q, 5), docs, q)
 
 
 @query("st02_vectorless", f"WITH {_BASE}, {_bm25(30)}, {_overlap(30)}, {_rrf(1.0, 1.0, 30)}, {_boost('rr', 10)} SELECT query_id, rank, doc_id, score FROM bo")
 def vectorless(spark, sf_dir):
-    docs, q = _docs(spark, sf_dir), questions(spark)
+    docs, q = _docs(spark, sf_dir), questions(spark, sf_dir)
     bm, ov = R.bm25(_index(spark, sf_dir), q, 30), R.overlap(_index(spark, sf_dir), q, 30)
     return R.boost(R.fuse([(bm, 1.0), (ov, 1.0)], 30), docs, q)
 
@@ -228,26 +228,21 @@ _WEIGHTS = """(SELECT {i}, bucket, c / sqrt(sum(c * c) OVER (PARTITION BY {i}))
 )
 def traditional(spark, sf_dir):
     """Hashing embeddings of questions and documents, by sparse products of the buckets they share."""
-    own = T.hashed_weights(questions(spark).select(F.col("query_id").alias("doc_id"), F.col("question").alias("text"))).select(F.col("doc_id").alias("query_id"), "bucket", F.col("weight").alias("w"))
-    rows = T.hashed_weights(_docs(spark, sf_dir)).join(R.hint(questions(spark))(own), "bucket").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("w")), 6).alias("score"))
+    own = T.hashed_weights(questions(spark, sf_dir).select(F.col("query_id").alias("doc_id"), F.col("question").alias("text"))).select(F.col("doc_id").alias("query_id"), "bucket", F.col("weight").alias("w"))
+    rows = T.hashed_weights(_docs(spark, sf_dir)).join(R.hint(questions(spark, sf_dir))(own), "bucket").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("w")), 6).alias("score"))
     return R.top_k(rows.where("score >= 0.25"), 5).select("query_id", "rank", "doc_id", "score")
 
 
 _SPOKEN = "' ' || trim(regexp_replace(lower(question), '[^a-z0-9'']+', ' ', 'g')) || ' '"
-_WORDINGS = [q for _, q in QUESTIONS]
-_ASKED = (
-    "asked AS (SELECT conv_id, turn, regexp_extract(text, '^[^.\n]*') || ' ' || (["
-    + ", ".join("'" + w.replace("'", "''") + "'" for w in _WORDINGS)
-    + "])[conv_id % 8 + 1] || CASE WHEN turn % 4 = 2 THEN ' and “on the” with The Big Anble-Corp X1 of Paris, who works on it' ELSE '' END AS question FROM conversations WHERE role = 'user')"
-)
+_ASKED = f"asked AS (SELECT conv_id, turn, text || ' ' || {WORDINGS_SQL}[conv_id % 8 + 1] || CASE WHEN turn % 4 = 2 THEN ' and “on the” with The Big Anble-Corp X1 of Paris, who works on it' ELSE '' END AS question FROM conversations WHERE role = 'user')"
 
 
 def _asked(spark, sf_dir):
-    """conv_id, turn, question: the first line or sentence of all users' turns with one of the wordings, and now and then more."""
+    """conv_id, turn, question: all users' turns, whole, with one of the wordings, and now and then more."""
     rows = table(spark, sf_dir, "conversations").where("role = 'user'")
-    wording = F.element_at(F.array(*map(F.lit, _WORDINGS)), (F.col("conv_id") % 8 + 1).cast("int"))
+    wording = F.element_at(F.array(*map(F.lit, WORDINGS)), (F.col("conv_id") % 8 + 1).cast("int"))
     more = F.when(F.col("turn") % 4 == 2, " and “on the” with The Big Anble-Corp X1 of Paris, who works on it").otherwise("")
-    return rows.select("conv_id", "turn", F.concat(F.regexp_extract("text", r"^[^.\n]*", 0), F.lit(" "), wording, more).alias("question"))
+    return rows.select("conv_id", "turn", F.concat("text", F.lit(" "), wording, more).alias("question"))
 
 
 _NAMED = "regexp_matches(w, '^[A-Z]') AND NOT list_contains([" + ", ".join(f"'{w}'" for w in S.NOT_ENTITIES) + "], lower(w)) AND NOT (" + " OR ".join(f"regexp_matches(w, '{f}')" for f in S.IDENTIFIER_FORMS) + ")"
@@ -308,7 +303,7 @@ def router_offline(spark, sf_dir):
 )
 def auto_fallback(spark, sf_dir):
     """Questions with exact wording want nearly complete overlap; those that find none, and all others, go to BM25."""
-    docs, q = _docs(spark, sf_dir), questions(spark)
+    docs, q = _docs(spark, sf_dir), questions(spark, sf_dir)
     exact = (F.size(S.phrases(F.col("question"))) + F.size(S.identifiers(F.col("question")))) > 0
     wants = q.select("query_id", exact.alias("exact"))
     first = R.overlap(_index(spark, sf_dir), q, 10).where("score >= 0.9").groupBy("query_id").agg(F.count("*").alias("n_first"))
@@ -360,11 +355,9 @@ def access_stats(spark, sf_dir):
     SELECT user_id, count(*) AS returned, count(*) FILTER (WHERE (user_id, doc_id) NOT IN (SELECT (user_id, doc_id) FROM readable)) AS forbidden FROM r GROUP BY user_id""",
 )
 def leak_test(spark, sf_dir):
-    """Rankings of each user's own documents; what they hold that the user may not read has to be none."""
-    docs, q = _docs(spark, sf_dir), questions(spark)
-    ranked = R.bm25(_index(spark, sf_dir), q, docs.count()).select("query_id", "doc_id", "score")
+    """Rankings of each user's own documents; what they hold that the user may not read has to be none. Access is applied to the scores, before the one ranking."""
     seen = _readable(spark, sf_dir)
-    rows = R.top_k(ranked.join(seen, "doc_id").select((F.col("user_id") * 1000 + F.col("query_id")).alias("query_id"), "user_id", "doc_id", "score"), 5)
+    rows = R.top_k(R.bm25_scores(_index(spark, sf_dir), questions(spark, sf_dir)).join(seen, "doc_id"), 5, by=("user_id", "query_id"))
     checked = rows.join(seen.withColumn("ok", F.lit(1)), ["user_id", "doc_id"], "left")
     return checked.groupBy("user_id").agg(F.count("*").alias("returned"), F.count_if(F.col("ok").isNull()).alias("forbidden"))
 
