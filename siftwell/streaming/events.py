@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from siftwell.functions.text import tokens
 from siftwell.operators.limits import limited
+from siftwell.operators.lineage import files_of
 
 
 def limited_stream(events: DataFrame, subject: str, ts: str, limit: int, every: str = "1 minute", late: str = "10 minutes") -> DataFrame:
@@ -34,8 +35,8 @@ def index_stream(spark: SparkSession, source: str, target: str, checkpoint: str,
 
 
 def indexed(spark: SparkSession, target: str) -> DataFrame:
-    """Sums over the folders of batches whose write has ended."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/batch=*/_SUCCESS")
-    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = [f.getPath().getParent().toString() for f in files.globStatus(where)]
-    return spark.read.schema("term string, df long").parquet(*done).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+    """Sums over the folders of batches whose write has ended; none before the first."""
+    where, files = files_of(spark, f"{target}/batch=*/_SUCCESS")
+    done = [f.getPath().getParent().toString() for f in files.globStatus(where) or []]
+    found = spark.read.schema("term string, df long").parquet(*done) if done else spark.createDataFrame([], "term string, df long")
+    return found.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
