@@ -8,9 +8,11 @@ from siftwell.functions import signals as S
 from siftwell.functions import text as T
 from siftwell.operators import access as A
 from siftwell.operators import ranking as R
+from siftwell.operators.agent import run_agents
 from siftwell.operators.fulltext import PositionalIndex, full_text
 from siftwell.operators.lineage import folder, version
 from siftwell.operators.passages import passages
+from siftwell.operators.repair import MOST
 from siftwell.plans.registry import QUESTIONS_SQL, WORDINGS, WORDINGS_SQL, query, questions, table
 from siftwell.plans.text import _CONTENT
 
@@ -313,6 +315,25 @@ def auto_fallback(spark, sf_dir):
     return rows.select("query_id", F.when(served, "vectorless").otherwise("lexical").alias("strategy"), (F.col("exact") & (F.col("n_first") == 0)).alias("fell_back"), F.when(served, F.col("n_first")).otherwise(F.col("n_bm")).alias("n_hits"))
 
 
+@query("st04_agent_runs")
+def agent_runs(spark, sf_dir):
+    """What became of each question: rounds, calls, sub-questions answered and given up, evidence, and why it stopped. Rounds are beyond SQL."""
+    docs, index = _docs(spark, sf_dir), _index(spark, sf_dir)
+
+    def search(asked):
+        rows = asked.withColumn("query_id", F.col("question_id") * 10_000 + F.col("sub_id"))
+        own = rows.select("query_id", F.col("query").alias("question"))
+        hits = [rank(index, own, MOST).withColumn("tool", F.lit(tool)) for tool, rank in (("lexical", R.bm25), ("overlap", R.overlap))]
+        hits = hits[0].unionByName(hits[1]).join(rows, ["query_id", "tool"]).where("rank <= top_k")
+        return hits.join(docs.select("doc_id", "text"), "doc_id").select("question_id", "sub_id", F.col("doc_id").alias("chunk_id"), "text")
+
+    runs = run_agents(questions(spark, sf_dir).withColumnRenamed("query_id", "question_id"), search, tools=["lexical", "overlap"])
+    subs = runs.sub_questions.groupBy("question_id").agg(*[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("answered", "abandoned", "open")])
+    held = runs.evidence.groupBy("question_id").agg(F.countDistinct("chunk_id").alias("n_evidence"))
+    rows = runs.ledger.join(subs, "question_id", "left").join(held, "question_id", "left").fillna(0, ["n_answered", "n_abandoned", "n_open", "n_evidence"])
+    return rows.select("question_id", "iterations", "calls", "n_answered", "n_abandoned", "n_open", "n_evidence", "stop")
+
+
 @query("flt01_access_filter", "SELECT doc_id FROM documents WHERE (doc_id IN (1, 2, 3) OR source IN ('src1', 'src2')) AND doc_id NOT IN (2, 12)")
 def access_filter(spark, sf_dir):
     return _docs(spark, sf_dir).where(A.allowed(F.col("doc_id"), F.col("source"), [1, 2, 3], ["src1", "src2"], [2, 12])).select("doc_id")

@@ -32,7 +32,7 @@ def test_like_duckdb(spark, duck, name):
 
 
 #: Beyond SQL; each has a test against a brute-force version.
-WITHOUT_SQL = {"ct04_repaired", "rk03_full_text"}
+WITHOUT_SQL = {"ct04_repaired", "rk03_full_text", "st04_agent_runs"}
 
 
 def test_all_other_queries_have_sql():
