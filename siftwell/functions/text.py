@@ -1,9 +1,12 @@
-"""Text columns: cleaning, headings, tokens, hashing embedder, estimates. All run inside the JVM."""
+"""Text columns: cleaning, headings, tokens, hashing embedder, estimates. All but the counts of terms run inside the JVM."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 # Words left out of hashing embeddings and overlap scores.
 EMBED_STOPWORDS = """
@@ -35,6 +38,20 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+@F.arrow_udf(ArrayType(StructType([StructField("term", StringType()), StructField("tf", LongType())])))
+def term_counts(words: pa.Array) -> pa.Array:
+    """Each distinct word of an array with how often it stands there. In the row, so that nothing is exchanged to count; nulls have none."""
+    words = words.fill_null([])
+    coded = words.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(words)), np.diff(words.offsets))
+    code = np.asarray(coded.indices.fill_null(0)) if len(coded) else np.zeros(0, np.int64)
+    order = np.lexsort((code, row))
+    row, code = row[order], code[order]
+    first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))
+    each = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(code[first], pa.int64())), pa.array(np.diff(np.append(first, len(row))), pa.int64())], ["term", "tf"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[first], np.arange(len(words) + 1)).astype(np.int32)), each)
+
+
 def content_tokens(text: Column) -> Column:
     """Tokens without stop words, or all of them if nothing would be left."""
     every = tokens(text)

@@ -18,8 +18,20 @@ def retrieval_scores(hits: DataFrame, sources: DataFrame) -> DataFrame:
     Precision is null where nothing was returned. Queries without sources aren't in the result: nothing can be measured.
     """
     marked = hits.join(sources.withColumn("relevant", F.lit(1)), ["query_id", "item"], "left")
+    return scores_of(marked, sources.groupBy("query_id").agg(F.count("*").alias("wanted")))
+
+
+def scores_of_labels(hits: DataFrame, queries: DataFrame, items: DataFrame) -> DataFrame:
+    """As `retrieval_scores` where the sources of a query (query_id, label) are the other items (item, label) of its label: hits (query_id, rank, item) are compared by label, and sources
+    are counted by label, so that no pairs of queries and sources are written out. Queries are items too and not their own source; those of a null label have none."""
+    sizes = items.where("label IS NOT NULL").groupBy("label").agg((F.count("*") - 1).alias("wanted")).where("wanted > 0")
+    marked = hits.join(queries.select("query_id", F.col("label").alias("own")), "query_id").join(items.select("item", "label"), "item").where("item <> query_id")
+    return scores_of(marked.withColumn("relevant", F.when(F.col("own") == F.col("label"), 1)), queries.join(sizes, "label").select("query_id", "wanted"))
+
+
+def scores_of(marked: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The measures from hits that are marked (query_id, rank, item, relevant: 1 or null) and the number of sources of each query (query_id, wanted)."""
     per = marked.groupBy("query_id").agg(F.count("*").alias("returned"), F.count("relevant").alias("found"), F.countDistinct(F.when(F.col("relevant") == 1, F.col("item"))).alias("covered"), F.min(F.when(F.col("relevant") == 1, F.col("rank"))).alias("first"))
-    wanted = sources.groupBy("query_id").agg(F.count("*").alias("wanted"))
     rows = wanted.join(per, "query_id", "left")
     return rows.select(
         "query_id", F.round(F.try_divide("found", "returned"), 6).alias("precision"), F.round(F.coalesce("covered", F.lit(0)) / F.col("wanted"), 6).alias("recall"),

@@ -21,8 +21,8 @@ def _scores(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     q = v.where("vec_id % 20 = 0")
     hits = R.cosine_top(v, q.select(F.col("vec_id").alias("query_id"), "embedding"), 6).where("query_id <> vec_id")
-    sources = F.broadcast(q.select(F.col("vec_id").alias("query_id"), "label")).join(v.select(F.col("vec_id").alias("item"), "label"), "label").where("query_id <> item")
-    return E.retrieval_scores(hits.select("query_id", (F.col("rank") - 1).alias("rank"), F.col("vec_id").alias("item")), sources.select("query_id", "item")), q
+    hits = hits.select("query_id", (F.col("rank") - 1).alias("rank"), F.col("vec_id").alias("item"))
+    return E.scores_of_labels(hits, q.select(F.col("vec_id").alias("query_id"), "label"), v.select(F.col("vec_id").alias("item"), "label")), q
 
 
 @query("ev01_retrieval_metrics", f"WITH {_EV} SELECT query_id, precision, recall, hit, reciprocal_rank FROM ev")

@@ -84,3 +84,17 @@ def test_signals_and_routes(spark):
     offline = routes(["traditional", "vectorless"])
     assert (offline[0].strategy, offline[0].decisive, offline[0].from_rule, offline[0].query_type) == ("traditional", True, False, "relationship")
     assert (offline[2].strategy, offline[2].from_rule, offline[2].query_type) == ("vectorless", True, "exact_match")
+
+
+def test_scores_are_held_in_slices(spark, monkeypatch):
+    """The same best vectors whatever the number of scores that a task holds at once."""
+    import random
+
+    from siftwell.operators import ranking
+
+    rng = random.Random(3)
+    vectors = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)], "vec_id long, embedding array<double>")
+    queries = vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    whole = sorted(map(tuple, ranking.cosine_top(vectors, queries, 4).collect()))
+    monkeypatch.setattr(ranking, "CELLS", 70)
+    assert sorted(map(tuple, ranking.cosine_top(vectors, queries, 4).collect())) == whole and len(whole) == 60
