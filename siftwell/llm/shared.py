@@ -96,14 +96,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
+def give_back() -> None:
+    """Gives what this worker has freed back to the system: workers are kept for later tasks, and what they hold counts while the executor does other work."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def tidy(scan):
-    """The function from batches to batches, which at its end gives what it has freed back to the system: workers are kept for later tasks, and what they
-    hold counts while the executor does other work."""
+    """The function from batches to batches, with `give_back` at its end."""
 
     def run(batches):
         yield from scan(batches)
-        pa.default_memory_pool().release_unused()
-        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-            libc.malloc_trim(0)
+        give_back()
 
     return run

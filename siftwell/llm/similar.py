@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.bitmap import Bitmap, row_name
 from siftwell.llm.exchange import SENT, buckets, received, sent, spread
-from siftwell.llm.shared import small_batches, stored, tidy
+from siftwell.llm.shared import give_back, small_batches, stored, tidy
 from siftwell.llm.words import SPACE, Words, chunks, mix, ranges
 
 SHINGLE = 5
@@ -90,6 +90,7 @@ def common_shingles(docs: DataFrame, n_buckets: int) -> tuple[np.ndarray, np.nda
         return sent(chunks(batches), cells, np.add)
 
     def count(table):
+        give_back()  # what the group before held
         cells, n = received(table, ["<u4", "<u4"])
         order = np.argsort(cells, kind="stable")
         cells, n = cells[order], n[order].astype(np.int64)
@@ -216,6 +217,7 @@ def candidates(groups: DataFrame, common, n_buckets: int, chained: bool = False)
         return sent(batches, entries)
 
     def meet(key, table):
+        give_back()  # what the group before held
         token, group, n, place = received(table, ["<u4", "<u8", "<u4", "<u4"])
         order = np.lexsort((group, token))
         token, group, n, place = token[order].astype(np.int64), group[order].view(np.int64), n[order].astype(np.int64), place[order].astype(np.int64)
