@@ -1,6 +1,6 @@
 """URL filters: host rules, and pattern rules indexed by their rarest literal token.
 
-One exploded key column meets one rule table: the suffixes of a url's host fetch host rules, its tokens fetch the
+A rule of several alternatives is filed under a literal of each. One exploded key column meets one rule table: the suffixes of a url's host fetch host rules, its tokens fetch the
 pattern rules filed under them, and only fetched rules are tried. DataFrame functions only.
 """
 
@@ -20,16 +20,16 @@ HOST_RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-#: (action, pattern over the lower-cased url, literal tokens that every match has as whole tokens).
+#: (action, pattern over the lower-cased url, its alternatives: of each the literal tokens that all its matches have as whole tokens).
 PATTERN_RULES = [
-    ("block", r"[?&]utm_(source|medium|campaign)=", ["utm"]),
-    ("block", r"[?&]ref=[^&#]*(&|#|$)", ["ref"]),
-    ("block", r"[?&](sid|phpsessid|jsessionid)=", []),
-    ("block", r"/(login|signin|logout)(/|\?|#|$)", []),
-    ("block", r"/wp-admin/", ["wp", "admin"]),
-    ("block", r"^https?://blog\.[^/]*example\.com/fr/", ["blog", "com", "fr"]),
-    ("block", r"/print/[0-9]+(\.html)?$", ["print"]),
-    ("allow", r"^https?://blog\.[^/]*/fr/[0-9]+\.html$", ["blog", "fr", "html"]),
+    ("block", r"[?&]utm_(source|medium|campaign)=", [["utm", "source"], ["utm", "medium"], ["utm", "campaign"]]),
+    ("block", r"[?&]ref=[^&#]*(&|#|$)", [["ref"]]),
+    ("block", r"[?&](sid|phpsessid|jsessionid)=", [["sid"], ["phpsessid"], ["jsessionid"]]),
+    ("block", r"/(login|signin|logout)(/|\?|#|$)", [["login"], ["signin"], ["logout"]]),
+    ("block", r"/wp-admin/", [["wp", "admin"]]),
+    ("block", r"^https?://blog\.[^/]*example\.com/fr/", [["blog", "com", "fr"]]),
+    ("block", r"/print/[0-9]+(\.html)?$", [["print"]]),
+    ("allow", r"^https?://blog\.[^/]*/fr/[0-9]+\.html$", [["blog", "fr", "html"]]),
 ]
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,18 +53,19 @@ def tokens(url: Column) -> Column:
 
 def rule_tables(spark: SparkSession, host_rules=HOST_RULES, pattern_rules=PATTERN_RULES) -> tuple[DataFrame, DataFrame]:
     hosts = spark.createDataFrame([(a, h, p) for a, h, p in host_rules], "action string, host string, path string")
-    patterns = spark.createDataFrame([(a, p, t) for a, p, t in pattern_rules], "action string, pattern string, literals array<string>")
+    patterns = spark.createDataFrame([(a, p, t) for a, p, all_of in pattern_rules for t in all_of or [[]]], "action string, pattern string, literals array<string>")
     return hosts, patterns
 
 
 def index_patterns(urls: DataFrame, patterns: DataFrame) -> DataFrame:
-    """The pattern rules with the literal under which each is filed: the one that fewest rows of `urls` have, the first
+    """The pattern rules with the literals under which each is filed: of each alternative the one that fewest rows of `urls` have, the first
     in order among equals, and '' for rules without literals, which all urls fetch."""
+    patterns = patterns.withColumn("literals", F.array_sort("literals")).distinct()
     literals = patterns.select(F.explode("literals").alias("token")).distinct()
     counts = urls.select(F.explode(tokens(F.col("url"))).alias("token")).join(sized(literals), "token", "left_semi").groupBy("token").count()
-    each = patterns.select("action", "pattern", F.explode_outer("literals").alias("token"))
-    ranked = each.join(sized(counts), "token", "left").select("action", "pattern", F.struct(F.coalesce("count", F.lit(0)).alias("n"), F.coalesce("token", F.lit("")).alias("token")).alias("by"))
-    return ranked.groupBy("action", "pattern").agg(F.min("by")["token"].alias("token"))
+    each = patterns.select("action", "pattern", "literals", F.explode_outer("literals").alias("token"))
+    ranked = each.join(sized(counts), "token", "left").select("action", "pattern", "literals", F.struct(F.coalesce("count", F.lit(0)).alias("n"), F.coalesce("token", F.lit("")).alias("token")).alias("by"))
+    return ranked.groupBy("action", "pattern", "literals").agg(F.min("by")["token"].alias("token")).select("action", "pattern", "token").distinct()
 
 
 def sized(rules: DataFrame) -> DataFrame:
