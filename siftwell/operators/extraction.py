@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.json_text import json_object
 from siftwell.functions.names import name_key
+from siftwell.operators.lineage import cut
 
 # Types and relations; the type that an end of a relation must have where there can be no other; words of a name at most.
 ENTITY_TYPES = ["person", "team", "organisation", "project", "product", "document", "policy", "location"]
@@ -68,11 +69,13 @@ def salvage(replies: DataFrame) -> Salvaged:
     description, confidence, fine = _described(item)
     entities = rows.select("reply_id", F.posexplode("entities").alias("pos", "item")).select("reply_id", "pos", _text(item, "name").alias("name"), _text(item, "entity_type").alias("entity_type"), description.alias("description"), confidence.alias("confidence"), fine.alias("fine"))
     entities = entities.where("fine").withColumn("key", name_key(F.col("name"))).where((F.col("key") != "") & F.col("entity_type").isin(ENTITY_TYPES)).drop("fine")
+    entities = cut(entities)  # read several times below
     relations = rows.select("reply_id", F.posexplode("relations").alias("pos", "item")).select(
         "reply_id", "pos", *[_text(item, c).alias(c) for c in ("source", "target", "relation_type")], description.alias("description"), confidence.alias("confidence"), fine.alias("fine")
     )
     relations = relations.where("fine").withColumns({"source_key": name_key(F.col("source")), "target_key": name_key(F.col("target"))})
     relations = relations.where((F.col("source_key") != "") & (F.col("target_key") != "") & F.col("relation_type").isin(RELATIONS)).drop("fine")
+    relations = cut(relations)
 
     types = entities.groupBy("reply_id", "key").agg(F.countDistinct("entity_type").alias("n_types"))
     end = lambda role: F.struct(F.lit(role).alias("role"), F.col(role).alias("name"), F.col(f"{role}_key").alias("key"))
