@@ -10,6 +10,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.llm.shared import give_back
+
 #: Bytes of text whose rows are sent on together, and rows a bucket should have.
 SEND_BYTES, BUCKET = 5 << 20, 1 << 19
 SENT = "bucket int, data binary"
@@ -74,5 +76,6 @@ def sent(parts: Iterable[pa.RecordBatch], columns_of: Callable, *merge: np.ufunc
         if size >= SEND_BYTES:
             yield rows()
             held, size = [], 0
+            give_back()
     if held:
         yield rows()
