@@ -35,13 +35,34 @@ def sniffed(content: Column, limit: int) -> dict[str, Column]:
     return {"status": F.when(reason.isNull(), "accepted").otherwise("rejected"), "reason": reason}
 
 
-def _xml_text(data: bytes, paragraph: str, run: str) -> list[str]:
-    root = ElementTree.fromstring(data)
-    return ["".join(t.text or "" for t in p.iter() if t.tag.endswith(run)) for p in root.iter() if p.tag.endswith(paragraph)]
+def _said(paragraph: ElementTree.Element) -> str:
+    return "".join(t.text or "" for t in paragraph.iter() if t.tag.endswith("}t"))
+
+
+def _rows(table: ElementTree.Element) -> list[str]:
+    """Each row's cells that hold something, with bars between."""
+    cells = ([" ".join(filter(None, map(str.strip, map(_said, c.iterfind(".//{*}p"))))) for c in row.findall("{*}tc")] for row in table.findall("{*}tr"))
+    return [" | ".join(filter(None, row)) for row in cells if any(row)]
+
+
+def _document_text(data: bytes) -> str:
+    """Paragraphs that aren't blank, then the rows of the tables."""
+    body = ElementTree.fromstring(data).find("{*}body")
+    lines = [] if body is None else [x for x in map(_said, body.findall("{*}p")) if x.strip()]
+    return "\n".join(lines + [r for t in ([] if body is None else body.findall("{*}tbl")) for r in _rows(t)])
+
+
+def _slide_text(data: bytes) -> str:
+    """Lines of the shapes and rows of the tables, in order."""
+    lines = []
+    for shape in ElementTree.fromstring(data).iterfind(".//{*}spTree/*"):
+        table = shape.find(".//{*}tbl")
+        lines += _rows(table) if table is not None else filter(None, (_said(p).strip() for p in shape.iterfind(".//{*}txBody/{*}p")))
+    return "\n".join(lines)
 
 
 def _zip_text(data: bytes, kind: str) -> str | None:
-    """Text of a docx (paragraphs) or pptx (slides, form feeds between); null for broken or oversized files."""
+    """Text of a docx (paragraphs and tables) or pptx (slides, form feeds between); null for broken or oversized files."""
     if data is None:
         return None
     try:
@@ -50,9 +71,9 @@ def _zip_text(data: bytes, kind: str) -> str | None:
             if len(infos) > ZIP_ENTRIES or sum(i.file_size for i in infos) > ZIP_BYTES or any(i.file_size >= 1 << 20 and i.file_size > ZIP_RATIO * max(1, i.compress_size) for i in infos):
                 return None
             if kind == "docx":
-                return "\n".join(x for x in _xml_text(z.read("word/document.xml"), "}p", "}t") if x.strip())
+                return _document_text(z.read("word/document.xml"))
             slides = sorted((i.filename for i in infos if re.fullmatch(r"ppt/slides/slide\d+\.xml", i.filename)), key=lambda n: int(re.findall(r"\d+", n)[0]))
-            return "\f".join("\n".join(x for x in _xml_text(z.read(n), "}p", "}t") if x.strip()) for n in slides)
+            return "\f".join(_slide_text(z.read(n)) for n in slides)
     except (zipfile.BadZipFile, zlib.error, KeyError, ValueError, EOFError, RuntimeError, ElementTree.ParseError):  # RuntimeError: encrypted, or an unknown compression
         return None
 

@@ -118,11 +118,18 @@ def test_parsers(spark, tmp_path):
     (tmp_path / ".hidden.txt").write_text("no")
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
-        z.writestr("word/document.xml", '<w:d xmlns:w="u"><w:p><w:t>One</w:t><w:t> two</w:t></w:p><w:p><w:t>Three</w:t></w:p></w:d>')
+        z.writestr("word/document.xml", '<w:d xmlns:w="u"><w:body><w:p><w:t>One</w:t><w:t> two</w:t></w:p><w:tbl><w:tr><w:tc><w:p><w:t>a </w:t></w:p></w:tc><w:tc><w:p/></w:tc><w:tc><w:p><w:t>b</w:t></w:p></w:tc></w:tr></w:tbl><w:p><w:t>Three</w:t></w:p></w:body></w:d>')
     (tmp_path / "d.docx").write_bytes(data.getvalue())
     (tmp_path / "f.pptx").write_bytes(b"broken")
+    data, cell = io.BytesIO(), "<a:tc><a:txBody><a:p><a:t>{}</a:t></a:p></a:txBody></a:tc>"
+    with zipfile.ZipFile(data, "w") as z:
+        shapes = ["<p:sp><p:txBody><a:p><a:t> Title </a:t></a:p><a:p/></p:txBody></p:sp>", f"<p:graphicFrame><a:tbl><a:tr>{cell.format('x')}{cell.format('')}{cell.format('y')}</a:tr></a:tbl></p:graphicFrame>"]
+        for n, shape in ((2, shapes[1]), (10, shapes[0]), (1, "".join(shapes))):
+            z.writestr(f"ppt/slides/slide{n}.xml", f'<p:s xmlns:p="u" xmlns:a="v"><p:spTree>{shape}</p:spTree></p:s>')
+    (tmp_path / "g.pptx").write_bytes(data.getvalue())
     got = {r.path.rpartition("/")[2]: (r.text, r.status, r.reason) for r in parsers.read_files(spark, str(tmp_path)).collect()}
-    assert got["a.txt"] == ("café", "accepted", None) and got["b.md"][0] == "# Üben" and got["d.docx"][0] == "One two\nThree"
+    assert got["a.txt"] == ("café", "accepted", None) and got["b.md"][0] == "# Üben" and got["d.docx"][0] == "One two\nThree\na | b"
+    assert got["g.pptx"][0] == "Title\nx | y\fx | y\fTitle"
     assert got["c.txt"][2] == "binary" and got["f.pptx"][2] == "unreadable" and ".hidden.txt" not in got
 
 
