@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftwell.operators.limits import limited
+from siftwell.operators.limits import decided, limited
 from siftwell.plans.registry import query, table
 
 _K = "CAST(json_extract(props, '$.k') AS BIGINT)"
@@ -94,6 +94,15 @@ def rate_limit(spark, sf_dir):
     return rows.select("user_id", F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "n", "rejected")
 
 
+@query(
+    "ac02_decisions",
+    """SELECT event_id, rn <= 2 AS allowed, greatest(2 - rn, 0) AS remaining, CAST(greatest(1, ceil((3600000000 - epoch_us(ts) % 3600000000) / 1000000)) AS BIGINT) AS retry_after
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) AS rn FROM events)""",
+)
+def rate_decisions(spark, sf_dir):
+    return decided(table(spark, sf_dir, "events"), "user_id", "ts", 2, 3600).select("event_id", "allowed", "remaining", "retry_after")
+
+
 @query("ext_cube", "SELECT coalesce(l_returnflag, '*') AS flag, coalesce(l_linestatus, '*') AS status, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def cube(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
