@@ -93,14 +93,15 @@ def token_estimate(text: Column) -> Column:
     return F.when(F.length(text) == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(F.length(text) / 4))).cast("long")
 
 
-def is_heading(line: Column) -> Column:
-    """Markdown headings, numbered headings, and short lines all in capitals."""
-    short = F.length(line) <= 80
-    markdown = line.rlike(r"^#{1,6} \S")
-    numbered = line.rlike(r"^\d+(\.\d+)*[.)]?\s+\S")
-    closed = line.rlike(r"[.,;:]$")
-    capitals = (F.regexp_count(line, F.lit("[A-Za-z]")) >= 3) & (F.upper(line) == line)
-    return (line != "") & short & (markdown | numbered | (~closed & capitals))
+def heading(line: Column) -> Column:
+    """The title of a line that is one, else null: what follows the marks of a Markdown heading, a numbered line, or a line of three letters or more that are all
+    capitals and no comma, colon or stop at its end. White space around the line doesn't count; 80 characters at most."""
+    own = F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
+    markdown = F.regexp_extract(own, r"(?U)^#{1,6}\s+(.+)$", 1)
+    numbered = own.rlike(r"^\d+(\.\d+)*[.)]?\s+\S")
+    letters = F.regexp_count(own, F.lit(r"\p{L}"))
+    capitals = (letters >= 3) & (F.regexp_count(own, F.lit(r"\p{Lu}")) == letters) & ~own.rlike(r"[.,;:]$")
+    return F.when((own != "") & (F.length(own) <= 80), F.when(markdown != "", markdown).when(numbered | capitals, own))
 
 
 def chunks(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

@@ -9,7 +9,7 @@ from siftwell.functions.names import name_key
 from siftwell.operators import access as A
 from siftwell.operators import records as R
 from siftwell.plans.registry import query, table
-from siftwell.plans.text import _CHUNKS
+from siftwell.plans.text import _CHUNKS, _TITLE
 
 
 @query("tk02_keyset_page", "SELECT doc_id, n_chars FROM documents WHERE doc_id > 100 ORDER BY doc_id LIMIT 50")
@@ -100,15 +100,16 @@ def visible_edges(spark, sf_dir):
     _CHUNKS
     + r""", l AS (SELECT doc_id, u.line, u.i FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, i)),
     o AS (SELECT doc_id, line, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS BIGINT) AS start FROM l),
-    h AS (SELECT doc_id, start, line AS title FROM o WHERE line <> '' AND length(line) <= 80 AND (regexp_matches(line, '^#{1,6} [^\s]') OR regexp_matches(line, '^[0-9]+(\.[0-9]+)*[.)]?\s+[^\s]')
-      OR (NOT regexp_matches(line, '[.,;:]$') AND len(regexp_extract_all(line, '[A-Za-z]')) >= 3 AND upper(line) = line)))
+    h AS (SELECT doc_id, start, """
+    + _TITLE
+    + """ AS title FROM o WHERE title IS NOT NULL)
     SELECT c.doc_id, c.chunk_index, h.title AS section FROM c ASOF LEFT JOIN h ON c.doc_id = h.doc_id AND c.char_start >= h.start""",
 )
 def sections(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     before = F.sum(F.length("line") + 1).over(R.Window.partitionBy("doc_id").orderBy("i")) - F.length("line") - 1
-    found = lines.withColumn("start", before.cast("long")).where(T.is_heading(F.col("line"))).select("doc_id", "start", F.col("line").alias("title"))
+    found = lines.withColumn("start", before.cast("long")).select("doc_id", "start", T.heading(F.col("line")).alias("title")).where("title IS NOT NULL")
     points = T.chunks(docs).select("doc_id", F.col("char_start").alias("start"), "chunk_index")
     return R.headings_in_force(points, found, ["doc_id"]).select("doc_id", "chunk_index", "section")
 

@@ -41,19 +41,24 @@ def repeated_lines(spark, sf_dir):
     return found.groupBy("doc_id").agg(F.sum("n").alias("lines_removed"))
 
 
+_STRIPPED = r"regexp_replace(line, '^\s+|\s+$', '', 'g')"
+_TITLE = rf"""CASE WHEN {_STRIPPED} = '' OR length({_STRIPPED}) > 80 THEN NULL WHEN regexp_matches({_STRIPPED}, '^#{{1,6}}\s+.') THEN regexp_replace({_STRIPPED}, '^#{{1,6}}\s+', '') WHEN regexp_matches({_STRIPPED}, '^[0-9]+(\.[0-9]+)*[.)]?\s+[^\s]') THEN {_STRIPPED}
+  WHEN NOT regexp_matches({_STRIPPED}, '[.,;:]$') AND len(regexp_extract_all({_STRIPPED}, '\pL')) >= 3 AND len(regexp_extract_all({_STRIPPED}, '\pL')) = len(regexp_extract_all({_STRIPPED}, '\p{{Lu}}')) THEN {_STRIPPED} END"""
+
+
 @query(
     "txt04_headings",
     r"""WITH l AS (SELECT doc_id, u.line, u.i FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, i)),
     o AS (SELECT doc_id, i, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS start_offset FROM l)
-    SELECT doc_id, i AS line_no, CAST(start_offset AS BIGINT) AS start_offset, line AS title FROM o
-    WHERE line <> '' AND length(line) <= 80 AND (regexp_matches(line, '^#{1,6} [^\s]') OR regexp_matches(line, '^[0-9]+(\.[0-9]+)*[.)]?\s+[^\s]')
-      OR (NOT regexp_matches(line, '[.,;:]$') AND len(regexp_extract_all(line, '[A-Za-z]')) >= 3 AND upper(line) = line))""",
+    SELECT doc_id, i AS line_no, CAST(start_offset AS BIGINT) AS start_offset, """
+    + _TITLE
+    + """ AS title FROM o WHERE title IS NOT NULL""",
 )
 def headings(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     before = F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("i")) - F.length("line") - 1
-    rows = lines.withColumn("start_offset", before.cast("long")).where(T.is_heading(F.col("line")))
-    return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("line_no"), "start_offset", F.col("line").alias("title"))
+    rows = lines.withColumns({"start_offset": before.cast("long"), "title": T.heading(F.col("line"))}).where("title IS NOT NULL")
+    return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("line_no"), "start_offset", "title")
 
 
 @query(

@@ -98,3 +98,9 @@ def test_scores_are_held_in_slices(spark, monkeypatch):
     whole = sorted(map(tuple, ranking.cosine_top(vectors, queries, 4).collect()))
     monkeypatch.setattr(ranking, "CELLS", 70)
     assert sorted(map(tuple, ranking.cosine_top(vectors, queries, 4).collect())) == whole and len(whole) == 60
+
+
+def test_headings(spark):
+    lines = ["# Title ", "  ## Two words", "#none", "1. First:", "2.3 Second", "ALL CAPS", "ALL CAPS:", "AB", "Üb ER", "ÜBER 3", "漢字漢字", "", "   ", "#", "A" * 81, "12", None, "\t3) x."]
+    found = spark.createDataFrame(list(enumerate(lines)), "i int, line string").select("i", T.heading(F.col("line")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in found] == ["Title", "Two words", None, "1. First:", "2.3 Second", "ALL CAPS", None, None, None, "ÜBER 3", None, None, None, None, None, None, None, "3) x."]
