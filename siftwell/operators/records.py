@@ -68,3 +68,12 @@ def fingerprint(files: DataFrame) -> DataFrame:
     order of name. For sets of files that fit in a row; equal names are taken in order of content."""
     listed = F.sort_array(F.collect_list(F.struct("name", "content")))
     return files.groupBy("group_id").agg(F.substring(F.sha2(F.array_join(F.transform(listed, lambda f: F.concat(f["name"], f["content"])), ""), 256), 1, 12).alias("fingerprint"))
+
+
+def expanded(hits: DataFrame, chunks: DataFrame, docs: DataFrame, n: int = 1) -> DataFrame:
+    """hits (doc_id, chunk_index) with start, end and text of what the n chunks before and after each span together with it, every character once: chunks (doc_id, chunk_index, char_start,
+    char_end) overlap, so the text comes from the document (doc_id, text). Chunks that aren't there are left out."""
+    at = F.col("chunk_index").cast("long")
+    near = hits.select("doc_id", at.alias("hit"), F.explode(F.sequence(at - n, at + n)).alias("chunk_index"))
+    spans = near.join(chunks.select("doc_id", at.alias("chunk_index"), "char_start", "char_end"), ["doc_id", "chunk_index"]).groupBy("doc_id", "hit").agg(F.min("char_start").cast("int").alias("start"), F.max("char_end").cast("int").alias("end"))
+    return spans.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.col("hit").alias("chunk_index"), "start", "end", F.expr("substring(text, start + 1, end - start)").alias("text"))

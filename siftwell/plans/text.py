@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
+from siftwell.operators.records import expanded
 from siftwell.plans.registry import query, table
 from siftwell.sources.parsers import csv_line, sniffed
 
@@ -91,6 +92,20 @@ def chunk_stats(spark, sf_dir):
     return T.chunks(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
 
 
+@query(
+    "jn12_expanded",
+    _CHUNKS
+    + """, rx AS (SELECT doc_id, chunk_index, char_start, char_start + length(body) AS char_end FROM c), sx AS (SELECT h.doc_id, h.chunk_index, min(n.char_start) AS a, max(n.char_end) AS e FROM rx h JOIN rx n ON h.doc_id = n.doc_id AND n.chunk_index BETWEEN h.chunk_index - 2 AND h.chunk_index + 2 WHERE h.doc_id % 20 = 0 GROUP BY 1, 2)
+    SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, CAST(a AS INTEGER) AS "start", CAST(e AS INTEGER) AS "end", md5(substr(text, a + 1, e - a)) AS digest FROM sx JOIN documents USING (doc_id)""",
+)
+def expanded_hits(spark, sf_dir):
+    """Chunks of the documents whose id is divisible by 20, with two chunks on either side."""
+    docs = table(spark, sf_dir, "documents")
+    chunks = T.chunks(docs).select("doc_id", "chunk_index", "char_start", "char_end")
+    found = expanded(chunks.where("doc_id % 20 = 0"), chunks, docs, 2)
+    return found.select("doc_id", "chunk_index", "start", "end", F.md5("text").alias("digest"))
+
+
 @query(
     "jn12_neighbours",
     _CHUNKS
