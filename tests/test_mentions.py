@@ -58,3 +58,10 @@ def test_askers_have_their_own_spellings(spark):
     spellings = spark.createDataFrame([(1, 5, "person", "Asha Rao"), (2, 6, "person", "asha")], "walk_id long, entity_id long, entity_type string, surface_name string")
     found = N.match_mentions(mentions, spellings, ("walk_id",))
     assert sorted(map(tuple, found.collect())) == [(1, 1, 5, N.WITHIN), (2, 1, 6, N.TYPED)]
+
+
+def test_initials_that_spell_a_small_word(spark):
+    said = spark.createDataFrame([(1, "OR", None), (2, "the OR", None), (3, "or", None)], "mention_id long, name string, entity_type string")
+    names = spark.createDataFrame([(7, "tool", "old rod"), (8, "tool", "red bolt")], "entity_id long, entity_type string, surface_name string")
+    assert N.match_mentions(said, names).count() == 0
+    assert [tuple(r) for r in N.match_mentions(said, names, capitals=True).collect()] == [(1, 7, N.ACRONYM)]
