@@ -76,6 +76,14 @@ def test_caps(spark):
     assert run(spark, [many], A.Limits(0, 30))[0][0] == (0, 1, 1, 0, 0, "budget")
 
 
+def test_texts_of_passages_are_not_kept(spark, monkeypatch):
+    kept, plain = [], A.cut
+    monkeypatch.setattr(A, "cut", lambda df: kept.append(df.columns) or plain(df))
+    ledger, subs, _ = run(spark, ["travel limit"])
+    assert ledger[0][5] == "resolved" and subs[0][0][1] == "answered"
+    assert any("own" in c for c in kept) and not any({"chunk_id", "text"} <= set(c) for c in kept)
+
+
 def test_the_same_whatever_the_partitions(spark):
     asked = ["travel zebra limit and casual okapi leave", "", "ninety days", "exactly quantum"] * 3
     assert run(spark, asked, parts=1) == run(spark, asked, parts=7)
