@@ -79,9 +79,14 @@ def snippet(text: Column, start: Column, end: Column) -> Column:
 def highlights(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, term, start, end of the words of `text` that are content words of `question` of three letters or more, in any case."""
     terms = F.filter(F.array_distinct(content_tokens(F.col("question"))), lambda t: F.length(t) >= TERM)
-    cut = rows.select(*keys, terms.alias("terms"), F.posexplode(F.regexp_extract_all("text", F.lit(r"(?U)\W*\w+"), F.lit(0))).alias("piece_no", "piece"))
-    end = F.sum(F.length("piece")).over(Window.partitionBy(*keys).orderBy("piece_no").rowsBetween(Window.unboundedPreceding, 0))
-    found = cut.withColumn("end", end).withColumn("term", F.lower(F.regexp_replace("piece", r"(?U)^\W+", ""))).where(F.array_contains("terms", F.col("term")))
+    words = F.transform("pieces", lambda p: F.lower(F.regexp_replace(p, r"(?U)^\W+", "")))
+    cut = rows.select(*keys, terms.alias("terms"), F.regexp_extract_all("text", F.lit(r"(?U)\W*\w+"), F.lit(0)).alias("pieces")).withColumn("words", words)
+    # a long question's terms don't go along with every piece: of the terms only those of this text are looked for, and a piece keeps its word if it is one
+    cut = cut.select(*keys, "pieces", "words", F.array_intersect("terms", "words").alias("met"))
+    each = F.zip_with("pieces", "words", lambda p, w: F.struct(F.length(p).alias("size"), F.when(F.array_contains("met", w), w).alias("term")))
+    cut = cut.select(*keys, F.posexplode(each).alias("piece_no", "piece")).select(*keys, "piece_no", "piece.*")
+    end = F.sum("size").over(Window.partitionBy(*keys).orderBy("piece_no").rowsBetween(Window.unboundedPreceding, 0))
+    found = cut.withColumn("end", end).where("term IS NOT NULL")
     return found.select(*keys, "term", (F.col("end") - F.length("term")).alias("start"), "end")
 
 
@@ -118,12 +123,18 @@ def _share(words: Column, support: Column) -> Column:
     return F.size(F.array_intersect(words, support)) / F.size(words)
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with the value computed once; within a lambda it would be computed anew for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def faithfulness(answer: Column, contexts: Column) -> Column:
     """The share of sentences half of whose words some context has; null for refusals, without contexts and without words."""
-    support = F.array_distinct(F.flatten(F.transform(contexts, eval_words)))
+    support = F.flatten(F.transform(contexts, eval_words))
     worded = F.filter(F.transform(judged_sentences(answer), eval_words), lambda w: F.size(w) > 0)
-    held = F.size(F.filter(worded, lambda w: _share(w, support) >= SUPPORT))
-    return F.when((F.size(contexts) > 0) & ~is_refusal(answer) & (F.size(worded) > 0), held / F.size(worded))
+    both = _once(worded, lambda ws: F.struct(ws.alias("worded"), F.array_intersect(F.flatten(ws), support).alias("met")))
+    share = _once(both, lambda b: F.when(F.size(b["worded"]) > 0, F.size(F.filter(b["worded"], lambda w: _share(w, b["met"]) >= SUPPORT)) / F.size(b["worded"])))
+    return F.when((F.size(contexts) > 0) & ~is_refusal(answer), share)
 
 
 def unsupported(answer: Column, contexts: Column) -> Column:

@@ -1,5 +1,7 @@
 """Sentences, claims, support and misplaced citations, case by case."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +113,20 @@ def test_snippets_and_highlights(spark):
     assert shown[2] == "short" and shown[3] == text[:240] + "..." and shown[1] == "..." + text[187:427] + "..."
     found = C.highlights(rows, ["id"]).orderBy("id", "start").collect()
     assert [(r.id, r.term, r.start, r.end) for r in found] == [(1, "quoted", 301, 307), (1, "words", 308, 313), (2, "short", 0, 5)]
+
+
+def test_highlights_of_long_questions(spark):
+    """A question's terms don't go along with the words of the text."""
+    rows = spark.createDataFrame([(1, "Ab, abc abcd. ABC", "abc " + " ".join(f"w{i}" for i in range(3000)))], "id long, text string, question string")
+    found = C.highlights(rows, ["id"])
+    assert "terms" not in found._jdf.queryExecution().optimizedPlan().toString().split("Window")[0]
+    assert [(r.term, r.start, r.end) for r in found.orderBy("start").collect()] == [("abc", 4, 7), ("abc", 14, 17)]
+
+
+def test_faithfulness_of_long_answers(spark):
+    """Contexts are taken apart once, not once a sentence."""
+    answer, context = "Known words are here. Zebras yawn quietly. " * 1000, "known words are here " * 20_000
+    rows = spark.createDataFrame([(answer, [context])], "answer string, contexts array<string>")
+    start = time.monotonic()
+    assert rows.select(C.faithfulness(F.col("answer"), F.col("contexts"))).first()[0] == 0.5
+    assert time.monotonic() - start < 60
