@@ -50,9 +50,17 @@ def first_object(text: str | None) -> str | None:
     return None
 
 
+#: Texts that a worker holds as Python strings at once.
+AT_ONCE = 500
+
+
 @F.arrow_udf(StringType())
-def _objects(texts: pa.Array) -> pa.Array:
-    return pa.array([first_object(t) for t in texts.to_pylist()], pa.string())
+def _objects(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        found = [pa.array([first_object(t) for t in texts.slice(at, AT_ONCE).to_pylist()], pa.string()) for at in range(0, len(texts), AT_ONCE)]
+        yield pa.concat_arrays(found) if found else pa.array([], pa.string())
+        del texts, found
+        pa.default_memory_pool().release_unused()
 
 
 def json_object(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.json_text import json_object
 from siftwell.functions.names import name_key
-from siftwell.operators.lineage import cut
+from siftwell.operators.lineage import cut, folder
 
 # Types and relations; the type that an end of a relation must have where there can be no other; words of a name at most.
 ENTITY_TYPES = ["person", "team", "organisation", "project", "product", "document", "policy", "location"]
@@ -58,7 +58,9 @@ def salvage(replies: DataFrame) -> Salvaged:
     spelt as first named and as sure as the least sure of them. A relation goes if an end isn't listed or adopted, is listed under several types, or is
     the other end. Null texts and texts without an object have an error, as have lists that aren't lists; missing relations are none.
     """
-    found = replies.select("reply_id", F.try_parse_json(json_object(F.col("text"))).alias("v"))
+    path = folder(replies.sparkSession, "objects")  # found once, and compressed: the objects are read several times below
+    replies.select("reply_id", json_object(F.col("text")).alias("object")).write.parquet(path)
+    found = replies.sparkSession.read.parquet(path).select("reply_id", F.try_parse_json("object").alias("v"))
     kinds = found.select("reply_id", "v", _kind(F.col("v"), "$.entities").alias("e"), F.coalesce(_kind(F.col("v"), "$.relationships"), F.lit("ARRAY<VOID>")).alias("r"))
     listed = F.coalesce(F.startswith("e", F.lit("ARRAY")), F.lit(False)) & F.startswith("r", F.lit("ARRAY"))
     error = F.when(F.col("v").isNull(), "no JSON object found in the response").when(~listed, "entities and relationships must be lists")

@@ -108,3 +108,10 @@ def test_json_objects(spark):
     for i, text in enumerate(texts):
         want = objects(text)
         assert (found[i] is None) == (want is None)
+
+
+def test_objects_are_found_once(spark):
+    """Entities, relations and counts read the objects as they were found; the texts aren't gone through again."""
+    found = X.salvage(spark.createDataFrame(list(enumerate(replies())), "reply_id long, text string"))
+    for part in (found.entities, found.relations, found.counts):
+        assert "_objects" not in part._jdf.queryExecution().optimizedPlan().toString()
