@@ -11,12 +11,16 @@ dst, relation), edge_sources (edge_id, chunk_id, confidence).
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.operators.lineage import cut
+from siftwell.operators.lineage import cut, stored
 
 MOST_HOPS, BUDGET = 4, 50
+#: Rows up to which walks and the nodes they have just reached are broadcast.
+BROADCAST_ROWS = 100_000
 # What a relation is called when it is walked back. One that isn't here is walked in its own direction only.
 INVERSES = {
     "BELONGS_TO": "CONTAINS", "MEMBER_OF": "HAS_MEMBER", "OWNS": "OWNED_BY", "WORKS_ON": "HAS_CONTRIBUTOR", "LOCATED_IN": "LOCATION_OF", "AUTHORED": "AUTHORED_BY", "MENTIONS": "MENTIONED_IN", "RELATED_TO": "RELATED_TO",
@@ -35,32 +39,65 @@ def admits() -> Column:
 
 
 class Walks:
-    """Walks of one graph."""
+    """Walks of one graph.
+
+    Whether a walk sees a node or an edge follows from the collections and documents of its sources: `nodes` (node_id, collection_id, document_id) and `ways` (at, node_id,
+    collection_id, document_id: where an edge may be walked from and to) have each of them once, and of a collection's documents no more than decide, so that a hub isn't
+    met with all of its chunks. They are stored once for all hops.
+    """
 
     def __init__(self, walks: DataFrame, chunks: DataFrame, node_sources: DataFrame, edges: DataFrame, edge_sources: DataFrame, relations: list[str] | None = None):
         self.walks = walks.select("walk_id", "all_chunks", "collections", "documents", "denied")
         self.chunks = chunks.select("chunk_id", "document_id", "collection_id")
         self.node_sources, self.edge_sources = node_sources, edge_sources
         self.edges = edges.select("edge_id", "src", "dst", "relation") if not relations else edges.select("edge_id", "src", "dst", "relation").where(F.col("relation").isin(relations))
+        size = lambda c: F.coalesce(F.max(F.when(F.col(c).isNotNull(), F.size(F.array_distinct(c)))), F.lit(0))
+        row = self.walks.agg(F.count("*").alias("n"), size("denied").alias("denied"), size("documents").alias("documents")).first()
+        #: Documents of a collection that decide: one more than a walk is denied. All, if walks are granted single ones.
+        self.enough = None if row.documents else row.denied + 1
+        self.few = row.n <= BROADCAST_ROWS
+
+    def _access(self, sources: DataFrame, *key: str) -> DataFrame:
+        """The key columns, collection_id and document_id of sources (key, chunk_id), each once and no more documents of a collection than are enough."""
+        known = sources if {"document_id", "collection_id"} <= set(sources.columns) else sources.join(self.chunks, "chunk_id")
+        rows = known.select(*key, "collection_id", "document_id")
+        if self.enough is not None:
+            place = F.dense_rank().over(Window.partitionBy(*key, "collection_id").orderBy("document_id"))
+            rows = rows.withColumn("__place", place).where(F.col("__place") <= self.enough).drop("__place")
+        return rows.distinct()
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return stored(self._access(self.node_sources, "node_id"))
+
+    @cached_property
+    def ways(self) -> DataFrame:
+        told = self.edge_sources.join(self.edges, "edge_id")
+        return stored(self._access(told.withColumn("back", inverse(F.col("relation")).isNotNull()), "src", "dst", "back"))
 
     def _admitted(self, items: DataFrame, sources: DataFrame, key: str) -> DataFrame:
         """walk_id, key and the source columns of those (walk_id, key) that the walk may read."""
         read = items.select("walk_id", key).join(sources, key).join(self.chunks, "chunk_id").join(self.walks, "walk_id").where(admits())
         return read.select("walk_id", *sources.columns)
 
+    def _visible(self, items: DataFrame, access: DataFrame, key: str) -> DataFrame:
+        """Rows of items (walk_id, key) with those of access (key, collection_id, document_id) that the walk may read. Few walks are broadcast; else each item brings its walk's access along."""
+        if self.few:
+            return items.join(access, key).join(F.broadcast(self.walks), "walk_id").where(admits())
+        return items.join(self.walks, "walk_id").join(access, key).where(admits())
+
     def seen_nodes(self, nodes: DataFrame) -> DataFrame:
         """walk_id, node_id of the nodes that the walk may see."""
-        return self._admitted(nodes, self.node_sources.select("node_id", "chunk_id"), "node_id").select("walk_id", "node_id").distinct()
-
-    def seen_edges(self, edges: DataFrame) -> DataFrame:
-        """walk_id, edge_id of the edges that the walk may see."""
-        return self._admitted(edges, self.edge_sources.select("edge_id", "chunk_id"), "edge_id").select("walk_id", "edge_id").distinct()
+        return self._visible(nodes.select("walk_id", "node_id"), self.nodes, "node_id").select("walk_id", "node_id").distinct()
 
     def steps(self, frontier: DataFrame) -> DataFrame:
-        """walk_id, edge_id, node_id of where the edges at the frontier lead, each way that they may be walked."""
-        ahead = frontier.select("walk_id", F.col("node_id").alias("src")).join(self.edges, "src").select("walk_id", "edge_id", F.col("dst").alias("node_id"))
-        back = self.edges.where(inverse(F.col("relation")).isNotNull())
-        return ahead.unionByName(frontier.select("walk_id", F.col("node_id").alias("dst")).join(back, "dst").select("walk_id", "edge_id", F.col("src").alias("node_id")))
+        """walk_id, node_id of where the edges at the frontier that the walk may see lead, each way that they may be walked."""
+        at = frontier.select("walk_id", F.col("node_id").alias("at"))
+        if frontier.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            at = F.broadcast(at)
+        ahead = self.ways.select(F.col("src").alias("at"), F.col("dst").alias("node_id"), "collection_id", "document_id")
+        back = self.ways.where("back").select(F.col("dst").alias("at"), F.col("src").alias("node_id"), "collection_id", "document_id")
+        return self._visible(at, ahead.unionByName(back), "at").select("walk_id", "node_id").distinct()
 
     def reach(self, seeds: DataFrame, hops: int = 2, budget: int = BUDGET) -> DataFrame:
         """walk_id, node_id, depth, truncated: at most `budget` nodes a walk, nearest first and then by id, and whether more were reached. Seeds (walk_id, node_id) that
@@ -77,14 +114,12 @@ class Walks:
         reached = frontier = some(self.seen_nodes(seeds.distinct()), 0)
         for depth in range(1, hops + 1):
             full = reached.groupBy("walk_id").count().where(F.col("count") > budget).select("walk_id")
-            going = frontier.join(full, "walk_id", "left_anti")
-            steps = cut(self.steps(going).join(reached.select("walk_id", "node_id"), ["walk_id", "node_id"], "left_anti"))
-            steps = steps.join(self.seen_edges(steps.select("walk_id", "edge_id").distinct()), ["walk_id", "edge_id"], "left_semi")
-            frontier = some(self.seen_nodes(steps.select("walk_id", "node_id").distinct()), depth)
+            going = cut(frontier.join(full, "walk_id", "left_anti"))
+            steps = self.steps(going).join(reached.select("walk_id", "node_id"), ["walk_id", "node_id"], "left_anti")
+            frontier = some(self.seen_nodes(steps), depth)
             reached = cut(reached.unionByName(frontier))
-        sizes = reached.groupBy("walk_id").agg((F.count("*") > budget).alias("truncated"))
-        kept = reached.withColumn("place", F.row_number().over(first)).where(F.col("place") <= budget).drop("place")
-        return cut(kept.join(sizes, "walk_id"))
+        sized = reached.withColumn("truncated", F.count("*").over(Window.partitionBy("walk_id")) > budget)
+        return cut(sized.withColumn("place", F.row_number().over(first)).where(F.col("place") <= budget).select("walk_id", "node_id", "depth", "truncated"))
 
     def edges_among(self, reached: DataFrame, hops: int = 2) -> DataFrame:
         """walk_id, k, edge_id, src, dst, relation, walked_as, reversed, confidence, chunk_ids of the edges that a walk could have used among the nodes it reached.

@@ -215,3 +215,20 @@ def test_graph_claims(spark):
 def test_named_takes_the_longest(spark):
     rows = spark.createDataFrame([("platform team alpha beta", ["platform team", "team alpha beta", "beta", "alpha"])], "t string, n array<string>")
     assert rows.select(C.named(name_key("t"), "n" and rows["n"])).collect()[0][0] == ["team alpha beta"]
+
+
+def test_a_hub_is_met_with_the_documents_that_decide(spark):
+    g = Graph()
+    g.entity("ada", "grace")
+    g.edge("ada", "OWNS", "grace")
+    many = spark.range(100, 400).selectExpr("id AS chunk_id", "id % 150 AS document_id", "id % 2 AS collection_id")
+    hub = many.selectExpr("2L AS node_id", "chunk_id", "CAST(NULL AS DOUBLE) AS confidence", "'grace' AS surface_name")
+    accesses = {1: (False, [0], None, [0, 2]), 2: (False, [0], None, None), 3: (True, None, None, [1]), 4: (False, [7], None, None)}
+    w = g.walks(spark, accesses)
+    w.node_sources, w.chunks = w.node_sources.where("node_id = 1").unionByName(hub), w.chunks.unionByName(many)
+    assert w.enough == 3 and w.nodes.where("node_id = 2").count() == 2 * 3  # not 300
+    asked = spark.createDataFrame([(i, 2) for i in accesses], "walk_id long, node_id long")
+    assert sorted(r.walk_id for r in w.seen_nodes(asked).collect()) == [1, 2, 3]
+    all_denied = g.walks(spark, {1: (False, [0], None, list(range(0, 150, 2))), 2: (False, [0], None, list(range(2, 150, 2))), 3: (False, None, [149], None)})
+    all_denied.node_sources, all_denied.chunks = hub, many
+    assert sorted(r.walk_id for r in all_denied.seen_nodes(asked).collect()) == [2, 3]
