@@ -10,14 +10,15 @@ Verified pairs are dealt to blocks likewise, so that a set is sent once a block
 number of pairs, which for many texts that are all similar is the square of their number.
 
 Where components are wanted and not numbers of links, pairs within one component needn't be verified: groups are chained first,
-what stands beside a large component meets a few of its members, and only what is still apart is paired in full.
+what stands beside a large component meets a few of its members, and only what is still apart is paired in full, without the
+pairs within a large component.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.bitmap import Bitmap, row_name
@@ -267,19 +268,34 @@ def heads(groups: DataFrame) -> DataFrame:
     return groups.select("group", "data", "bits").mapInArrow(tidy(scan), "group long, head array<long>, bits array<long>")
 
 
+def dealt(entry: DataFrame) -> DataFrame:
+    """Adds to `entry` (token, node, root) the row's part, the last part up to its own and the first from its own that it meets,
+    and the number of the token's parts. Parts of a root with more than BLOCK rows don't meet each other."""
+    sizes = entry.groupBy("token", "root").agg(F.count("*").alias("k"))
+    own = F.ceil(F.col("k") / BLOCK)
+    large = sizes.where(F.col("k") > BLOCK).select("token", "root", own.alias("own"), (F.sum(own).over(Window.partitionBy("token").orderBy("root")) - own).alias("first"))
+    is_large = F.col("k") > BLOCK
+    totals = sizes.groupBy("token").agg(F.sum(F.when(is_large, own).otherwise(0)).alias("of_large"), F.ceil(F.sum(F.when(is_large, 0).otherwise(F.col("k"))) / BLOCK).alias("mixed"))
+    rows = entry.join(totals, "token").join(large, ["token", "root"], "left")
+    part = F.coalesce("first", "of_large") + F.pmod(F.xxhash64("node"), F.coalesce("own", "mixed"))
+    rows = rows.withColumns({"part": part, "parts": F.col("of_large") + F.col("mixed")})
+    return rows.withColumns({"before": F.coalesce(F.col("first") - 1, "part"), "after": F.coalesce(F.col("first") + F.col("own"), "part")}).drop("of_large", "mixed", "own", "first")
+
+
 def paired(entry: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of nodes of different roots that share a shingle (token) of `entry` (token, group, node, root, n,
     place) and fit. A node is a group or one of its classes.
 
-    A shingle's rows are dealt to parts, and each two parts meet under a key of their own. A pair is left to the first
-    shingle that both have, as far as heads tell, and left out if more places of their bitmaps differ than shingles may.
+    A shingle's rows are dealt to parts, those of a root with more than BLOCK rows to parts of its own, and each two parts that
+    aren't of one such root meet under a key of their own. A pair is left to the first shingle that both have, as far as heads
+    tell, and left out if more places of their bitmaps differ than shingles may.
     """
-    parts = entry.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    rows = entry.join(parts, "token").join(heads(groups.join(entry.select("group").distinct(), "group", "left_semi")), "group")
-    rows = stored(rows.select("token", "node", "root", "n", "place", "parts", F.slice("head", F.lit(1), F.least(F.col("place"), F.lit(HEAD)).cast("int")).alias("head"), "bits", F.pmod(F.xxhash64("node"), "parts").alias("part")))
+    rows = dealt(entry).join(heads(groups.join(entry.select("group").distinct(), "group", "left_semi")), "group")
+    rows = stored(rows.select("token", "node", "root", "n", "place", "part", "before", "after", "parts", F.slice("head", F.lit(1), F.least(F.col("place"), F.lit(HEAD)).cast("int")).alias("head"), "bits"))
     side = lambda s, i, j: rows.select("token", i.alias("i"), j.alias("j"), *[F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n", "place", "head", "bits")])
+    span = lambda low, high: F.explode(F.when(low <= high, F.sequence(low, high)))
     own = F.col("part")
-    a, b = side("a", own, F.explode(F.sequence(own, F.col("parts") - 1))), side("b", F.explode(F.sequence(F.lit(0).cast("long"), own)), own)
+    a, b = side("a", own, span(F.col("after"), F.col("parts") - 1)), side("b", span(F.lit(0).cast("long"), F.col("before")), own)
     other = (F.col("i") < F.col("j")) | (F.col("node_a") < F.col("node_b"))
     fit = fits(F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b"))
     apart = sum((F.bit_count(F.get(F.col("bits_a"), F.lit(k)).bitwiseXOR(F.get(F.col("bits_b"), F.lit(k)))) for k in range(PARITY)), F.lit(0))

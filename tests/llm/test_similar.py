@@ -148,3 +148,26 @@ def test_copies_are_sent_once_a_group(spark):
     ones = lambda p: (c := S.Sets(p.column(0)).value, (c % 8).astype("i4"), c, S.np.ones(len(c), "u4"))[1:]
     sent = [E.unpacked(d, ["<u8", "<u4"]) for b in E.sent(S.chunks([part]), ones, S.np.add) for d in b.column(1).to_pylist()]
     assert sum(len(x[0]) for x in sent) == 36 and sum(int(x[1].sum()) for x in sent) == 36 * 3000
+
+
+def test_rows_of_one_component_are_not_dealt_to_each_other(spark, monkeypatch):
+    """Of a shingle's rows, each two of different roots meet under one key, and a large root's rows don't meet each other."""
+    rng = random.Random(5)
+    rows = [(t, i, root) for t, sizes in enumerate([(900, 3, 2), (30, 20, 1, 1, 2), (1,) * 50, (3, 1)]) for root, k in enumerate(sizes) for i in rng.sample(range(10**6), k)]
+    monkeypatch.setattr(S, "BLOCK", 8)
+    got = S.dealt(spark.createDataFrame(rows, "token long, node long, root long")).collect()
+    assert len(got) == len(rows)
+    keys = {}
+    for r in got:
+        as_a, as_b = {(r.part, j) for j in range(r.after, r.parts)}, {(i, r.part) for i in range(r.before + 1)}
+        keys[r.token, r.node, r.root] = as_a, as_b
+    for t in range(1, 4):
+        own = [(k, v) for k, v in keys.items() if k[0] == t]
+        for n, (x, (xa, xb)) in enumerate(own):
+            for y, (ya, yb) in own[:n]:
+                if x[2] != y[2]:
+                    assert len((xa & yb) | (ya & xb)) == 1
+    large = [v for k, v in keys.items() if k[0] == 0 and k[2] == 0]
+    assert len(large) == 900 and not set.union(*(a for a, _ in large)) & set.union(*(b for _, b in large))
+    # with all parts meeting all, 905 rows in 114 parts would be sent 905 * 115 times
+    assert sum(len(a) + len(b) for k, (a, b) in keys.items() if k[0] == 0) < 2000
