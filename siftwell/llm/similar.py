@@ -4,14 +4,14 @@ A document's set is its distinct word shingles. Sets are ordered rare shingles f
 their prefixes. Documents of equal prefix and size are one group; groups that share a prefix shingle are candidate pairs if
 size and position allow the overlap; candidates are expanded to their members and verified.
 
-Every link counts, so all pairs of groups that share a prefix shingle are verified. Shingles of a few groups are paired where
-their groups meet; those of more are dealt to blocks of BLOCK groups, and each block meets each other in a task of its own.
-Verified pairs are dealt to blocks likewise, so that a set is sent once a block and not once a pair. The work grows with the
-number of pairs, which for many texts that are all similar is the square of their number.
-
-Where components are wanted and not numbers of links, pairs within one component needn't be verified: groups are chained first,
-what stands beside a large component meets a few of its members, and only what is still apart is paired in full, without the
-pairs within a large component.
+Components come first: groups are chained, what stands beside a large component meets a few of its members, and only what is
+still apart is paired in full. Shingles of a few groups are paired where their groups meet; those of more are dealt to blocks
+of BLOCK rows of one component or of several, and blocks that are not of one component meet each other in a task of their own.
+Verified pairs are dealt to blocks likewise, so that a set is sent once a block and not once a pair.
+
+All links are within components. Where they are counted, a component's sets are dealt to parts, and each two parts meet in a
+task as two sides of a matrix: pairs are no rows, and a set is sent once a part. The comparisons grow with the square of a
+component's number of different sets.
 """
 
 from __future__ import annotations
@@ -22,15 +22,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.bitmap import Bitmap, row_name
-from siftwell.llm.exchange import SENT, buckets, received, sent, spread
+from siftwell.llm.exchange import SEND_BYTES, SENT, buckets, received, sent, spread
 from siftwell.llm.shared import give_back, small_batches, stored, tidy
 from siftwell.llm.words import SPACE, Words, chunks, mix, ranges
 
 SHINGLE = 5
 #: A shingle in this many documents at least is common; the commonest MOST_COMMON at most are known to all tasks.
 COMMON, MOST_COMMON = 16, 4_000_000
-#: Shingles of more groups are paired in blocks of about BLOCK groups. Groups of more classes are parted likewise.
+#: Shingles of more groups are paired in blocks of about BLOCK groups.
 FEW, BLOCK = 16, 64
+#: Sets, and shingles of them, that a part of a component has, about, when its links are counted.
+SETS, SHINGLES = 256, 1 << 20
 #: Orders in which a shingle's groups are chained for components, and members of a large component that others meet first.
 CHAINS, PICKS = 8, 16
 #: Binary logarithm of the count from which a shingle's groups don't meet in one bucket first.
@@ -400,21 +402,46 @@ def rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
 
 
-def all_links(docs: DataFrame, classes: DataFrame, common, n_buckets: int) -> DataFrame:
-    """All pairs (a, b) of similar classes."""
-    # groups of many classes are parted, so that two groups have no more than about BLOCK * BLOCK pairs of members
-    large = stored(classes.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).where("parts > 1"))
-    part = lambda p: F.when(F.col("parts").isNull(), F.col("group")).otherwise(F.xxhash64("group", p)).alias("group")
-    members = stored(classes.join(large, "group", "left").select("class", part(F.pmod(F.xxhash64("class"), "parts"))))
-    groups = prefix_groups(docs, common).join(large, "group", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts") - 1, F.lit(0)))))
-    groups = stored(groups.select(part(F.col("part")), "n", "data", "bits"))
-    found = stored(candidates(groups, common, n_buckets))
-    met = found.where("token IS NULL").select("a", "b")
-    met = met.unionByName(paired(found.where("token IS NOT NULL").select("token", F.col("a").alias("group"), F.col("a").alias("node"), F.col("a").alias("root"), "n", "place"), groups))
-    side = lambda s: members.select(F.col("group").alias(f"g_{s}"), F.col("class").alias(s))
-    within = side("a").join(side("b"), F.col("g_a") == F.col("g_b")).where("a < b").select("a", "b")
-    pairs = met.distinct().select(F.col("a").alias("g_a"), F.col("b").alias("g_b")).join(side("a"), "g_a").join(side("b"), "g_b").select("a", "b")
-    return linked(pairs.unionByName(within), docs, classes)
+def links_between(key, table):
+    """class and n_links (similar sets of the other part) of the sets (class, part, data) of two parts, or of one."""
+    _, i, j = (k.as_py() for k in key)
+    part = np.asarray(table["part"])
+    sets = [np.frombuffer(d, np.uint64) for d in table["data"].to_pylist()]
+    n = np.array([len(s) for s in sets], np.int64)
+    names, place = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.cumsum(n) - n
+    left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+    held = np.concatenate([place[begin[b] : begin[b] + n[b]] for b in right.tolist()] or [place[:0]])
+    starts = np.cumsum(n[right]) - n[right]
+    links, known = np.zeros(len(n), np.int64), np.zeros(len(names), np.int32)
+    for a in left.tolist() if len(right) else []:
+        own = place[begin[a] : begin[a] + n[a]]
+        known[own] = 1
+        common = np.add.reduceat(known[held], starts).astype(np.int64)
+        known[own] = 0
+        similar = (100 * common >= 75 * (n[a] + n[right] - common)) & (right != a)
+        links[a] += similar.sum()
+        if i < j:
+            links[right] += similar
+    some = links > 0
+    out = pa.table({"class": table["class"].filter(pa.array(some)), "n_links": pa.array(links[some])})
+    if table.nbytes > SEND_BYTES:
+        del sets, names, place, held, known
+        give_back()
+    return out
+
+
+def link_counts(docs: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """class and n_links (other classes of a similarity of 0.75 or more) of the classes that have any, of their components' roots."""
+    placed = rooted(classes.select("class", "uid", "n"), roots)
+    sizes = placed.groupBy("root").agg(F.count("*").alias("k"), F.greatest(F.ceil(F.count("*") / SETS), F.ceil(F.sum("n") / SHINGLES)).alias("parts")).where("k > 1")
+    placed = stored(placed.join(sizes, "root").select("class", "uid", "root", "k", "parts", F.pmod(F.xxhash64("class"), "parts").alias("part")))
+    several = placed.where("k > 2")
+    sets = full_sets(docs, several.select("uid")).groupBy("class").agg(F.min("data").alias("data"))
+    rows = several.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).join(sets, "class")
+    rows = rows.select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "class", "part", "data")
+    found = rows.groupBy("root", "i", "j").applyInArrow(links_between, "class long, n_links long").groupBy("class").agg(F.sum("n_links").alias("n_links"))
+    return found.unionByName(placed.where("k = 2").select("class", F.lit(1).cast("long").alias("n_links")))  # two that make a component are linked
 
 
 def still_apart(entry: DataFrame, roots: DataFrame) -> DataFrame:
@@ -478,15 +505,14 @@ def similar_documents(docs: DataFrame, count_links: bool = True) -> DataFrame:
     rows = stored(described(docs, common))
     full = rows.where("n > 0")
     classes = stored(full.groupBy("class").agg(F.min("uid").alias("uid"), F.min("n").alias("n"), F.min("group").alias("group"), F.min("parity").alias("parity")))
-    links = (all_links if count_links else spanning_links)(docs, classes, common, n_buckets)
-    known = rooted(rows.where("n > 0").select("doc_id", "uid", "n", "class"), stored(components(links)))
+    roots = stored(components(spanning_links(docs, classes, common, n_buckets)))
+    known = rooted(rows.where("n > 0").select("doc_id", "uid", "n", "class"), roots)
     least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = known.join(least, "root").select("doc_id", "uid", F.col("n").alias("n_shingles"), "component_id", "root", "class")
     empty = rows.where("n = 0").select("doc_id", "uid", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"), "class")
     out = out.unionByName(empty)
     if count_links:
-        degree = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
-        out = out.join(degree, "class", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+        out = out.join(link_counts(docs, classes, roots), "class", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
     return out.drop("class")
 
 

@@ -171,3 +171,25 @@ def test_rows_of_one_component_are_not_dealt_to_each_other(spark, monkeypatch):
     assert len(large) == 900 and not set.union(*(a for a, _ in large)) & set.union(*(b for _, b in large))
     # with all parts meeting all, 905 rows in 114 parts would be sent 905 * 115 times
     assert sum(len(a) + len(b) for k, (a, b) in keys.items() if k[0] == 0) < 2000
+
+
+@pytest.mark.parametrize("sets, shingles", [(256, 1 << 20), (7, 1 << 20), (256, 500)])
+def test_links_are_counted_in_parts(spark, monkeypatch, sets, shingles):
+    """However a component is parted, its links are counted once each, and two parts give a row a set and none a pair."""
+    rng = random.Random(6)
+    base, other = ([f"{c}{i}" for i in range(150)] for c in "vy")
+    docs = [(i, edited(rng, base, 0.012 * (i % 3))) for i in range(60)] + [(100 + i, " ".join([*other, f"x{i % 40}"])) for i in range(50)]
+    docs += [(300, "a b c d e f g h i"), (301, "a b c d e f g h i j"), (302, "a b c d e f g h i")]
+    monkeypatch.setattr(S, "SETS", sets)
+    monkeypatch.setattr(S, "SHINGLES", shingles)
+    between, most = S.links_between, spark.sparkContext.accumulator(0)
+
+    def counted(key, table):
+        out = between(key, table)
+        most.add(int(out.num_rows > table.num_rows))
+        return out
+
+    monkeypatch.setattr(S, "links_between", counted)
+    got = S.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_links) for r in got) == all_links(docs)
+    assert most.value == 0
