@@ -136,10 +136,21 @@ class Walks:
         k = F.row_number().over(Window.partitionBy("walk_id").orderBy("edge_id")).cast("long")
         return used.join(read, ["walk_id", "edge_id"]).select("walk_id", k.alias("k"), "edge_id", "src", "dst", "relation", named.alias("walked_as"), "reversed", "confidence", "chunk_ids")
 
+    @cached_property
+    def spellings(self) -> DataFrame:
+        """node_id, collection_id, document_id, best: the best source of a node in a document; of a collection's documents those with the best ones, no more than are enough."""
+        best = F.struct(F.col("confidence").isNotNull().alias("measured"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), (-F.col("chunk_id")).alias("earliest"), F.col("surface_name").alias("name"))
+        known = self.node_sources.join(self.chunks, "chunk_id").repartition("node_id", "collection_id")
+        rows = known.groupBy("node_id", "collection_id", "document_id").agg(F.max(best).alias("best"))
+        if self.enough is not None:
+            place = F.row_number().over(Window.partitionBy("node_id", "collection_id").orderBy(F.col("best").desc()))
+            rows = rows.withColumn("__place", place).where(F.col("__place") <= self.enough).drop("__place")
+        return rows
+
     def names(self, reached: DataFrame) -> DataFrame:
         """walk_id, node_id, name: the spelling of the most confident source that the walk may read, of equals the earliest chunk's."""
-        order = F.struct(F.col("confidence").isNotNull(), F.coalesce("confidence", F.lit(0.0)), -F.col("chunk_id"))
-        return self._admitted(reached, self.node_sources, "node_id").groupBy("walk_id", "node_id").agg(F.max_by("surface_name", order).alias("name"))
+        read = self._visible(reached.select("walk_id", "node_id"), self.spellings, "node_id")
+        return read.groupBy("walk_id", "node_id").agg(F.max("best")["name"].alias("name"))
 
     def empty_reasons(self, seeds: DataFrame, reached: DataFrame, edges: DataFrame) -> DataFrame:
         """walk_id, reason: why a walk has no edges; null if it has some. A walk without a visible seed matched nothing."""

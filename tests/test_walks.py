@@ -1,7 +1,9 @@
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftwell.functions.names import name_key
 from siftwell.operators import graph_claims as C
@@ -232,3 +234,31 @@ def test_a_hub_is_met_with_the_documents_that_decide(spark):
     all_denied = g.walks(spark, {1: (False, [0], None, list(range(0, 150, 2))), 2: (False, [0], None, list(range(2, 150, 2))), 3: (False, None, [149], None)})
     all_denied.node_sources, all_denied.chunks = hub, many
     assert sorted(r.walk_id for r in all_denied.seen_nodes(asked).collect()) == [2, 3]
+
+
+def test_names_that_a_text_has_not_cost_no_patterns(spark):
+    names = [f"part number {i}" for i in range(50)] + ["x\x02"]
+    rows = spark.range(1000).select(F.concat(F.lit("part number "), (F.col("id") % 60).cast("string"), F.lit(" and .net x")).alias("t"), F.array(*map(F.lit, names), F.lit(".net")).alias("n"))
+    start = time.time()
+    found = rows.select(F.size(C.named(F.col("t"), F.col("n"))).alias("n")).groupBy("n").count().collect()
+    assert {r.n: r["count"] for r in found} == {1: 160, 2: 840}  # .net, and the number if there is one of it
+    assert time.time() - start < 12  # each name's pattern against each text took longer
+
+
+def test_a_hub_is_spelt_by_the_documents_that_decide(spark):
+    g = Graph()
+    g.entity("ada", "grace")
+    many = spark.range(100, 400).selectExpr("id AS chunk_id", "id % 150 AS document_id", "id % 2 AS collection_id")
+    hub = many.selectExpr("2L AS node_id", "chunk_id", "CASE WHEN chunk_id % 7 > 0 THEN chunk_id % 50 / 50 END AS confidence", "concat('grace ', chunk_id) AS surface_name")
+    accesses = {1: (False, [0], None, [48, 98]), 2: (False, [0], None, None), 3: (True, None, None, [49, 148]), 4: (False, [7], None, None)}
+    w = g.walks(spark, accesses)
+    w.node_sources, w.chunks = w.node_sources.where("node_id = 1").unionByName(hub), w.chunks.unionByName(many)
+    assert w.spellings.where("node_id = 2").count() == 2 * 3  # not 300
+    rows = [(c, c % 150, c % 2, c % 50 / 50 if c % 7 else None) for c in range(100, 400)]
+    want = {}
+    for i, (every, collections, _, denied) in accesses.items():
+        own = [r for r in rows if (every or r[2] in (collections or [])) and r[1] not in (denied or [])]
+        if own:
+            want[i] = f"grace {max(own, key=lambda r: (r[3] is not None, r[3] or 0.0, -r[0]))[0]}"
+    asked = spark.createDataFrame([(i, 2) for i in accesses], "walk_id long, node_id long")
+    assert {r.walk_id: r.name for r in w.names(asked).collect()} == want
