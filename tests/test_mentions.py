@@ -65,3 +65,37 @@ def test_initials_that_spell_a_small_word(spark):
     names = spark.createDataFrame([(7, "tool", "old rod"), (8, "tool", "red bolt")], "entity_id long, entity_type string, surface_name string")
     assert N.match_mentions(said, names).count() == 0
     assert [tuple(r) for r in N.match_mentions(said, names, capitals=True).collect()] == [(1, 7, N.ACRONYM)]
+
+
+def test_names_of_many_entities_are_met_once(spark, monkeypatch):
+    monkeypatch.setattr(N, "LISTED", 10)  # lists and parts of several kinds
+    spoken = [(i, t, s) for i in range(300) for t, s in [("part", f"{'red' if i % 4 else 'blue'} rod"), ("tool", "rod")[:2] if i % 30 else ("part", None)]] + [(400, "part", "old rod"), (400, "part", "old rod"), (401, "part", "Red Rod.")]
+    said = [(i, n, w) for i, (n, w) in enumerate([("rod", None), ("the red rod", "part"), ("red rod", "part"), ("RED ROD", "tool"), ("RR", None), ("old rod", "part"), ("nothing", None)] * 20)] + [(0, "blue rod", "part")]
+    frames = spark.createDataFrame(said, "mention_id long, name string, entity_type string"), spark.createDataFrame(spoken, "entity_id long, entity_type string, surface_name string")
+    found = N.match_mentions(*frames)
+    got = sorted((r.mention_id, r.entity_id, r.step) for r in found.collect())
+    want = brute([(i, *x) for i, (_, *x) in enumerate(said)], spoken)
+    both = {}  # the last row is a second spelling of the first mention: of both, the first step that finds any
+    for i, (step, es) in want.items():
+        m = said[i][0]
+        least = min(step, both.get(m, (step,))[0])
+        both[m] = (least, (both[m][1] if m in both and both[m][0] == least else set()) | (es if step == least else set()))
+    assert got == sorted((m, e, step) for m, (step, es) in both.items() for e in es)
+    assert len(got) > 15_000
+    rows = lambda node, out: out.append(node) or [rows(node.children().apply(i), out) for i in range(node.children().size())]
+    found.write.format("noop").mode("overwrite").save()
+    plan, sent = found._jdf.queryExecution().executedPlan(), []
+    found.collect()
+    nodes = []
+    rows(plan.executedPlan() if hasattr(plan, "executedPlan") else plan, nodes)
+    stack = list(nodes)
+    while stack:
+        node = stack.pop()
+        if node.nodeName().endswith("QueryStage"):
+            inner = []
+            rows(node.plan(), inner)
+            stack += inner
+        written = node.metrics().get("shuffleRecordsWritten")
+        if written.isDefined():
+            sent.append(written.get().value())
+    assert sent and max(sent) < len(got) / 5  # pairs of mentions and entities aren't exchanged
