@@ -6,7 +6,7 @@ budget and one, so a hub's neighbours don't pile up.
 
 walks (walk_id, all_chunks, collections, documents, denied): a caller's access; `all_chunks` or a granted collection or document admits a chunk, a denied
 document's chunks never are. chunks (chunk_id, document_id, collection_id), node_sources (node_id, chunk_id, confidence, surface_name), edges (edge_id, src,
-dst, relation), edge_sources (edge_id, chunk_id, confidence).
+dst, relation), edge_sources (edge_id, chunk_id, confidence). Sources that have their chunk's document_id and collection_id, or their edge's src, dst and relation, aren't joined for them.
 """
 
 from __future__ import annotations
@@ -49,18 +49,23 @@ class Walks:
     def __init__(self, walks: DataFrame, chunks: DataFrame, node_sources: DataFrame, edges: DataFrame, edge_sources: DataFrame, relations: list[str] | None = None):
         self.walks = walks.select("walk_id", "all_chunks", "collections", "documents", "denied")
         self.chunks = chunks.select("chunk_id", "document_id", "collection_id")
-        self.node_sources, self.edge_sources = node_sources, edge_sources
-        self.edges = edges.select("edge_id", "src", "dst", "relation") if not relations else edges.select("edge_id", "src", "dst", "relation").where(F.col("relation").isin(relations))
+        self.node_sources = node_sources
+        ends = edge_sources if {"src", "dst", "relation"} <= set(edge_sources.columns) else edge_sources.join(edges.select("edge_id", "src", "dst", "relation"), "edge_id")
+        #: What the sources say of edges: edge_id, src, dst, relation, chunk_id, confidence.
+        self.told = ends.where(F.col("relation").isin(relations)) if relations else ends
         size = lambda c: F.coalesce(F.max(F.when(F.col(c).isNotNull(), F.size(F.array_distinct(c)))), F.lit(0))
         row = self.walks.agg(F.count("*").alias("n"), size("denied").alias("denied"), size("documents").alias("documents")).first()
         #: Documents of a collection that decide: one more than a walk is denied. All, if walks are granted single ones.
         self.enough = None if row.documents else row.denied + 1
         self.few = row.n <= BROADCAST_ROWS
 
+    def _known(self, sources: DataFrame) -> DataFrame:
+        """Sources with their chunk's document_id and collection_id."""
+        return sources if {"document_id", "collection_id"} <= set(sources.columns) else sources.join(self.chunks, "chunk_id")
+
     def _access(self, sources: DataFrame, *key: str) -> DataFrame:
         """The key columns, collection_id and document_id of sources (key, chunk_id), each once and no more documents of a collection than are enough."""
-        known = sources if {"document_id", "collection_id"} <= set(sources.columns) else sources.join(self.chunks, "chunk_id")
-        rows = known.select(*key, "collection_id", "document_id")
+        rows = self._known(sources).select(*key, "collection_id", "document_id")
         if self.enough is not None:
             place = F.dense_rank().over(Window.partitionBy(*key, "collection_id").orderBy("document_id"))
             rows = rows.withColumn("__place", place).where(F.col("__place") <= self.enough).drop("__place")
@@ -72,13 +77,7 @@ class Walks:
 
     @cached_property
     def ways(self) -> DataFrame:
-        told = self.edge_sources.join(self.edges, "edge_id")
-        return stored(self._access(told.withColumn("back", inverse(F.col("relation")).isNotNull()), "src", "dst", "back"))
-
-    def _admitted(self, items: DataFrame, sources: DataFrame, key: str) -> DataFrame:
-        """walk_id, key and the source columns of those (walk_id, key) that the walk may read."""
-        read = items.select("walk_id", key).join(sources, key).join(self.chunks, "chunk_id").join(self.walks, "walk_id").where(admits())
-        return read.select("walk_id", *sources.columns)
+        return stored(self._access(self.told.withColumn("back", inverse(F.col("relation")).isNotNull()), "src", "dst", "back"))
 
     def _visible(self, items: DataFrame, access: DataFrame, key: str) -> DataFrame:
         """Rows of items (walk_id, key) with those of access (key, collection_id, document_id) that the walk may read. Few walks are broadcast; else each item brings its walk's access along."""
@@ -127,21 +126,24 @@ class Walks:
         An edge is walked from a node before the last hop: ahead if its source is one, else back, under the inverse name, if its target is one. Confidence is
         the highest that the admitted sources measured, null if none did, and chunk_ids are these sources; k numbers a walk's edges by id.
         """
-        at = lambda end: reached.select("walk_id", F.col("node_id").alias(end), F.col("depth").alias(f"{end}_depth"))
-        both = at("src").join(self.edges, "src").join(at("dst"), ["walk_id", "dst"])
-        ahead, back = F.col("src_depth") < hops, (F.col("dst_depth") < hops) & inverse(F.col("relation")).isNotNull()
-        used = cut(both.where(ahead | back).select("walk_id", "edge_id", "src", "dst", "relation", (~ahead).alias("reversed")))
-        read = self._admitted(used, self.edge_sources, "edge_id").groupBy("walk_id", "edge_id").agg(F.max("confidence").alias("confidence"), F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"))
+        before = F.col("depth") < hops
+        ends = reached.groupBy("walk_id").agg(F.collect_list(F.when(before, F.col("node_id"))).alias("near"), F.collect_list(F.when(~before, F.col("node_id"))).alias("last"))
+        # a walk's nodes come along with each of them, so that of the many edges at a node only those that lead to another of its nodes go on
+        at = reached.select("walk_id", F.col("node_id").alias("src"), before.alias("ahead")).join(ends, "walk_id")
+        known = self._known(self.told).select("src", "dst", "edge_id", "relation", "chunk_id", "confidence", "collection_id", "document_id")
+        near, last = F.array_contains("near", F.col("dst")), F.array_contains("last", F.col("dst"))
+        used = F.when(F.col("ahead"), near | last).otherwise(near & inverse(F.col("relation")).isNotNull())
+        read = self._visible(at, known, "src").where(used).groupBy("walk_id", "edge_id", "src", "dst", "relation", (~F.col("ahead")).alias("reversed"))
+        read = read.agg(F.max("confidence").alias("confidence"), F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"))
         named = F.when(F.col("reversed"), inverse(F.col("relation"))).otherwise(F.col("relation"))
         k = F.row_number().over(Window.partitionBy("walk_id").orderBy("edge_id")).cast("long")
-        return used.join(read, ["walk_id", "edge_id"]).select("walk_id", k.alias("k"), "edge_id", "src", "dst", "relation", named.alias("walked_as"), "reversed", "confidence", "chunk_ids")
+        return read.select("walk_id", k.alias("k"), "edge_id", "src", "dst", "relation", named.alias("walked_as"), "reversed", "confidence", "chunk_ids")
 
     @cached_property
     def spellings(self) -> DataFrame:
         """node_id, collection_id, document_id, best: the best source of a node in a document; of a collection's documents those with the best ones, no more than are enough."""
         best = F.struct(F.col("confidence").isNotNull().alias("measured"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), (-F.col("chunk_id")).alias("earliest"), F.col("surface_name").alias("name"))
-        known = self.node_sources.join(self.chunks, "chunk_id").repartition("node_id", "collection_id")
-        rows = known.groupBy("node_id", "collection_id", "document_id").agg(F.max(best).alias("best"))
+        rows = self._known(self.node_sources).repartition("node_id", "collection_id").groupBy("node_id", "collection_id", "document_id").agg(F.max(best).alias("best"))
         if self.enough is not None:
             place = F.row_number().over(Window.partitionBy("node_id", "collection_id").orderBy(F.col("best").desc()))
             rows = rows.withColumn("__place", place).where(F.col("__place") <= self.enough).drop("__place")

@@ -262,3 +262,24 @@ def test_a_hub_is_spelt_by_the_documents_that_decide(spark):
             want[i] = f"grace {max(own, key=lambda r: (r[3] is not None, r[3] or 0.0, -r[0]))[0]}"
     asked = spark.createDataFrame([(i, 2) for i in accesses], "walk_id long, node_id long")
     assert {r.walk_id: r.name for r in w.names(asked).collect()} == want
+
+
+def test_sources_that_know_their_documents_and_edges(spark):
+    rng = random.Random(3)
+    g = Graph()
+    g.entity(*"abcdefgh", chunks=(OPEN, SECRET, OPEN2))
+    for _ in range(25):
+        a, b = rng.sample("abcdefgh", 2)
+        g.edge(a, rng.choice(["OWNS", "REPORTS_TO"]), b, tuple(rng.sample([OPEN, SECRET, OPEN2], 2)), (rng.choice([None, 0.5]), 0.25))
+    accesses = {1: ALL, 2: RESTRICTED, 3: (False, [1], None, None), 4: (False, [2], None, [3])}
+    for relations in (None, ["OWNS"]):
+        joined, w = g.walks(spark, accesses, relations), g.walks(spark, accesses, relations)
+        full = spark.createDataFrame(g.edge_sources, "edge_id long, chunk_id long, confidence double").join(spark.createDataFrame(g.edges, "edge_id long, src long, dst long, relation string"), "edge_id")
+        known = W.Walks(w.walks, w.chunks.where("false"), w.node_sources.join(w.chunks, "chunk_id"), None, full.join(w.chunks, "chunk_id"), relations)  # nothing is left to join
+        seeds = spark.createDataFrame([(i, 1) for i in accesses], "walk_id long, node_id long")
+        rows = []
+        for x in (joined, known):
+            reached = x.reach(seeds)
+            read = x.edges_among(reached)
+            rows.append((sorted(map(tuple, reached.collect())), sorted(map(str, read.collect())), sorted(map(tuple, x.names(reached).collect()))))
+        assert rows[0] == rows[1] and rows[0][1]
